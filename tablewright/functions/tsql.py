@@ -95,9 +95,20 @@ def pct_of(n, total, scale: int = 4, precision: int = 9) -> Column:
     return (q.cast("decimal(38,0)") * step).cast(f"decimal({precision},{scale})")
 
 
-def second_boundaries(start, end) -> Column:
-    """DATEDIFF(SECOND, start, end): number of whole-second boundaries crossed."""
-    return F.unix_timestamp(_col(end)) - F.unix_timestamp(_col(start))
+def _whole_second(c: Column, dtype=None) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.date_trunc("SECOND", c)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c),
+                                F.minute(c), F.second(c))
+
+
+def second_boundaries(start, end, dtype=None) -> Column:
+    """DATEDIFF(SECOND, start, end): whole-second boundaries crossed (0.9 s -> 1.0 s is 1).
+
+    Timestamp-without-zone values are truncated field-wise, so no time zone is involved.
+    """
+    return F.timestamp_diff("SECOND", _whole_second(_col(start), dtype),
+                            _whole_second(_col(end), dtype))
 
 
 def quote_ident(name: str) -> str:
