@@ -1,2 +1,149 @@
-QUERIES = {}
-ORACLE = {}
+"""Reconciliation and row-check queries (supplier/customer/nation stand in for the
+desired and actual catalogues; lineitem for rule checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablewright.operators.checks import row_checks
+from tablewright.operators.reconcile import (
+    get_or_assign_ids, insert_if_absent, reconcile, render_template, upsert_by_key,
+)
+from tablewright.plans import table
+
+SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+
+
+def desired_suppliers(spark, d):
+    s = table(spark, d, "supplier")
+    return s.where(F.col("s_nationkey") != 7).select(
+        "s_suppkey",
+        F.when(F.col("s_nationkey").isin(1, 2), F.upper("s_name")).otherwise(F.col("s_name"))
+         .alias("s_name"),
+        "s_nationkey",
+        F.when(F.col("s_nationkey") == 4, F.lit(None).cast("double"))
+         .otherwise(F.col("s_acctbal")).alias("s_acctbal"))
+
+
+def actual_suppliers(spark, d):
+    s = table(spark, d, "supplier")
+    return s.where(F.col("s_acctbal") > 500).select(
+        "s_suppkey", "s_name",
+        F.when(F.col("s_nationkey") == 3, F.lit(99)).otherwise(F.col("s_nationkey"))
+         .alias("s_nationkey"), "s_acctbal")
+
+
+D_SQL = """(SELECT s_suppkey, CASE WHEN s_nationkey IN (1, 2) THEN upper(s_name) ELSE s_name END
+  AS s_name, s_nationkey, CASE WHEN s_nationkey = 4 THEN NULL ELSE s_acctbal END AS s_acctbal
+  FROM supplier WHERE s_nationkey <> 7)"""
+A_SQL = """(SELECT s_suppkey, s_name, CASE WHEN s_nationkey = 3 THEN 99 ELSE s_nationkey END
+  AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 500)"""
+
+
+def q_reconcile_actions(spark, d):
+    return reconcile(desired_suppliers(spark, d), actual_suppliers(spark, d), "s_suppkey",
+                     ["s_name", "s_nationkey", "s_acctbal"], report_extra=True)
+
+
+def q_upsert_by_key(spark, d):
+    return upsert_by_key(actual_suppliers(spark, d), desired_suppliers(spark, d), "s_suppkey")
+
+
+def _customers(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+def q_insert_if_absent(spark, d):
+    c = _customers(spark, d)
+    actual = table(spark, d, "customer").where(F.col("c_acctbal") >= 0).select(*c.columns)
+    desired = c.withColumn("c_name", F.when(F.col("c_nationkey") == 5, F.upper("c_name"))
+                           .otherwise(F.col("c_name")))
+    return insert_if_absent(actual, desired, "c_custkey")
+
+
+def q_get_or_assign_ids(spark, d):
+    cust = table(spark, d, "customer")
+    actual = cust.where(F.col("c_acctbal") >= 0).select(F.col("c_name").alias("name"),
+                                                        F.col("c_custkey").alias("id"))
+    desired = cust.select(F.col("c_name").alias("name")).unionByName(
+        table(spark, d, "supplier").select(F.col("s_name").alias("name")))
+    return get_or_assign_ids(desired, actual, "name", "id")
+
+
+def q_render_template(spark, d):
+    c = table(spark, d, "customer")
+    steps = c.select(F.col("c_custkey").alias("step_id"),
+                     F.concat(F.lit("env-"), F.col("c_nationkey").cast("string")).alias("environment_name"),
+                     F.lit("DataCatalog").alias("project_name"), F.lit("Migration").alias("folder_name"),
+                     F.concat(F.lit("load --customer "), F.col("c_custkey").cast("string"),
+                              F.lit(" --ref {{EnvRefId}}")).alias("command"))
+    refs = table(spark, d, "nation").where(F.col("n_regionkey") != 4).select(
+        F.concat(F.lit("env-"), F.col("n_nationkey").cast("string")).alias("environment_name"),
+        F.lit("DataCatalog").alias("project_name"), F.lit("Migration").alias("folder_name"),
+        (F.col("n_nationkey").cast("bigint") + 1000).alias("reference_id"))
+    out = render_template(steps, refs, ["environment_name", "project_name", "folder_name"])
+    return out.select("step_id", "command", "error")
+
+
+LINEITEM_RULES_SQL = [
+    ("quantity_positive", "l_quantity > 0"),
+    ("discount_at_most_0_08", "l_discount <= 0.08"),
+    ("quantity_below_50", "l_quantity < 50"),
+    ("returnflag_known", "l_returnflag IN ('A', 'N', 'R')"),
+    ("linenumber_1_to_7", "l_linenumber BETWEEN 1 AND 7"),
+    ("shipdate_not_null", "l_shipdate IS NOT NULL"),
+]
+
+
+def q_row_checks(spark, d):
+    li = table(spark, d, "lineitem")
+    rules = {name: F.expr(pred) for name, pred in LINEITEM_RULES_SQL}
+    _, bad = row_checks(li, rules)
+    return bad.select("l_orderkey", "l_linenumber", "failed_rules_text")
+
+
+_fails = ", ".join(f"CASE WHEN NOT coalesce({p}, true) THEN '{n}' END"
+                   for n, p in LINEITEM_RULES_SQL)
+
+ORACLE = {
+    "reconcile_actions": f"""SELECT coalesce(d.s_suppkey, a.s_suppkey) AS s_suppkey,
+  CASE WHEN a.s_suppkey IS NULL THEN 'create' WHEN d.s_suppkey IS NULL THEN 'extra'
+       WHEN d.s_name IS DISTINCT FROM a.s_name OR d.s_nationkey IS DISTINCT FROM a.s_nationkey
+         OR d.s_acctbal IS DISTINCT FROM a.s_acctbal THEN 'replace' ELSE 'keep' END AS action
+FROM {D_SQL} d FULL OUTER JOIN {A_SQL} a ON d.s_suppkey = a.s_suppkey""",
+    "upsert_by_key": f"""SELECT * FROM {A_SQL} a WHERE s_suppkey NOT IN (SELECT s_suppkey FROM {D_SQL} d)
+UNION ALL SELECT * FROM {D_SQL} d""",
+    "insert_if_absent": """SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer
+  WHERE c_acctbal >= 0
+UNION ALL
+SELECT c_custkey, CASE WHEN c_nationkey = 5 THEN upper(c_name) ELSE c_name END, c_nationkey,
+  c_mktsegment FROM customer WHERE c_acctbal < 0""",
+    "get_or_assign_ids": """WITH a AS (SELECT c_name AS name, c_custkey AS id FROM customer
+    WHERE c_acctbal >= 0),
+w AS (SELECT DISTINCT name FROM (SELECT c_name AS name FROM customer
+      UNION ALL SELECT s_name FROM supplier) u)
+SELECT w.name, a.id FROM w JOIN a ON w.name = a.name
+UNION ALL
+SELECT name, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY name) AS id
+FROM w WHERE name NOT IN (SELECT name FROM a)""",
+    "render_template": """SELECT c.c_custkey AS step_id,
+  CASE WHEN r.reference_id IS NULL THEN NULL ELSE replace('load --customer '
+    || CAST(c.c_custkey AS VARCHAR) || ' --ref {{EnvRefId}}', '{{EnvRefId}}',
+    CAST(r.reference_id AS VARCHAR)) END AS command,
+  CASE WHEN r.reference_id IS NULL THEN 'no reference for env-' || CAST(c.c_nationkey AS VARCHAR)
+    || '/DataCatalog/Migration' END AS error
+FROM customer c LEFT JOIN (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) + 1000 AS reference_id
+  FROM nation WHERE n_regionkey <> 4) r ON c.c_nationkey = r.n_nationkey""",
+    "row_checks": f"""SELECT l_orderkey, l_linenumber, failed_rules_text FROM (
+  SELECT l_orderkey, l_linenumber, concat_ws(',', {_fails}) AS failed_rules_text FROM lineitem) x
+WHERE failed_rules_text <> ''""",
+}
+
+QUERIES = {
+    "reconcile_actions": q_reconcile_actions,
+    "upsert_by_key": q_upsert_by_key,
+    "insert_if_absent": q_insert_if_absent,
+    "get_or_assign_ids": q_get_or_assign_ids,
+    "render_template": q_render_template,
+    "row_checks": q_row_checks,
+}
