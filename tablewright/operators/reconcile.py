@@ -65,41 +65,44 @@ def insert_if_absent(actual: DataFrame, desired: DataFrame, keys) -> DataFrame:
     return actual.unionByName(new.select(*actual.columns))
 
 
-def get_or_assign_ids(desired: DataFrame, actual: DataFrame, keys, id_col: str) -> DataFrame:
-    """C-05: (keys…, id_col): the existing id when the key exists, else the next free ids
-    (max existing id + 1, + 2, … in key order).
+def assign_sequential_ids(df: DataFrame, order, id_col: str, start: int = 1,
+                          id_type: str = "bigint") -> DataFrame:
+    """Number the rows of ``df`` start, start+1, … in ``order`` without a global window.
 
-    The new keys are range-sorted and checkpointed; per-partition row counts (one row per
-    partition) give each partition its offset, and the position inside a partition comes
-    from ``monotonically_increasing_id``. No step gathers the keys into one task.
+    The rows are range-sorted and checkpointed (lineage cut in the shared checkpoint
+    folder); per-partition counts – one row per partition – give each partition its
+    offset, and ``monotonically_increasing_id`` gives the position inside it.
     """
-    keys = _keys(keys)
-    spark = desired.sparkSession
+    order = _keys(order)
+    spark = df.sparkSession
     scratch_dir(spark)  # makes sure a checkpoint location is registered
-    existing = actual.select(*keys, id_col)
-    wanted = desired.select(*keys).dropDuplicates(keys)
-    found = wanted.join(existing, keys, "inner")
-    new = (wanted.join(existing.select(*keys), keys, "left_anti").orderBy(*keys)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id())
-                 .checkpoint(eager=True))
-    # Bounded collects: one scalar, and one row per partition of the new keys.
-    max_id = actual.agg(F.max(id_col)).first()[0] or 0
+    ranked = (df.orderBy(*order)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
     counts = sorted((r["_pid"], r["n"]) for r in
-                    new.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = {}, 0
+                    ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, run = [], 0
     for pid, n in counts:
-        offsets[pid] = run
+        offsets += [F.lit(pid), F.lit(run)]
         run += n
-    if offsets:
-        pairs = [x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))]
-        offset = F.element_at(F.create_map(*pairs), F.col("_pid"))
-    else:
-        offset = F.lit(0)
+    offset = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0)
     in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    assigned = new.select(*keys, (F.lit(max_id) + offset + in_part + 1)
-                          .cast(existing.schema[id_col].dataType).alias(id_col))
-    return found.unionByName(assigned)
+    return (ranked.withColumn(id_col, (F.lit(start) + offset + in_part).cast(id_type))
+                  .drop("_pid", "_mid"))
+
+
+def get_or_assign_ids(desired: DataFrame, actual: DataFrame, keys, id_col: str) -> DataFrame:
+    """C-05: (keys…, id_col): the existing id when the key exists, else the next free ids
+    (max existing id + 1, + 2, … in key order). See :func:`assign_sequential_ids`."""
+    keys = _keys(keys)
+    existing = actual.select(*keys, id_col)
+    wanted = desired.select(*keys).dropDuplicates(keys)
+    found = wanted.join(existing, keys, "inner")
+    new = wanted.join(existing.select(*keys), keys, "left_anti")
+    max_id = actual.agg(F.max(id_col)).first()[0] or 0  # one scalar
+    dtype = existing.schema[id_col].dataType.simpleString()
+    return found.unionByName(assign_sequential_ids(new, keys, id_col, max_id + 1, dtype))
 
 
 def render_template(steps: DataFrame, references: DataFrame, lookup_keys, *,
