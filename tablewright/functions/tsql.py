@@ -13,6 +13,9 @@ RUN_STATUS_UNKNOWN = "Unknown"
 # Numeric-looking pattern (our documented stand-in for ISNUMERIC) and date formats (ISDATE).
 NUMERIC_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss")
+# Shape of each format (same order): only text of this shape is handed to the parser.
+DATE_SHAPES = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{8}$", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+               r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")
 # -------------------------------------------------------------------------------------------
 
 
@@ -30,11 +33,14 @@ def looks_numeric(c, pattern: str = NUMERIC_PATTERN) -> Column:
     return F.coalesce(F.trim(_col(c)).rlike(pattern), F.lit(False))
 
 
-def looks_date(c, formats=DATE_FORMATS) -> Column:
-    """Date-looking text (stand-in for ISDATE = 1): parses under one of ``formats``."""
+def looks_date(c, formats=DATE_FORMATS, shapes=DATE_SHAPES) -> Column:
+    """Date-looking text (stand-in for ISDATE = 1): has the shape of one of ``formats`` and
+    parses as a valid date/time under it. The shape test is a cheap regex, so the parser
+    (costly on failures) only sees plausible text."""
     s = F.trim(_col(c))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-    return parsed.isNotNull()
+    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
+             for f, shape in zip(formats, shapes)]
+    return F.coalesce(*tries).isNotNull()
 
 
 def _is_ntz(dtype) -> bool:

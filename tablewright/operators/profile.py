@@ -19,8 +19,10 @@ collected when advanced mode needs the limits as literals.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,34 +128,46 @@ def column_stats(df: DataFrame, cols: list[ProfileColumn], approx_rsd: float | N
     return agg.select(F.inline("cols"), "row_count")
 
 
-def _value_text(pc: ProfileColumn, digest_lob: bool) -> Column:
+def _value_key(pc: ProfileColumn, digest_lob: bool) -> tuple[str, Column]:
+    """(kind, typed value) used for grouping. Values are grouped in their own type and only
+    turned into text after aggregation, when there are few rows left."""
     c = F.col(f"`{pc.name}`")
-    if isinstance(pc.dtype, T.BinaryType):
-        return F.sha2(c, 256) if (digest_lob and pc.type_class == LOB) else F.hex(c)
-    if digest_lob and pc.type_class == LOB:
-        return F.sha2(c.cast("string"), 256)
-    return c.cast("string")
+    dt = pc.dtype
+    if isinstance(dt, T.BinaryType):
+        return ("string", F.sha2(c, 256) if (digest_lob and pc.type_class == LOB) else F.hex(c))
+    if pc.type_class == LOB and digest_lob:
+        return ("string", F.sha2(c.cast("string"), 256))
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return ("bigint", c.cast("bigint")) if isinstance(dt, T.LongType) else (dt.simpleString(), c)
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DateType, T.TimestampType,
+                       T.TimestampNTZType, T.BooleanType, T.DecimalType)):
+        return (dt.simpleString(), c)
+    return ("string", c.cast("string"))
 
 
 def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True) -> DataFrame:
     """(column_name, value, count) for every value of every listed column, NULL included.
 
-    Values are compared as text (binary as hex; long text by SHA-256 digest when
-    ``digest_lob``). One Expand + partial aggregate per map task, one shuffle.
+    Columns are unpivoted per value type (an Expand feeding a partial aggregate per map
+    task, then one shuffle per type); the text form of a value (binary as hex; long text
+    by SHA-256 digest when ``digest_lob``) is made after aggregation.
     """
-    cols = []
-    for item in columns:
-        if isinstance(item, ProfileColumn):
-            cols.append(item)
-        else:
-            field = df.schema[item]
-            from tablewright.operators.columns import classify
-            cols.append(classify(field, lob_cols))
-    pairs = F.array(*[F.struct(F.lit(pc.name).alias("column_name"),
-                               _value_text(pc, digest_lob).alias("value")) for pc in cols])
-    return (df.select(F.inline(pairs))
-              .groupBy("column_name", "value")
-              .agg(F.count(F.lit(1)).alias("count")))
+    from tablewright.operators.columns import classify
+    cols = [item if isinstance(item, ProfileColumn) else classify(df.schema[item], lob_cols)
+            for item in columns]
+    by_kind: dict[str, list] = {}
+    for pc in cols:
+        kind, val = _value_key(pc, digest_lob)
+        by_kind.setdefault(kind, []).append(
+            F.struct(F.lit(pc.name).alias("column_name"), val.alias("value")))
+    parts = []
+    for kind, structs in by_kind.items():
+        counted = (df.select(F.inline(F.array(*structs)))
+                     .groupBy("column_name", "value")
+                     .agg(F.count(F.lit(1)).alias("count")))
+        parts.append(counted.select("column_name", F.col("value").cast("string").alias("value"),
+                                    "count"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _distinct_from_counts(vc: DataFrame) -> DataFrame:
@@ -245,41 +259,52 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         distinct = spark.createDataFrame([], "column_name string, no_distinct bigint, "
                                                  "row_total bigint")
 
-    prof = stats.join(distinct.drop("row_total"), "column_name", "left").withColumn(
-        "no_distinct", F.coalesce(F.col("no_distinct"), F.col("approx_distinct")))
+    if advanced and exact_cols:
+        # Reused by the distinct counts and the domains: kept once instead of recomputed.
+        vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+        distinct = _distinct_from_counts(vc)
 
-    if fks is None:
-        prof = prof.withColumn("is_fk", F.lit(False))
-    else:
+    prof = stats.join(distinct.drop("row_total"), "column_name", "left")
+    is_fk = F.lit(False)
+    if fks is not None:
         fk_df = fks if isinstance(fks, DataFrame) else spark.createDataFrame(
             [(n,) for n in fks], "column_name string")
+        # one row per foreign-key column of the table: bounded by its width
         fk_names = fk_df.select("column_name").distinct().withColumn("_fk", F.lit(True))
-        prof = (prof.join(F.broadcast(fk_names), "column_name", "left")
-                    .withColumn("is_fk", F.coalesce(F.col("_fk"), F.lit(False))).drop("_fk"))
-
-    prof = (prof
-            .withColumn("table_schema", F.lit(table_schema).cast("string"))
-            .withColumn("table_name", F.lit(table_name).cast("string"))
-            .withColumn("percentage_nulls", pct_of("no_nulls", "row_count"))
-            .withColumn("percentage_zero_length", pct_of("no_zero_length", "row_count")))
+        prof = prof.join(F.broadcast(fk_names), "column_name", "left")
+        is_fk = F.coalesce(F.col("_fk"), F.lit(False))
 
     domains = spark.createDataFrame(
         [], "domain_name string, domain_element string, domain_counter bigint, "
             "domain_percent decimal(7,4)")
-    prof = prof.withColumn("no_at_limit", F.lit(None).cast("bigint"))
     if advanced:
+        # The joined profile is one small row per column: kept so the collect below and
+        # the final frame do not both recompute it.
+        prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
+        # Bounded collect: one row per profiled column, needed as literals for the limits.
         rows = prof.select("column_name", "max_raw", "min_raw", "max_data_length",
                            "min_data_length", "row_count").collect()
         if not rows or rows[0]["row_count"] == 0:
             raise ValueError("There is no data in the table to analyse")
         limits = boundary_counts(df, rows, cols)
-        prof = (prof.drop("no_at_limit")
-                    .join(F.broadcast(limits), "column_name", "left"))
+        prof = prof.join(F.broadcast(limits), "column_name", "left")
         domains = _domains_with_lob_values(df, cols, vc, distinct, distinct_min)
-    prof = suggest(prof, distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
-                   boundary=boundary if advanced else None,
-                   sparse_thresholds=sparse_thresholds)
-    return ProfileResult(prof.select(*PROFILE_COLUMNS), domains, unknown)
+    at_limit = F.col("no_at_limit") if advanced else F.lit(None).cast("bigint")
+
+    keep = [c for c in PROFILE_COLUMNS if c not in (
+        "table_schema", "table_name", "no_distinct", "percentage_nulls",
+        "percentage_zero_length", "no_at_limit", "is_fk", "data_type_comments", "comments")]
+    base = prof.select(
+        F.lit(table_schema).cast("string").alias("table_schema"),
+        F.lit(table_name).cast("string").alias("table_name"),
+        *keep,
+        F.coalesce(F.col("no_distinct"), F.col("approx_distinct")).alias("no_distinct"),
+        pct_of("no_nulls", "row_count").alias("percentage_nulls"),
+        pct_of("no_zero_length", "row_count").alias("percentage_zero_length"),
+        at_limit.alias("no_at_limit"), is_fk.alias("is_fk"))
+    out = suggest(base, distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
+                  boundary=boundary if advanced else None, sparse_thresholds=sparse_thresholds)
+    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown)
 
 
 def _domains_with_lob_values(df, cols, vc, distinct, distinct_min):

@@ -131,6 +131,6 @@ def suggest(prof: DataFrame, *, distinct_min: int = 200, null_pct: float = 90.0,
                     >= rows.cast("decimal(38,6)") * F.lit(Decimal(str(boundary))))
         tail.append(when_(share_ok, TXT_AT_LIMIT))
     comments = F.concat(replaced, F.array_compact(F.array(*tail)))
-    out = prof.withColumn("comments", comments).withColumn(
-        "data_type_comments", F.nullif(F.array_join("comments", ""), F.lit("")))
-    return out.drop("_sparse_threshold") if sparse_thresholds is not None else out
+    keep = [F.col(f"`{c}`") for c in prof.columns if c != "_sparse_threshold"]
+    return prof.select(*keep, comments.alias("comments"),
+                       F.nullif(F.array_join(comments, ""), F.lit("")).alias("data_type_comments"))

@@ -6,7 +6,7 @@ aggregates and COUNT(DISTINCT), joined by UNION ALL, then the rules as CASE expr
 
 from __future__ import annotations
 
-from tablewright.functions.tsql import NUMERIC_PATTERN
+from tablewright.functions.tsql import DATE_SHAPES, NUMERIC_PATTERN
 from tablewright.operators import suggest as S
 
 DUCK_DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S")
@@ -40,7 +40,9 @@ def column_select(source: str, table_name: str, col: str, cls: str, sql_type: st
                           f"FROM {source}) OR {ln} = (SELECT MIN({ln}) FROM {source}))")
     if cls == "text":
         f["isnum"] = f"COUNT(*) FILTER (WHERE regexp_matches(trim({c}), {_q(NUMERIC_PATTERN)}))"
-        parsed = ", ".join(f"try_strptime(trim({c}), {_q(x)})" for x in DUCK_DATE_FORMATS)
+        parsed = ", ".join(f"CASE WHEN regexp_matches(trim({c}), {_q(sh)}) THEN "
+                           f"try_strptime(trim({c}), {_q(x)}) END"
+                           for x, sh in zip(DUCK_DATE_FORMATS, DATE_SHAPES))
         f["isdate"] = f"COUNT(*) FILTER (WHERE coalesce({parsed}) IS NOT NULL)"
     if cls == "numeric":
         f["min_l"] = f"CAST(MIN({c}) AS DECIMAL(38,6))"
