@@ -59,18 +59,19 @@ def split_rejects(parsed: DataFrame, target: T.StructType, *, sep: str = ",",
                   quoting: str = "csv"):
     """(good, rejects) of a parsed frame; rejects carry ``raw_line`` and ``reason``."""
     names = [f.name for f in target.fields]
-    good = parsed.where(F.col(BAD).isNull()).select(*[F.col(f"`{c}`") for c in names])
+    # Keeps every column in the scan whatever the caller projects (even a bare count()):
+    # the CSV reader checks a line's field count only over the columns it reads, and it
+    # refuses a plan that reads the corrupt-record column alone. Always true.
+    all_read = F.length(F.concat_ws(sep, *[F.col(f"`{c}`") for c in names], F.col(BAD))) >= 0
+    good = (parsed.where(F.col(BAD).isNull() & all_read)
+                  .select(*[F.col(f"`{c}`") for c in names]))
     pattern = _re_escape(sep) + (QUOTED_SPLIT[1:] if quoting == "csv" else "")
     fields = F.size(F.split(F.col(BAD), pattern))
     n = len(names)
     reason = (F.when(fields < n, "too few fields").when(fields > n, "too many fields")
                .otherwise("malformed"))
-    # Every data column is referenced as well: the reader refuses a raw-file plan that
-    # reads only the corrupt-record column, and with CSV column pruning it would not check
-    # the field count of columns it does not read.
-    raw = F.coalesce(F.col(BAD), F.concat_ws(sep, *[F.col(f"`{c}`") for c in names]))
-    rejects = parsed.where(F.col(BAD).isNotNull()).select(raw.alias("raw_line"),
-                                                          reason.alias("reason"))
+    rejects = (parsed.where(F.col(BAD).isNotNull() & all_read)
+                     .select(F.col(BAD).alias("raw_line"), reason.alias("reason")))
     return good, rejects
 
 
