@@ -125,3 +125,43 @@ def quote_ident(name: str) -> str:
 def concat_nulls_as_empty(*cols) -> Column:
     """T-SQL CONCAT: NULL parts count as empty text."""
     return F.concat_ws("", *[_col(c) for c in cols])
+
+
+# --- the same rules as SQL text (one JVM-side parse instead of many py4j calls) ---------------
+
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_NUMERIC_FIRST = "('0','1','2','3','4','5','6','7','8','9','+','-','.')"
+
+
+def looks_numeric_sql(c: str, pattern: str = NUMERIC_PATTERN) -> str:
+    """Same rule as :func:`looks_numeric`; a first-character test skips the regex for text
+    that cannot match (the pattern starts with a digit, a sign or a dot)."""
+    t = f"trim({c})"
+    return f"coalesce(substr({t}, 1, 1) IN {_NUMERIC_FIRST} AND {t} RLIKE r'{pattern}', false)"
+
+
+def looks_date_sql(c: str, formats=DATE_FORMATS, shapes=DATE_SHAPES) -> str:
+    """Same rule as :func:`looks_date`; every shape starts with a digit, so other text is
+    skipped before any regex or parse."""
+    t = f"trim({c})"
+    tries = ", ".join(f"CASE WHEN {t} RLIKE r'{shape}' THEN try_to_timestamp({t}, '{f}') END"
+                      for f, shape in zip(formats, shapes))
+    return (f"coalesce(substr({t}, 1, 1) BETWEEN '0' AND '9' AND (coalesce({tries}) IS NOT NULL),"
+            f" false)")
+
+
+def time_of_day_nonzero_sql(c: str, ntz: bool) -> str:
+    if ntz:
+        return f"(CAST(CAST({c} AS DATE) AS TIMESTAMP_NTZ) <> {c})"
+    return f"(date_trunc('DAY', {c}) <> {c})"
+
+
+def seconds_nonzero_sql(c: str, ntz: bool) -> str:
+    if ntz:
+        return (f"(make_timestamp_ntz(year({c}), month({c}), day({c}), hour({c}), minute({c}), 0)"
+                f" <> {c})")
+    return f"(date_trunc('MINUTE', {c}) <> {c})"

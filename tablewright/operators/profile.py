@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.tsql import (
-    len_tsql, looks_date, looks_numeric, pct_of, seconds_nonzero, time_of_day_nonzero,
+    looks_date_sql, looks_numeric_sql, pct_of, quote_ident, seconds_nonzero_sql, sql_str,
+    time_of_day_nonzero_sql,
 )
 from tablewright.operators.columns import (
     BINARY, DATE, LOB, NUMERIC, OTHER, TEXT, ProfileColumn, select_profile_columns,
@@ -64,67 +65,103 @@ class ProfileResult:
     unknown_columns: list
 
 
-def _null(dtype: str) -> Column:
-    return F.lit(None).cast(dtype)
+def _length_sql(pc: ProfileColumn) -> str:
+    c = quote_ident(pc.name)
+    return f"length({c})" if isinstance(pc.dtype, T.BinaryType) else f"length(rtrim({c}))"
 
 
-def _length_of(pc: ProfileColumn) -> Column:
-    c = F.col(f"`{pc.name}`")
-    if isinstance(pc.dtype, T.BinaryType):
-        return F.length(c)
-    return len_tsql(c)
+def _exact_cents_sql(c: str) -> tuple[str, str]:
+    """Two per-row parts whose sums give SUM(CAST(c AS DECIMAL(36,2))) exactly for a
+    floating column, without a decimal cast (a costly text round trip) per row.
 
+    When |c| < 1e13 and c*100 is within 1e-7 of an integer k, rounding c to two decimals
+    gives exactly k/100, so k is summed as an integer; the other values take the cast.
+    """
+    fast = f"(abs({c}) < 1e13 AND abs({c} * 100 - rint({c} * 100)) < 1e-7)"
+    cents = f"CASE WHEN {fast} THEN CAST(CAST(rint({c} * 100) AS BIGINT) AS DECIMAL(38,0)) END"
+    slow = f"CASE WHEN NOT {fast} THEN try_cast({c} AS DECIMAL(36,2)) END"
+    return cents, slow
 
-def _count_if(pred: Column) -> Column:
-    return F.count_if(F.coalesce(pred, F.lit(False)))
 
+def _column_parts(i: int, pc: ProfileColumn, approx_rsd: float | None):
+    """(pre-projection expressions, named_struct SQL) for one column.
 
-def _column_stats(pc: ProfileColumn, approx_rsd: float | None) -> Column:
-    """One struct of aggregate expressions for one column (all evaluated in one pass)."""
-    c = F.col(f"`{pc.name}`")
-    v = {name: _null(t) for name, t in STAT_FIELDS}
-    v["column_name"] = F.lit(pc.name)
-    v["column_data_length"] = F.lit(pc.declared_length).cast("int")
-    v["data_type"] = F.lit(pc.dtype.simpleString())
-    v["type_class"] = F.lit(pc.type_class)
-    v["sql_type"] = F.lit(pc.sql_type)
-    v["no_nulls"] = _count_if(c.isNull())
+    Per-row work (lengths, pattern tests, time-of-day tests) is computed once in a
+    projection; the aggregate then only folds those values. Both run in the same stage.
+    """
+    c = quote_ident(pc.name)
+    pre: dict[str, str] = {}
+
+    def col(tag: str, expr: str) -> str:
+        name = f"_p{i}_{tag}"
+        pre[name] = expr
+        return name
+
+    v = {name: "NULL" for name, _ in STAT_FIELDS}
+    v["column_name"] = sql_str(pc.name)
+    v["column_data_length"] = "NULL" if pc.declared_length is None else str(pc.declared_length)
+    v["data_type"] = sql_str(pc.dtype.simpleString())
+    v["type_class"] = sql_str(pc.type_class)
+    v["sql_type"] = sql_str(pc.sql_type)
+    v["no_nulls"] = f"count_if({col('null', f'{c} IS NULL')})"
     is_string = isinstance(pc.dtype, (T.StringType, T.VarcharType, T.CharType))
+    ntz = isinstance(pc.dtype, T.TimestampNTZType)
 
     if pc.type_class in (TEXT, LOB, BINARY):
-        ln = _length_of(pc)
-        v["max_data_length"] = F.max(ln).cast(DEC)
-        v["min_data_length"] = F.min(ln).cast(DEC)
+        ln = col("len", _length_sql(pc))
+        v["max_data_length"] = f"max({ln})"
+        v["min_data_length"] = f"min({ln})"
         # integer average, as the reference's AVG over an integer length
-        v["avg_data_length"] = F.avg(ln).cast("bigint").cast("double")
+        v["avg_data_length"] = f"CAST(avg({ln}) AS BIGINT)"
     if pc.type_class == TEXT and is_string:
-        v["no_is_numeric"] = _count_if(looks_numeric(c))
-        v["no_is_date"] = _count_if(looks_date(c))
+        v["no_is_numeric"] = f"count_if({col('num', looks_numeric_sql(c))})"
+        v["no_is_date"] = f"count_if({col('date', looks_date_sql(c))})"
     if pc.type_class in (TEXT, LOB) and is_string:
-        v["no_zero_length"] = _count_if(F.length(F.trim(c)) == 0)
+        v["no_zero_length"] = f"count_if({col('blank', f'length(trim({c})) = 0')})"
     if pc.type_class == NUMERIC:
-        v["max_data_length"] = F.max(c).try_cast(DEC)
-        v["min_data_length"] = F.min(c).try_cast(DEC)
-        v["avg_data_length"] = (F.try_sum(c.try_cast("decimal(36,2)")).cast("double")
-                                / F.count(c))
-        v["max_raw"] = F.max(c).cast("string")
-        v["min_raw"] = F.min(c).cast("string")
+        raw = col("v", c)
+        v["max_data_length"] = f"try_cast(max({raw}) AS {DEC})"
+        v["min_data_length"] = f"try_cast(min({raw}) AS {DEC})"
+        v["max_raw"] = f"CAST(max({raw}) AS STRING)"
+        v["min_raw"] = f"CAST(min({raw}) AS STRING)"
+        if isinstance(pc.dtype, (T.FloatType, T.DoubleType)):
+            cents_sql, slow_sql = _exact_cents_sql(c)
+            cents, slow = col("cents", cents_sql), col("slow", slow_sql)
+            total = (f"(coalesce(try_sum({cents}), 0) * CAST(0.01 AS DECIMAL(3,2))"
+                     f" + coalesce(try_sum({slow}), 0))")
+        else:
+            total = f"try_sum({col('dec', f'CAST({c} AS DECIMAL(36,2))')})"
+        v["avg_data_length"] = (f"CASE WHEN count({raw}) > 0 THEN CAST({total} AS DOUBLE)"
+                                f" / count({raw}) END")
     if pc.type_class == DATE:
-        v["max_date"] = F.max(c).cast("timestamp_ntz")
-        v["min_date"] = F.min(c).cast("timestamp_ntz")
+        raw = col("v", c)
+        v["max_date"] = f"CAST(max({raw}) AS TIMESTAMP_NTZ)"
+        v["min_date"] = f"CAST(min({raw}) AS TIMESTAMP_NTZ)"
         if isinstance(pc.dtype, (T.TimestampType, T.TimestampNTZType)):
-            v["no_date_with_hour_minute_second"] = _count_if(time_of_day_nonzero(c, pc.dtype))
-            v["no_date_with_second"] = _count_if(seconds_nonzero(c, pc.dtype))
+            tod = col("tod", time_of_day_nonzero_sql(c, ntz))
+            sec = col("sec", seconds_nonzero_sql(c, ntz))
+            v["no_date_with_hour_minute_second"] = f"count_if({tod})"
+            v["no_date_with_second"] = f"count_if({sec})"
     if approx_rsd is not None:
-        v["approx_distinct"] = F.approx_count_distinct(c, approx_rsd)
-    return F.struct(*[v[name].cast(t).alias(name) for name, t in STAT_FIELDS])
+        v["approx_distinct"] = f"approx_count_distinct({col('v', c)}, {float(approx_rsd)})"
+    struct = "named_struct(" + ", ".join(f"'{name}', CAST({v[name]} AS {t})"
+                                         for name, t in STAT_FIELDS) + ")"
+    return pre, struct
 
 
 def column_stats(df: DataFrame, cols: list[ProfileColumn], approx_rsd: float | None = None
                  ) -> DataFrame:
-    """Stage 1: one aggregate over ``df`` -> one row per column (+ row_count)."""
-    agg = df.agg(F.array(*[_column_stats(pc, approx_rsd) for pc in cols]).alias("cols"),
-                 F.count(F.lit(1)).alias("row_count"))
+    """Stage 1: one projection + one aggregate over ``df`` -> one row per column
+    (+ row_count). A single scan, partial aggregation per task, one tiny shuffle."""
+    pre: dict[str, str] = {}
+    structs = []
+    for i, pc in enumerate(cols):
+        p, st = _column_parts(i, pc, approx_rsd)
+        pre.update(p)
+        structs.append(st)
+    projected = df.select(*[F.expr(e).alias(n) for n, e in pre.items()])
+    agg = projected.agg(F.expr(f"array({', '.join(structs)})").alias("cols"),
+                        F.count(F.lit(1)).alias("row_count"))
     return agg.select(F.inline("cols"), "row_count")
 
 
@@ -148,9 +185,12 @@ def _value_key(pc: ProfileColumn, digest_lob: bool) -> tuple[str, Column]:
 def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True) -> DataFrame:
     """(column_name, value, count) for every value of every listed column, NULL included.
 
-    Columns are unpivoted per value type (an Expand feeding a partial aggregate per map
+    Columns are unpivoted per value type (a Generate feeding a partial aggregate per map
     task, then one shuffle per type); the text form of a value (binary as hex; long text
-    by SHA-256 digest when ``digest_lob``) is made after aggregation.
+    by SHA-256 digest when ``digest_lob``) is made after aggregation, from few rows. The
+    per-type scans read disjoint column sets, so the table's bytes are read once in total;
+    a single scan with one nullable slot per type measured about twice as slow (wider
+    grouping keys).
     """
     from tablewright.operators.columns import classify
     cols = [item if isinstance(item, ProfileColumn) else classify(df.schema[item], lob_cols)
@@ -176,6 +216,14 @@ def _distinct_from_counts(vc: DataFrame) -> DataFrame:
                                          F.sum("count").cast("bigint").alias("row_total"))
 
 
+def _length_of(pc: ProfileColumn) -> Column:
+    return F.expr(_length_sql(pc))
+
+
+def _count_if(pred: Column) -> Column:
+    return F.count_if(F.coalesce(pred, F.lit(False)))
+
+
 def boundary_counts(df: DataFrame, stats_rows, cols: list[ProfileColumn]) -> DataFrame:
     """Stage 3 (D-16): rows whose value (numerics) or length (text, binary) sits at the
     column's min or max; one aggregate, limits passed as literals."""

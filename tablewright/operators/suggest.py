@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.tsql import int_div
+from tablewright.functions.tsql import sql_str
 
 # --- fixed values (must equal the reference's for equal results) -------------------------
 # Suggestion texts, in rule order. Version remarks are dropped from the texts.
@@ -50,87 +50,80 @@ FILESTREAM_AVG = 1000000
 # -------------------------------------------------------------------------------------------
 
 
-def _ts(s: str) -> Column:
-    return F.lit(s).cast("timestamp_ntz")
+def _when(pred: str, text: str) -> str:
+    return f"CASE WHEN coalesce({pred}, false) THEN {sql_str(text)} END"
 
 
-def type_suggestion(type_pct: int = 2) -> Column:
-    """D-10 … D-12: last matching rule wins (rules listed in reverse order here)."""
-    t, rows = F.col("sql_type"), F.col("row_count")
-    lo, hi = F.col("min_data_length"), F.col("max_data_length")
-    dlo, dhi = F.col("min_date"), F.col("max_date")
-    variance = int_div(rows * type_pct, F.lit(100))
-    near_all = lambda c: c.between(rows - variance, rows + variance)
+def type_suggestion_sql(type_pct: int = 2) -> str:
+    """D-10 … D-12 as SQL: the reference applies its type rules in order and the last
+    matching one wins, so the CASE lists them in reverse order."""
+    variance = f"((row_count * {int(type_pct)}) div 100)"
+    near = lambda c: f"{c} BETWEEN row_count - {variance} AND row_count + {variance}"
+    text_types = ", ".join(sql_str(t) for t in TEXT_TYPES)
+    ts = lambda d: f"CAST({sql_str(d)} AS TIMESTAMP_NTZ)"
     rules = [
-        (t.isin("datetime2") & (dlo >= _ts(DATETIME_RANGE[0])) & (dhi <= _ts(DATETIME_RANGE[1])),
-         TXT_DATETIME),
-        ((F.col("no_date_with_hour_minute_second") == 0) & t.isin("datetime", "datetime2"),
-         TXT_DATE),
-        ((F.col("no_date_with_second") == 0) & (dlo >= _ts(SMALLDATE_RANGE[0]))
-         & (dhi <= _ts(SMALLDATE_RANGE[1])) & t.isin("datetime", "datetime2"), TXT_SMALLDATE),
-        ((lo >= TINYINT_LIMITS[0]) & (hi <= TINYINT_LIMITS[1]) & t.isin("bigint", "int", "smallint"),
-         TXT_TINYINT),
-        ((lo >= SMALLINT_LIMITS[0]) & (hi <= SMALLINT_LIMITS[1]) & t.isin("bigint", "int"),
-         TXT_SMALLINT),
-        ((lo >= INT_LIMITS[0]) & (hi <= INT_LIMITS[1]) & t.isin("bigint"), TXT_INT),
-        (near_all(F.col("no_is_numeric")) & t.isin(*TEXT_TYPES), TXT_NUMERIC_TYPES),
-        (near_all(F.col("no_is_date")) & t.isin(*TEXT_TYPES), TXT_DATE_TYPES),
+        (f"sql_type = 'datetime2' AND min_date >= {ts(DATETIME_RANGE[0])}"
+         f" AND max_date <= {ts(DATETIME_RANGE[1])}", TXT_DATETIME),
+        ("no_date_with_hour_minute_second = 0 AND sql_type IN ('datetime', 'datetime2')", TXT_DATE),
+        (f"no_date_with_second = 0 AND min_date >= {ts(SMALLDATE_RANGE[0])}"
+         f" AND max_date <= {ts(SMALLDATE_RANGE[1])} AND sql_type IN ('datetime', 'datetime2')",
+         TXT_SMALLDATE),
+        (f"min_data_length >= {TINYINT_LIMITS[0]} AND max_data_length <= {TINYINT_LIMITS[1]}"
+         " AND sql_type IN ('bigint', 'int', 'smallint')", TXT_TINYINT),
+        (f"min_data_length >= {SMALLINT_LIMITS[0]} AND max_data_length <= {SMALLINT_LIMITS[1]}"
+         " AND sql_type IN ('bigint', 'int')", TXT_SMALLINT),
+        (f"min_data_length >= {INT_LIMITS[0]} AND max_data_length <= {INT_LIMITS[1]}"
+         " AND sql_type = 'bigint'", TXT_INT),
+        (f"{near('no_is_numeric')} AND sql_type IN ({text_types})", TXT_NUMERIC_TYPES),
+        (f"{near('no_is_date')} AND sql_type IN ({text_types})", TXT_DATE_TYPES),
     ]
-    out = None
-    for pred, text in rules:
-        pred = F.coalesce(pred, F.lit(False))
-        out = F.when(pred, F.lit(text)) if out is None else out.when(pred, F.lit(text))
-    return out
+    return "CASE " + " ".join(f"WHEN coalesce({p}, false) THEN {sql_str(t)}" for p, t in rules) + " END"
 
 
-def _sparse_threshold(thresholds: DataFrame | None) -> Column:
-    if thresholds is not None:
-        return F.col("_sparse_threshold")
-    pairs = []
-    for name, pct in SPARSE_THRESHOLDS:
-        pairs += [F.lit(name), F.lit(pct).cast("decimal(9,4)")]
-    return F.element_at(F.create_map(*pairs), F.col("sql_type"))
+def comments_sql(*, distinct_min: int = 200, null_pct: float = 90.0, type_pct: int = 2,
+                 boundary: float | None = None, own_thresholds: bool = False) -> str:
+    """The ordered array of remarks for one profile row, as one SQL expression."""
+    few = f"no_distinct < {int(distinct_min)} AND row_count > {int(distinct_min)} AND NOT is_fk"
+    appended = [
+        type_suggestion_sql(type_pct),
+        _when("(percentage_nulls = 100 OR percentage_zero_length = 100) AND NOT is_fk", TXT_EMPTY),
+        _when(f"percentage_nulls >= CAST({sql_str(str(null_pct))} AS DECIMAL(9,4))", TXT_MANY_NULLS),
+        _when(f"{few} AND percentage_nulls <> 100 AND no_nulls <> 0", TXT_LOOKUP),
+        _when(f"{few} AND no_nulls = 0 AND NOT contains(lower(sql_type), 'date')"
+              " AND lower(sql_type) <> 'time'", TXT_FK),
+    ]
+    lob_bin = "sql_type = 'varbinary' AND column_data_length = -1"
+    replaced = (f"CASE WHEN coalesce({lob_bin} AND avg_data_length >= {FILESTREAM_AVG}, false)"
+                f" THEN array({sql_str(TXT_FILESTREAM_YES)})"
+                f" WHEN coalesce({lob_bin} AND avg_data_length < {FILESTREAM_AVG}, false)"
+                f" THEN array({sql_str(TXT_FILESTREAM_NO)})"
+                f" ELSE array_compact(array({', '.join(appended)})) END")
+    if own_thresholds:
+        threshold = "_sparse_threshold"
+    else:
+        pairs = ", ".join(f"{sql_str(t)}, CAST({p} AS DECIMAL(9,4))" for t, p in SPARSE_THRESHOLDS)
+        threshold = f"element_at(map({pairs}), sql_type)"
+    tail = [_when(f"percentage_nulls >= {threshold}", TXT_SPARSE)]
+    if boundary is not None:
+        tail.append(_when(f"CAST(no_at_limit AS DECIMAL(38,6)) >= CAST(row_count AS DECIMAL(38,6))"
+                          f" * CAST({sql_str(str(boundary))} AS DECIMAL(9,4))", TXT_AT_LIMIT))
+    return f"concat({replaced}, array_compact(array({', '.join(tail)})))"
 
 
 def suggest(prof: DataFrame, *, distinct_min: int = 200, null_pct: float = 90.0,
             type_pct: int = 2, boundary: float | None = None,
             sparse_thresholds: DataFrame | None = None) -> DataFrame:
     """Add ``comments`` (ordered array) and ``data_type_comments`` (joined text, NULL when
-    there is nothing to say) to a profile frame."""
+    there is nothing to say) to a profile frame (one row per column)."""
     if sparse_thresholds is not None:
         th = sparse_thresholds.select(F.col("data_type").alias("sql_type"),
                                       F.col("threshold").cast("decimal(9,4)")
                                       .alias("_sparse_threshold"))
         prof = prof.join(F.broadcast(th), "sql_type", "left")
-    t, rows = F.col("sql_type"), F.col("row_count")
-    pn, pz = F.col("percentage_nulls"), F.col("percentage_zero_length")
-    nd, nn, fk = F.col("no_distinct"), F.col("no_nulls"), F.col("is_fk")
-    few = (nd < distinct_min) & (rows > distinct_min) & ~fk
-
-    def when_(pred, text):
-        return F.when(F.coalesce(pred, F.lit(False)), F.lit(text))
-
-    appended = [
-        type_suggestion(type_pct),
-        when_(((pn == 100) | (pz == 100)) & ~fk, TXT_EMPTY),
-        when_(pn >= F.lit(Decimal(str(null_pct))), TXT_MANY_NULLS),
-        when_(few & (pn != 100) & (nn != 0), TXT_LOOKUP),
-        when_(few & (nn == 0) & ~F.lower(t).contains("date") & (F.lower(t) != "time"), TXT_FK),
-    ]
-    lob_bin = (t == "varbinary") & (F.col("column_data_length") == -1)
-    avg = F.col("avg_data_length")
-    before = F.array_compact(F.array(*appended))
-    replaced = (F.when(F.coalesce(lob_bin & (avg >= FILESTREAM_AVG), F.lit(False)),
-                       F.array(F.lit(TXT_FILESTREAM_YES)))
-                 .when(F.coalesce(lob_bin & (avg < FILESTREAM_AVG), F.lit(False)),
-                       F.array(F.lit(TXT_FILESTREAM_NO)))
-                 .otherwise(before))
-    tail = [when_(pn >= _sparse_threshold(sparse_thresholds), TXT_SPARSE)]
-    if boundary is not None:
-        share_ok = (F.col("no_at_limit").cast("decimal(38,6)")
-                    >= rows.cast("decimal(38,6)") * F.lit(Decimal(str(boundary))))
-        tail.append(when_(share_ok, TXT_AT_LIMIT))
-    comments = F.concat(replaced, F.array_compact(F.array(*tail)))
+    expr = comments_sql(distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
+                        boundary=boundary, own_thresholds=sparse_thresholds is not None)
     keep = [F.col(f"`{c}`") for c in prof.columns if c != "_sparse_threshold"]
-    return prof.select(*keep, comments.alias("comments"),
-                       F.nullif(F.array_join(comments, ""), F.lit("")).alias("data_type_comments"))
+    with_comments = prof.select(*keep, F.expr(expr).alias("comments"))
+    return with_comments.select(
+        *[F.col(f"`{c}`") for c in with_comments.columns],
+        F.nullif(F.array_join("comments", ""), F.lit("")).alias("data_type_comments"))
