@@ -60,6 +60,19 @@ def fk_constraints(fk_columns: DataFrame) -> DataFrame:
     return agg.select(*g, drop.alias("drop_script"), create.alias("create_script"))
 
 
+def foreign_key_columns(table_constraints: DataFrame, column_usage: DataFrame,
+                        table_schema: str, table_name: str) -> DataFrame:
+    """J-02: names of the columns of one table that take part in a FOREIGN KEY – the
+    constraint catalogue joined with its column usage on (name, schema, table), filtered
+    to the table. The result feeds ``profile(..., fks=...)``."""
+    tc = table_constraints.where((F.col("table_schema") == table_schema)
+                                 & (F.col("table_name") == table_name)
+                                 & (F.col("constraint_type") == "FOREIGN KEY"))
+    keys = ["constraint_name", "table_schema", "table_name"]
+    return (tc.select(*keys).join(column_usage.select(*keys, "column_name"), keys)
+              .select("column_name").distinct())
+
+
 def column_catalog(columns: DataFrame, fks: DataFrame, keys: DataFrame) -> DataFrame:
     """M-04: one row per column with its foreign-key target and primary/unique flags.
 

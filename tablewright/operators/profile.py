@@ -18,7 +18,7 @@ collected when advanced mode needs the limits as literals.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from decimal import Decimal
 
@@ -63,6 +63,13 @@ class ProfileResult:
     profile: DataFrame
     domains: DataFrame
     unknown_columns: list
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the frames kept for advanced mode once the results have been used."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached.clear()
 
 
 def _length_sql(pc: ProfileColumn) -> str:
@@ -307,9 +314,11 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         distinct = spark.createDataFrame([], "column_name string, no_distinct bigint, "
                                                  "row_total bigint")
 
+    kept: list = []
     if advanced and exact_cols:
         # Reused by the distinct counts and the domains: kept once instead of recomputed.
         vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(vc)
         distinct = _distinct_from_counts(vc)
 
     prof = stats.join(distinct.drop("row_total"), "column_name", "left")
@@ -329,6 +338,7 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         # The joined profile is one small row per column: kept so the collect below and
         # the final frame do not both recompute it.
         prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(prof)
         # Bounded collect: one row per profiled column, needed as literals for the limits.
         rows = prof.select("column_name", "max_raw", "min_raw", "max_data_length",
                            "min_data_length", "row_count").collect()
@@ -336,7 +346,8 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
             raise ValueError("There is no data in the table to analyse")
         limits = boundary_counts(df, rows, cols)
         prof = prof.join(F.broadcast(limits), "column_name", "left")
-        domains = _domains_with_lob_values(df, cols, vc, distinct, distinct_min)
+        domains = (_domains_with_lob_values(df, cols, vc, distinct, distinct_min)
+                   .orderBy(F.col("domain_name").asc(), F.col("domain_counter").desc()))
     at_limit = F.col("no_at_limit") if advanced else F.lit(None).cast("bigint")
 
     keep = [c for c in PROFILE_COLUMNS if c not in (
@@ -352,7 +363,21 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         at_limit.alias("no_at_limit"), is_fk.alias("is_fk"))
     out = suggest(base, distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
                   boundary=boundary if advanced else None, sparse_thresholds=sparse_thresholds)
-    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown)
+    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown, kept)
+
+
+def profile_table(spark, name: str, *, require_rows: bool = True, **options) -> ProfileResult:
+    """Profile a catalogue table by name (S-01/S-02 with the P-03 guards): the table must
+    exist, and – unless ``require_rows=False`` – hold at least one row (checked by reading
+    at most one row). ``options`` are those of :func:`profile`."""
+    if not spark.catalog.tableExists(name):
+        raise ValueError(f"The table does not exist: {name}")
+    df = spark.table(name)
+    if require_rows and df.isEmpty():
+        raise ValueError("There is no data in the table to analyse")
+    parts = name.split(".")
+    schema = parts[-2] if len(parts) > 1 else spark.catalog.currentDatabase()
+    return profile(df, table_schema=schema, table_name=parts[-1], **options)
 
 
 def _domains_with_lob_values(df, cols, vc, distinct, distinct_min):

@@ -50,13 +50,25 @@ def upsert_by_key(actual: DataFrame, desired: DataFrame, keys) -> DataFrame:
     """C-04/C-07 (apply): rows of ``actual`` whose key is not desired, plus all desired
     rows – the table after replacing by key."""
     keys = _keys(keys)
-    kept = actual.join(desired.select(*keys), keys, "left_anti")
-    return kept.unionByName(desired.select(*actual.columns))
+    kept = actual.join(desired.select(*keys), keys, "left_anti").select(*actual.columns)
+    return kept.select(*actual.columns).unionByName(desired.select(*actual.columns))
 
 
 apply_reconcile = upsert_by_key
 
 
+def upsert_by_any_key(actual: DataFrame, desired: DataFrame, key_sets) -> DataFrame:
+    """C-06 (N-26 fixed): an actual row is replaced when it matches a desired row on ANY of
+    the key sets (for job steps: the step id, or the step name); all desired rows are
+    then added. One anti join per key set."""
+    kept = actual
+    for keys in key_sets:
+        keys = _keys(keys)
+        kept = kept.join(desired.select(*keys).where(
+            reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])), keys, "left_anti")
+    return kept.select(*actual.columns).unionByName(desired.select(*actual.columns))
+
+
 def insert_if_absent(actual: DataFrame, desired: DataFrame, keys) -> DataFrame:
     """C-01/C-03/C-08: the existing rows stay as they are; desired rows whose key is absent
     are added."""

@@ -123,6 +123,16 @@ def gather_across(sources: dict, source_col: str = "source") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+PERMISSION_COLUMNS = ["owner", "object", "grantee", "grantor", "protect_type", "action", "column"]
+
+
+def permission_report(per_database: dict) -> DataFrame:
+    """R-06: the permission listing of every database as one frame with a ``database``
+    column (each input has the seven permission columns)."""
+    frames = {db: df.select(*PERMISSION_COLUMNS) for db, df in per_database.items()}
+    return gather_across(frames, source_col="database")
+
+
 def status_counts(history: DataFrame, status_col: str = "run_status") -> DataFrame:
     """P-09 applied: runs per status code with the decoded label."""
     return (history.groupBy(status_col)

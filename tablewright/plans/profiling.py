@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import classify
-from tablewright.operators.profile import domain_analysis, profile, value_counts
+from tablewright.operators.profile import domain_analysis, profile, profile_table, value_counts
 from tablewright.plans import table
 from tablewright.plans.oracle_profile import column_select, profile_sql, sql_pct
 
@@ -26,6 +26,12 @@ NULLS_OUT = ["table_name", "column_name", "no_nulls", "percentage_nulls", "no_ze
 SUGGEST_OUT = ["table_name", "column_name", "sql_type", "data_type_comments"]
 FK_OUT = ["table_name", "column_name", "is_fk", "no_distinct", "data_type_comments"]
 LIMIT_OUT = ["table_name", "column_name", "no_at_limit", "data_type_comments"]
+FULL_OUT = ["table_schema", "table_name", "column_name", "column_data_length", "sql_type",
+            "min_data_length", "max_data_length", "avg_data_length", "min_date", "max_date",
+            "no_distinct", "no_nulls", "no_zero_length", "percentage_nulls",
+            "percentage_zero_length", "no_date_with_hour_minute_second", "no_date_with_second",
+            "no_is_numeric", "no_is_date", "no_at_limit", "is_fk", "row_count",
+            "data_type_comments"]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -154,6 +160,11 @@ def q_boundary_counts(spark, d):
                    for t in ("labels", "orders", "lineitem")])
 
 
+def q_profile_table(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("tw_profile_orders")
+    return profile_table(spark, "tw_profile_orders").profile.select(*FULL_OUT)
+
+
 DOMAIN_TABLES = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                "o_orderpriority"],
@@ -250,6 +261,10 @@ ORACLE = {
         _wrap(_selects(t, t, TABLE_COLS[t], at_limit=True), LIMIT_OUT, boundary=0.57)
         for t in ("labels", "orders", "lineitem")]),
     "domain_analysis": _domain_sql(),
+    "profile_table": "SELECT 'default' AS table_schema, " + ", ".join(FULL_OUT[1:]) + " FROM ("
+                     + profile_sql([column_select("orders", "tw_profile_orders", c, cls, st,
+                                                  decl="NULL" if cls == "text" else "0")
+                                    for c, cls, st in TABLE_COLS["orders"]]) + ") q",
 }
 
 QUERIES = {
@@ -264,4 +279,5 @@ QUERIES = {
     "suggest_sparse": q_suggest_sparse,
     "boundary_counts": q_boundary_counts,
     "domain_analysis": q_domain_analysis,
+    "profile_table": q_profile_table,
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.checks import row_checks
 from tablewright.operators.reconcile import (
-    get_or_assign_ids, insert_if_absent, reconcile, render_template, upsert_by_key,
+    get_or_assign_ids, insert_if_absent, reconcile, render_template, upsert_by_any_key,
+    upsert_by_key,
 )
 from tablewright.plans import table
 
@@ -85,6 +86,19 @@ def q_render_template(spark, d):
     return out.select("step_id", "command", "error")
 
 
+def q_upsert_by_any_key(spark, d):
+    """Job steps stand-in: actual = part (id, name, size); desired rows either keep an
+    existing id under a new name, or keep an existing name under a new id."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("step_id"),
+                                       F.col("p_name").alias("step_name"),
+                                       F.col("p_size").alias("command_size"))
+    renamed = (p.where(F.col("command_size") < 10)
+                .withColumn("step_name", F.concat(F.col("step_name"), F.lit(" v2"))))
+    moved = (p.where(F.col("command_size") > 45)
+              .withColumn("step_id", F.col("step_id") + 100000))
+    return upsert_by_any_key(p, renamed.unionByName(moved), [["step_id"], ["step_name"]])
+
+
 LINEITEM_RULES_SQL = [
     ("quantity_positive", "l_quantity > 0"),
     ("discount_at_most_0_08", "l_discount <= 0.08"),
@@ -134,6 +148,14 @@ FROM w WHERE name NOT IN (SELECT name FROM a)""",
     || '/DataCatalog/Migration' END AS error
 FROM customer c LEFT JOIN (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) + 1000 AS reference_id
   FROM nation WHERE n_regionkey <> 4) r ON c.c_nationkey = r.n_nationkey""",
+    "upsert_by_any_key": """WITH a AS (SELECT p_partkey AS step_id, p_name AS step_name,
+    p_size AS command_size FROM part),
+d AS (SELECT step_id, step_name || ' v2' AS step_name, command_size FROM a WHERE command_size < 10
+      UNION ALL
+      SELECT step_id + 100000, step_name, command_size FROM a WHERE command_size > 45)
+SELECT * FROM a WHERE step_id NOT IN (SELECT step_id FROM d)
+  AND step_name NOT IN (SELECT step_name FROM d)
+UNION ALL SELECT * FROM d""",
     "row_checks": f"""SELECT l_orderkey, l_linenumber, failed_rules_text FROM (
   SELECT l_orderkey, l_linenumber, concat_ws(',', {_fails}) AS failed_rules_text FROM lineitem) x
 WHERE failed_rules_text <> ''""",
@@ -146,4 +168,5 @@ QUERIES = {
     "get_or_assign_ids": q_get_or_assign_ids,
     "render_template": q_render_template,
     "row_checks": q_row_checks,
+    "upsert_by_any_key": q_upsert_by_any_key,
 }

@@ -18,6 +18,7 @@ Steps, each a Spark job over file splits (nothing passes through the driver):
 from __future__ import annotations
 
 import datetime as _dt
+import logging
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from tablewright.session import scratch_dir
 
 BAD = "_bad_record"
+log = logging.getLogger("tablewright.loader")
 QUOTED_SPLIT = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -144,6 +146,8 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
                     F.count_if(F.col(BAD).isNotNull()).alias("rejected"))
            .write.mode("overwrite").parquet(staged_path))
     counts = obs.get
+    log.info("A total of %s line(s) staged in %s (%s rejected)", counts.get("rows"),
+             staged_path, counts.get("rejected"))
     staged = spark.read.parquet(staged_path)
     good, rejects = split_rejects(staged, target_schema, sep=sep, quoting=quoting)
     n_rejected = int(counts.get("rejected", 0))
@@ -162,6 +166,7 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
     if strict and n_bad:
         raise CastErrors(f"{n_bad} rows hold values that do not convert to the target types")
     written = move_to_target(typed, target, fmt=fmt, is_table=is_table)
+    log.info("A total of %s new record(s) appended to %s", written, target)
     rows_read = int(counts.get("rows", 0))
     n_bad = rows_read - n_rejected - written
     return spark.createDataFrame(

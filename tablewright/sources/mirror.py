@@ -9,6 +9,7 @@ failing table does not stop the others.
 
 from __future__ import annotations
 
+import logging
 from concurrent.futures import ThreadPoolExecutor
 from typing import Callable
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Reader = Callable[[str], DataFrame]
+log = logging.getLogger("tablewright.mirror")
 
 _JDBC_TYPE = {  # java.sql.Types codes for the 19-column listing
     "string": 12, "bigint": -5, "int": 4, "smallint": 5, "tinyint": -6, "double": 8,
@@ -68,8 +70,11 @@ def _copy_one(reader: Reader, name: str, target: str, fmt: str, as_table: bool):
         else:
             where = f"{target.rstrip('/')}/{name}"
             w.save(where)
-        return (name, "copied", int(obs.get.get("rows", 0)), where, None)
+        rows = int(obs.get.get("rows", 0))
+        log.info("SUCCESS: copied %s (%s rows) to %s", name, rows, where)
+        return (name, "copied", rows, where, None)
     except Exception as e:  # noqa: BLE001 – go on with the next table, report this one
+        log.error("ERROR: failed to copy %s: %s", name, e)
         return (name, "failed", None, target, f"{type(e).__name__}: {str(e)[:500]}")
 
 

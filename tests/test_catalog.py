@@ -90,3 +90,41 @@ def test_expose_views_and_listing(spark, tmpdir_path):
     cols = list_source_columns(spark, reader, ["t"]).collect()
     assert [(r["column_name"], r["ordinal_position"], r["type_name"]) for r in cols] == [
         ("a", 1, "int"), ("b", 2, "string")]
+
+
+def test_foreign_key_columns_feed_profile(spark):
+    from tablewright.operators.catalog import foreign_key_columns
+    from tablewright.operators.profile import profile
+    tc = spark.createDataFrame([("fk1", "s", "orders", "FOREIGN KEY"), ("pk1", "s", "orders", "PRIMARY KEY"),
+                                ("fk2", "s", "other", "FOREIGN KEY")],
+                               "constraint_name string, table_schema string, table_name string, constraint_type string")
+    cu = spark.createDataFrame([("fk1", "s", "orders", "cust"), ("pk1", "s", "orders", "id"),
+                                ("fk2", "s", "other", "id")],
+                               "constraint_name string, table_schema string, table_name string, column_name string")
+    fks = foreign_key_columns(tc, cu, "s", "orders")
+    assert [r["column_name"] for r in fks.collect()] == ["cust"]
+    df = spark.createDataFrame([(1, 5), (2, 5)], "id int, cust int")
+    flags = {r["column_name"]: r["is_fk"] for r in profile(df, fks=fks).profile.collect()}
+    assert flags == {"id": False, "cust": True}
+
+
+def test_permission_report(spark):
+    from tablewright.operators.reports import permission_report
+    cols = "owner string, object string, grantee string, grantor string, protect_type string, action string, column string"
+    a = spark.createDataFrame([("dbo", "t", "u1", "dbo", "Grant", "Select", "(All)")], cols)
+    b = spark.createDataFrame([("dbo", "v", "u2", "dbo", "Deny", "Insert", ".")], cols)
+    got = sorted((r["database"], r["grantee"]) for r in permission_report({"sales": a, "hr": b}).collect())
+    assert got == [("hr", "u2"), ("sales", "u1")]
+
+
+def test_profile_table_guards(spark):
+    import pytest
+    from tablewright.operators.profile import profile_table
+    with pytest.raises(ValueError):
+        profile_table(spark, "tw_no_such_table")
+    spark.createDataFrame([], "a int").createOrReplaceTempView("tw_empty_t")
+    with pytest.raises(ValueError):
+        profile_table(spark, "tw_empty_t")
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("tw_one_t")
+    r = profile_table(spark, "tw_one_t").profile.collect()[0]
+    assert (r["table_name"], r["row_count"]) == ("tw_one_t", 1)

@@ -153,3 +153,29 @@ def test_approx_distinct_keeps_low_cardinality_exact(spark):
     assert abs(p["hi"]["no_distinct"] - 5000) < 5000 * 0.1
 
 
+
+
+def test_exact_cents_path_equals_decimal_cast(spark):
+    from hypothesis import given, settings, strategies as st
+
+    from tablewright.operators.columns import select_profile_columns
+    from tablewright.operators.profile import column_stats
+
+    special = [1.005, 0.125, 2.675, -1.005, 1e13, 9.999999999999e12, 123456789.125,
+               0.0049999999, 1e-9, -0.0, 5e15 + 0.25, 33.333333333]
+    values = st.lists(st.one_of(st.sampled_from(special),
+                                st.floats(-1e16, 1e16, allow_nan=False, allow_infinity=False),
+                                st.integers(-10**9, 10**9).map(lambda k: k / 100)),
+                      min_size=1, max_size=40)
+
+    @settings(max_examples=15, deadline=None)
+    @given(values)
+    def check(xs):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        cols, _ = select_profile_columns(df.schema)
+        got = column_stats(df, cols).collect()[0]["avg_data_length"]
+        want = df.selectExpr("CAST(sum(CAST(x AS DECIMAL(36,2))) AS DOUBLE) / count(x) AS a"
+                             ).collect()[0]["a"]
+        assert got == want
+
+    check()

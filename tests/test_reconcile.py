@@ -74,3 +74,13 @@ def test_orphans(spark):
     child = spark.createDataFrame([(1, "a"), (3, "b"), (None, "c")], "pid int, x string")
     got = [tuple(r) for r in check_referential_integrity(child, parent, "pid", "id").collect()]
     assert got == [(3, "b")]
+
+
+def test_upsert_by_any_key_matches_id_or_name(spark):
+    from tablewright.operators.reconcile import upsert_by_any_key
+    actual = spark.createDataFrame([(1, "load", "a"), (2, "check", "b"), (3, "send", "c")],
+                                   "step_id int, step_name string, command string")
+    desired = spark.createDataFrame([(1, "load v2", "x"), (9, "check", "y")],
+                                    "step_id int, step_name string, command string")
+    got = sorted(tuple(r) for r in upsert_by_any_key(actual, desired, [["step_id"], ["step_name"]]).collect())
+    assert got == [(1, "load v2", "x"), (3, "send", "c"), (9, "check", "y")]
