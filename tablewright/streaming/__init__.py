@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference's work is all batch: it has no streams, watermarks, time windows or state.
+Its only waiting is polling loops on a job scheduler's state, which is not data work.
+Every operator in this package works on a streaming DataFrame inside ``foreachBatch``
+(each micro-batch is an ordinary DataFrame), so nothing streaming-specific is needed.
+"""
