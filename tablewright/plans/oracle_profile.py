@@ -26,15 +26,17 @@ def _q(s: str) -> str:
 def column_select(source: str, table_name: str, col: str, cls: str, sql_type: str,
                   decl: str = "NULL", at_limit: bool = False) -> str:
     c = f'"{col}"'
-    ln = f"length(rtrim({c}))"
+    is_bytes = sql_type in ("binary", "varbinary")
+    ln = f"octet_length({c})" if is_bytes else f"length(rtrim({c}))"
     null = "NULL"
     f = {k: null for k in ("min_l", "max_l", "avg_l", "min_d", "max_d", "zero", "tod", "sec",
                            "isnum", "isdate", "limit")}
-    if cls in ("text", "lob"):
+    if cls in ("text", "lob", "binary"):
         f["min_l"] = f"CAST(MIN({ln}) AS DECIMAL(38,6))"
         f["max_l"] = f"CAST(MAX({ln}) AS DECIMAL(38,6))"
         f["avg_l"] = f"CAST(CAST(trunc(AVG({ln})) AS BIGINT) AS DOUBLE)"
-        f["zero"] = f"COUNT(*) FILTER (WHERE length(trim({c})) = 0)"
+        if not is_bytes:
+            f["zero"] = f"COUNT(*) FILTER (WHERE length(trim({c})) = 0)"
         if at_limit:
             f["limit"] = (f"(SELECT COUNT({c}) FROM {source} WHERE {ln} = (SELECT MAX({ln}) "
                           f"FROM {source}) OR {ln} = (SELECT MIN({ln}) FROM {source}))")

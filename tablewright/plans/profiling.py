@@ -165,6 +165,19 @@ def q_profile_table(spark, d):
     return profile_table(spark, "tw_profile_orders").profile.select(*FULL_OUT)
 
 
+BINARY_OUT = ["table_name", "column_name", "sql_type", "column_data_length", "min_data_length",
+              "max_data_length", "avg_data_length", "no_zero_length", "no_distinct",
+              "data_type_comments"]
+
+
+def q_profile_binary(spark, d):
+    docs = table(spark, d, "documents").select(
+        F.col("text").cast("binary").alias("body"),
+        F.unhex(F.md5("text")).alias("fingerprint"))
+    return _prof(docs, "documents_bytes", BINARY_OUT, columns=["body", "fingerprint"],
+                 lob_cols=["body"])
+
+
 DOMAIN_TABLES = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                "o_orderpriority"],
@@ -261,6 +274,11 @@ ORACLE = {
         _wrap(_selects(t, t, TABLE_COLS[t], at_limit=True), LIMIT_OUT, boundary=0.57)
         for t in ("labels", "orders", "lineitem")]),
     "domain_analysis": _domain_sql(),
+    "profile_binary": _wrap(_selects(
+        "(SELECT encode(text) AS body, unhex(md5(text)) AS fingerprint FROM documents) x",
+        "documents_bytes", [("body", "lob", "varbinary")], decl="-1")
+        + _selects("(SELECT encode(text) AS body, unhex(md5(text)) AS fingerprint FROM documents) x",
+                   "documents_bytes", [("fingerprint", "binary", "binary")]), BINARY_OUT),
     "profile_table": "SELECT 'default' AS table_schema, " + ", ".join(FULL_OUT[1:]) + " FROM ("
                      + profile_sql([column_select("orders", "tw_profile_orders", c, cls, st,
                                                   decl="NULL" if cls == "text" else "0")
@@ -280,4 +298,5 @@ QUERIES = {
     "boundary_counts": q_boundary_counts,
     "domain_analysis": q_domain_analysis,
     "profile_table": q_profile_table,
+    "profile_binary": q_profile_binary,
 }
