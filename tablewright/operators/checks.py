@@ -40,9 +40,14 @@ def check_referential_integrity(child: DataFrame, parent: DataFrame, keys,
     keys = [keys] if isinstance(keys, str) else list(keys)
     parent_keys = keys if parent_keys is None else (
         [parent_keys] if isinstance(parent_keys, str) else list(parent_keys))
-    p = parent.select(*[F.col(pk).alias(f"_p{i}") for i, pk in enumerate(parent_keys)])
-    cond = [F.col(k) == F.col(f"_p{i}") for i, k in enumerate(keys)]
+    p = parent.select(*[F.col(pk).alias(f"_p{i}") for i, pk in enumerate(parent_keys)]).distinct()
     notnull = F.lit(True)
     for k in keys:
         notnull = notnull & F.col(k).isNotNull()
-    return child.where(notnull).join(p, cond, "left_anti")
+    candidates = child.where(notnull)
+    # Distinct child keys first (partial aggregation collapses a hot key map-side), then
+    # the anti join on keys only, then back to the child rows of the missing keys.
+    child_keys = candidates.select(*keys).distinct()
+    cond = [F.col(k) == F.col(f"_p{i}") for i, k in enumerate(keys)]
+    missing = child_keys.join(p, cond, "left_anti")
+    return candidates.join(missing, keys, "left_semi")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablewright.session import scratch_dir
 
 CREATE, REPLACE, KEEP, EXTRA = "create", "replace", "keep", "extra"
+DUPLICATE, AMBIGUOUS = "duplicate", "ambiguous"
 
 
 def _keys(keys):
@@ -28,18 +29,31 @@ def _differs(compare) -> Column:
     return reduce(lambda x, y: x | y, parts) if parts else F.lit(False)
 
 
+def _one_row_per_key(df: DataFrame, keys, compare, flag: str) -> DataFrame:
+    """Collapse ``df`` to one row per key (count + values), with partial aggregation, so a
+    key repeated in a third of all rows costs one row per task and joins stay 1:1."""
+    return (df.groupBy(*keys)
+              .agg(F.count(F.lit(1)).alias(f"_n_{flag}"),
+                   *[F.max(F.col(c)).alias(c) for c in compare]))
+
+
 def reconcile(desired: DataFrame, actual: DataFrame, keys, compare=(),
               report_extra: bool = False) -> DataFrame:
     """(keys…, action): create when the key is absent from ``actual``; replace when any
     ``compare`` column differs (null-safe); keep otherwise. With ``report_extra`` the keys
-    only present in ``actual`` are listed as 'extra'."""
+    only present in ``actual`` are listed as 'extra'. A key given more than once in
+    ``desired`` is reported once as 'duplicate'; a key held more than once by ``actual``
+    as 'ambiguous' (neither is compared). Both sides are reduced to one row per key before
+    the join, so the join is one-to-one whatever the key distribution."""
     keys, compare = _keys(keys), list(compare)
-    a = actual.select(*keys, *compare).withColumn("_in_actual", F.lit(True)).alias("a")
-    d = desired.select(*keys, *compare).withColumn("_in_desired", F.lit(True)).alias("d")
+    d = _one_row_per_key(desired, keys, compare, "d").alias("d")
+    a = _one_row_per_key(actual, keys, compare, "a").alias("a")
     how = "full" if report_extra else "left"
     j = d.join(a, [F.col(f"d.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys], how)
-    action = (F.when(F.col("a._in_actual").isNull(), F.lit(CREATE))
-               .when(F.col("d._in_desired").isNull(), F.lit(EXTRA))
+    action = (F.when(F.col("d._n_d") > 1, F.lit(DUPLICATE))
+               .when(F.col("a._n_a") > 1, F.lit(AMBIGUOUS))
+               .when(F.col("a._n_a").isNull(), F.lit(CREATE))
+               .when(F.col("d._n_d").isNull(), F.lit(EXTRA))
                .when(_differs(compare), F.lit(REPLACE))
                .otherwise(F.lit(KEEP)))
     key_cols = [F.coalesce(F.col(f"d.{k}"), F.col(f"a.{k}")).alias(k) for k in keys]
@@ -50,7 +64,7 @@ def upsert_by_key(actual: DataFrame, desired: DataFrame, keys) -> DataFrame:
     """C-04/C-07 (apply): rows of ``actual`` whose key is not desired, plus all desired
     rows – the table after replacing by key."""
     keys = _keys(keys)
-    kept = actual.join(desired.select(*keys), keys, "left_anti").select(*actual.columns)
+    kept = actual.join(desired.select(*keys).distinct(), keys, "left_anti").select(*actual.columns)
     return kept.select(*actual.columns).unionByName(desired.select(*actual.columns))
 
 
@@ -65,7 +79,8 @@ def upsert_by_any_key(actual: DataFrame, desired: DataFrame, key_sets) -> DataFr
     for keys in key_sets:
         keys = _keys(keys)
         kept = kept.join(desired.select(*keys).where(
-            reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])), keys, "left_anti")
+            reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])).distinct(),
+            keys, "left_anti")
     return kept.select(*actual.columns).unionByName(desired.select(*actual.columns))
 
 
@@ -73,7 +88,7 @@ def insert_if_absent(actual: DataFrame, desired: DataFrame, keys) -> DataFrame:
     """C-01/C-03/C-08: the existing rows stay as they are; desired rows whose key is absent
     are added."""
     keys = _keys(keys)
-    new = desired.join(actual.select(*keys), keys, "left_anti")
+    new = desired.join(actual.select(*keys).distinct(), keys, "left_anti")
     return actual.unionByName(new.select(*actual.columns))
 
 
@@ -124,12 +139,17 @@ def render_template(steps: DataFrame, references: DataFrame, lookup_keys, *,
     step's ``lookup_keys`` up in ``references``. Steps without a reference get a NULL
     command and an error text (a NULL id is an error too)."""
     lookup_keys = _keys(lookup_keys)
-    ref = references.select(*lookup_keys, value_col)
+    # one row per lookup key: a step never pairs with several references
+    ref = references.groupBy(*lookup_keys).agg(F.count(F.lit(1)).alias("_refs"),
+                                               F.max(value_col).alias(value_col))
     j = steps.join(ref, lookup_keys, "left")
-    missing = F.col(value_col).isNull()
+    ambiguous = F.coalesce(F.col("_refs") > 1, F.lit(False))
+    missing = F.col(value_col).isNull() | ambiguous
     rendered = F.replace(F.col(template_col), F.lit(placeholder), F.col(value_col).cast("string"))
     return (j.withColumn(template_col, F.when(missing, F.lit(None).cast("string"))
                                          .otherwise(rendered))
              .withColumn("error", F.when(missing, F.concat_ws(
-                 "", F.lit("no reference for "),
-                 F.concat_ws("/", *[F.col(k).cast("string") for k in lookup_keys])))))
+                 "", F.when(ambiguous, F.lit("several references for "))
+                      .otherwise(F.lit("no reference for ")),
+                 F.concat_ws("/", *[F.col(k).cast("string") for k in lookup_keys]))))
+             .drop("_refs"))

@@ -81,8 +81,11 @@ def recent_queries(stats: DataFrame, texts: DataFrame, day: str, db: str) -> Dat
     end = F.lit(day).cast("date") + F.expr("INTERVAL 1 DAY")
     s = stats.where((F.col("last_execution_time") >= start)
                     & (F.col("last_execution_time") < end.cast("timestamp_ntz")))
-    runs = s.join(texts, "sql_handle")
-    latest = runs.groupBy("text").agg(F.max("last_execution_time").alias("_last"))
+    # Pre-aggregate per handle before the join: a statement run a million times that day
+    # is one row per task, then one row, before it meets its text.
+    per_handle = s.groupBy("sql_handle").agg(F.max("last_execution_time").alias("_last"))
+    runs = per_handle.join(texts, "sql_handle")
+    latest = runs.groupBy("text").agg(F.max("_last").alias("_last"))
     return (latest.orderBy(F.desc("_last"))
                   .select(F.lit(db).alias("db"), F.col("text").alias("script"),
                           F.date_format("_last", "yyyy-MM-dd HH:mm:ss").alias("run_date")))

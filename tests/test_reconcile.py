@@ -84,3 +84,16 @@ def test_upsert_by_any_key_matches_id_or_name(spark):
                                     "step_id int, step_name string, command string")
     got = sorted(tuple(r) for r in upsert_by_any_key(actual, desired, [["step_id"], ["step_name"]]).collect())
     assert got == [(1, "load v2", "x"), (3, "send", "c"), (9, "check", "y")]
+
+
+def test_reconcile_duplicates_and_ambiguous(spark):
+    desired = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 2), (3, "c", 3)], SCHEMA)
+    actual = spark.createDataFrame([(2, "b", 2), (2, "x", 9), (3, "c", 3)], SCHEMA)
+    got = dict((r["k"], r["action"]) for r in reconcile(desired, actual, "k", ["v", "w"]).collect())
+    assert got == {1: "duplicate", 2: "ambiguous", 3: "keep"}
+
+
+def test_orphans_with_hot_key(spark):
+    parent = spark.createDataFrame([(1,)], "id int")
+    child = spark.createDataFrame([(7, i) for i in range(300)] + [(1, 0)], "pid int, n int")
+    assert check_referential_integrity(child, parent, "pid", "id").count() == 300
