@@ -96,14 +96,17 @@ def assign_sequential_ids(df: DataFrame, order, id_col: str, start: int = 1,
                           id_type: str = "bigint") -> DataFrame:
     """Number the rows of ``df`` start, start+1, … in ``order`` without a global window.
 
-    The rows are range-sorted and checkpointed (lineage cut in the shared checkpoint
-    folder); per-partition counts – one row per partition – give each partition its
+    The rows are range-sorted (ties in random order) and checkpointed (lineage cut in the
+    shared checkpoint folder); per-partition counts – one row per partition – give each partition its
     offset, and ``monotonically_increasing_id`` gives the position inside it.
     """
     order = _keys(order)
     spark = df.sparkSession
     scratch_dir(spark)  # makes sure a checkpoint location is registered
-    ranked = (df.orderBy(*order)
+    # The random last sort key only orders ties: a value repeated in a third of all rows
+    # is then spread over several range partitions instead of one. It is seeded per
+    # partition, so a retried task draws the same values, and the checkpoint fixes them.
+    ranked = (df.orderBy(*order, F.rand(17))
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))

@@ -97,3 +97,12 @@ def test_orphans_with_hot_key(spark):
     parent = spark.createDataFrame([(1,)], "id int")
     child = spark.createDataFrame([(7, i) for i in range(300)] + [(1, 0)], "pid int, n int")
     assert check_referential_integrity(child, parent, "pid", "id").count() == 300
+
+
+def test_sequential_ids_with_hot_order_value(spark):
+    from tablewright.operators.reconcile import assign_sequential_ids
+    df = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "o int, v int").repartition(5)
+    ids = [r["rid"] for r in assign_sequential_ids(df, ["o"], "rid", 1).collect()]
+    assert sorted(ids) == list(range(1, 3001))
+    by_o = assign_sequential_ids(df, ["o"], "rid", 1).where("o > 0").orderBy("o").collect()
+    assert [r["rid"] for r in by_o] == sorted(r["rid"] for r in by_o)
