@@ -202,18 +202,20 @@ def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True
     from tablewright.operators.columns import classify
     cols = [item if isinstance(item, ProfileColumn) else classify(df.schema[item], lob_cols)
             for item in columns]
+    # Grouped on the column's position (an int) rather than its name: a narrower key to
+    # hash and shuffle; the name is put back after aggregation.
     by_kind: dict[str, list] = {}
-    for pc in cols:
+    for i, pc in enumerate(cols):
         kind, val = _value_key(pc, digest_lob)
-        by_kind.setdefault(kind, []).append(
-            F.struct(F.lit(pc.name).alias("column_name"), val.alias("value")))
+        by_kind.setdefault(kind, []).append(F.struct(F.lit(i).alias("_ci"), val.alias("value")))
+    names = F.array(*[F.lit(pc.name) for pc in cols])
     parts = []
     for kind, structs in by_kind.items():
         counted = (df.select(F.inline(F.array(*structs)))
-                     .groupBy("column_name", "value")
+                     .groupBy("_ci", "value")
                      .agg(F.count(F.lit(1)).alias("count")))
-        parts.append(counted.select("column_name", F.col("value").cast("string").alias("value"),
-                                    "count"))
+        parts.append(counted.select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
+                                    F.col("value").cast("string").alias("value"), "count"))
     return reduce(DataFrame.unionByName, parts)
 
 
