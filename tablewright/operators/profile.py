@@ -22,7 +22,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +30,7 @@ from tablewright.functions.tsql import (
     looks_date_sql, looks_numeric_sql, pct_of, quote_ident, seconds_nonzero_sql, sql_str,
     time_of_day_nonzero_sql,
 )
+from tablewright.session import scratch_dir
 from tablewright.operators.columns import (
     BINARY, DATE, LOB, NUMERIC, OTHER, TEXT, ProfileColumn, select_profile_columns,
 )
@@ -90,7 +90,7 @@ def _exact_cents_sql(c: str) -> tuple[str, str]:
     return cents, slow
 
 
-def _column_parts(i: int, pc: ProfileColumn, approx_rsd: float | None):
+def _column_parts(i: int, pc: ProfileColumn):
     """(pre-projection expressions, named_struct SQL) for one column.
 
     Per-row work (lengths, pattern tests, time-of-day tests) is computed once in a
@@ -149,21 +149,18 @@ def _column_parts(i: int, pc: ProfileColumn, approx_rsd: float | None):
             sec = col("sec", seconds_nonzero_sql(c, ntz))
             v["no_date_with_hour_minute_second"] = f"count_if({tod})"
             v["no_date_with_second"] = f"count_if({sec})"
-    if approx_rsd is not None:
-        v["approx_distinct"] = f"approx_count_distinct({col('v', c)}, {float(approx_rsd)})"
     struct = "named_struct(" + ", ".join(f"'{name}', CAST({v[name]} AS {t})"
                                          for name, t in STAT_FIELDS) + ")"
     return pre, struct
 
 
-def column_stats(df: DataFrame, cols: list[ProfileColumn], approx_rsd: float | None = None
-                 ) -> DataFrame:
+def column_stats(df: DataFrame, cols: list[ProfileColumn]) -> DataFrame:
     """Stage 1: one projection + one aggregate over ``df`` -> one row per column
     (+ row_count). A single scan, partial aggregation per task, one tiny shuffle."""
     pre: dict[str, str] = {}
     structs = []
     for i, pc in enumerate(cols):
-        p, st = _column_parts(i, pc, approx_rsd)
+        p, st = _column_parts(i, pc)
         pre.update(p)
         structs.append(st)
     projected = df.select(*[F.expr(e).alias(n) for n, e in pre.items()])
@@ -298,15 +295,20 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
     cols, unknown = select_profile_columns(df.schema, columns, text=text, numeric=numeric,
                                            date=date, lob=lob, lob_cols=lob_cols)
     spark = df.sparkSession
-    stats = column_stats(df, cols, approx_distinct)
+    stats = column_stats(df, cols)
 
     exact_cols = cols
+    approx_rows = None
     if approx_distinct is not None:
-        # Bounded collect: one small row per profiled column.
-        est = {r["column_name"]: r["approx_distinct"]
-               for r in stats.select("column_name", "approx_distinct").collect()}
+        # HyperLogLog sketches in an aggregate of their own: an imperative aggregate in the
+        # wide statistics aggregate would take all of it off whole-stage codegen.
+        # Bounded collect: one estimate per profiled column.
+        first = df.agg(*[F.approx_count_distinct(F.col(f"`{pc.name}`"), approx_distinct)
+                         .alias(f"_a{i}") for i, pc in enumerate(cols)]).first()
+        est = {pc.name: first[i] for i, pc in enumerate(cols)}
         margin = 1.0 + 4 * approx_distinct
         exact_cols = [pc for pc in cols if est[pc.name] < distinct_min * margin]
+        approx_rows = [(pc.name, int(est[pc.name])) for pc in cols if pc not in exact_cols]
 
     if exact_cols:
         vc = value_counts(df, exact_cols, digest_lob=True)
@@ -318,11 +320,16 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
 
     kept: list = []
     if advanced and exact_cols:
-        # Reused by the distinct counts and the domains: kept once instead of recomputed.
-        vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(vc)
+        # Used by the distinct counts and by the domains: written once to the shared
+        # checkpoint folder (lineage cut, survives a lost executor) instead of recomputed.
+        scratch_dir(spark)  # makes sure a checkpoint location is registered
+        vc = vc.checkpoint(eager=True)
         distinct = _distinct_from_counts(vc)
 
+    if approx_rows:
+        approx_df = spark.createDataFrame(approx_rows, "column_name string, _approx bigint")
+        stats = (stats.join(F.broadcast(approx_df), "column_name", "left")
+                      .withColumn("approx_distinct", F.col("_approx")).drop("_approx"))
     prof = stats.join(distinct.drop("row_total"), "column_name", "left")
     is_fk = F.lit(False)
     if fks is not None:
@@ -337,17 +344,14 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         [], "domain_name string, domain_element string, domain_counter bigint, "
             "domain_percent decimal(7,4)")
     if advanced:
-        # The joined profile is one small row per column: kept so the collect below and
-        # the final frame do not both recompute it.
-        prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(prof)
         # Bounded collect: one row per profiled column, needed as literals for the limits.
-        rows = prof.select("column_name", "max_raw", "min_raw", "max_data_length",
-                           "min_data_length", "row_count").collect()
+        # The final frame is rebuilt from these rows, so the statistics are not recomputed.
+        rows = prof.collect()
         if not rows or rows[0]["row_count"] == 0:
             raise ValueError("There is no data in the table to analyse")
         limits = boundary_counts(df, rows, cols)
-        prof = prof.join(F.broadcast(limits), "column_name", "left")
+        prof = (spark.createDataFrame(rows, prof.schema)
+                     .join(F.broadcast(limits), "column_name", "left"))
         domains = (_domains_with_lob_values(df, cols, vc, distinct, distinct_min)
                    .orderBy(F.col("domain_name").asc(), F.col("domain_counter").desc()))
     at_limit = F.col("no_at_limit") if advanced else F.lit(None).cast("bigint")
