@@ -169,7 +169,8 @@ def column_stats(df: DataFrame, cols: list[ProfileColumn]) -> DataFrame:
     return agg.select(F.inline("cols"), "row_count")
 
 
-def _value_key(pc: ProfileColumn, digest_lob: bool) -> tuple[str, Column]:
+def _value_key(pc: ProfileColumn, digest_lob: bool, collation: str | None = None
+               ) -> tuple[str, Column]:
     """(kind, typed value) used for grouping. Values are grouped in their own type and only
     turned into text after aggregation, when there are few rows left."""
     c = F.col(f"`{pc.name}`")
@@ -178,6 +179,9 @@ def _value_key(pc: ProfileColumn, digest_lob: bool) -> tuple[str, Column]:
         return ("string", F.sha2(c, 256) if (digest_lob and pc.type_class == LOB) else F.hex(c))
     if pc.type_class == LOB and digest_lob:
         return ("string", F.sha2(c.cast("string"), 256))
+    if collation and isinstance(dt, T.StringType):
+        # values equal under the collation (e.g. UTF8_LCASE: case-blind) form one group
+        return (f"string:{collation}", F.expr(f"collate({quote_ident(pc.name)}, {sql_str(collation)})"))
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return ("bigint", c.cast("bigint")) if isinstance(dt, T.LongType) else (dt.simpleString(), c)
     if isinstance(dt, (T.FloatType, T.DoubleType, T.DateType, T.TimestampType,
@@ -186,7 +190,8 @@ def _value_key(pc: ProfileColumn, digest_lob: bool) -> tuple[str, Column]:
     return ("string", c.cast("string"))
 
 
-def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True) -> DataFrame:
+def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True,
+                 collation: str | None = None) -> DataFrame:
     """(column_name, value, count) for every value of every listed column, NULL included.
 
     Columns are unpivoted per value type (a Generate feeding a partial aggregate per map
@@ -203,7 +208,7 @@ def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True
     # hash and shuffle; the name is put back after aggregation.
     by_kind: dict[str, list] = {}
     for i, pc in enumerate(cols):
-        kind, val = _value_key(pc, digest_lob)
+        kind, val = _value_key(pc, digest_lob, collation)
         by_kind.setdefault(kind, []).append(F.struct(F.lit(i).alias("_ci"), val.alias("value")))
     names = F.array(*[F.lit(pc.name) for pc in cols])
     parts = []
@@ -282,13 +287,17 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
             lob_cols=(), advanced=False, distinct_min=200, boundary=0.57, null_pct=90.0,
             type_pct=2, fks=None, approx_distinct: float | None = None,
             table_schema: str | None = None, table_name: str | None = None,
-            sparse_thresholds: DataFrame | None = None) -> ProfileResult:
+            sparse_thresholds: DataFrame | None = None,
+            collation: str | None = None) -> ProfileResult:
     """Profile every selected column of ``df`` (usp_DataProfiler, Spark-first).
 
     Returns the profile (one row per column, suggestions included) and the domains (empty
     unless ``advanced``). ``fks``: names of foreign-key columns (list or DataFrame with
     ``column_name``). ``approx_distinct``: relative SD; high-cardinality columns then get
     HyperLogLog counts and only likely-low-cardinality columns are counted exactly.
+    ``collation``: text compared under this collation for distinct counts and domains
+    (e.g. ``"UTF8_LCASE"`` for case-blind, as a case-insensitive database collation would);
+    binary comparison by default.
     """
     from tablewright.operators.suggest import suggest
 
@@ -311,7 +320,7 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         approx_rows = [(pc.name, int(est[pc.name])) for pc in cols if pc not in exact_cols]
 
     if exact_cols:
-        vc = value_counts(df, exact_cols, digest_lob=True)
+        vc = value_counts(df, exact_cols, digest_lob=True, collation=collation)
         distinct = _distinct_from_counts(vc)
     else:
         vc = spark.createDataFrame([], "column_name string, value string, count bigint")

@@ -160,6 +160,33 @@ def q_boundary_counts(spark, d):
                    for t in ("labels", "orders", "lineitem")])
 
 
+# The driver tables' foreign keys, as a constraint catalogue (schema facts, one row per
+# constraint and per constrained column).
+TPCH_CONSTRAINTS = [
+    ("fk_lineitem_orders", "tpch", "lineitem", "FOREIGN KEY", "l_orderkey"),
+    ("fk_lineitem_part", "tpch", "lineitem", "FOREIGN KEY", "l_partkey"),
+    ("fk_lineitem_supplier", "tpch", "lineitem", "FOREIGN KEY", "l_suppkey"),
+    ("pk_lineitem", "tpch", "lineitem", "PRIMARY KEY", "l_orderkey"),
+    ("pk_lineitem", "tpch", "lineitem", "PRIMARY KEY", "l_linenumber"),
+    ("fk_orders_customer", "tpch", "orders", "FOREIGN KEY", "o_custkey"),
+    ("pk_orders", "tpch", "orders", "PRIMARY KEY", "o_orderkey"),
+    ("fk_customer_nation", "tpch", "customer", "FOREIGN KEY", "c_nationkey"),
+]
+
+
+def q_flag_foreign_keys(spark, d):
+    from tablewright.operators.catalog import foreign_key_columns
+    rows = TPCH_CONSTRAINTS
+    tc = spark.createDataFrame(sorted({r[:4] for r in rows}),
+                               "constraint_name string, table_schema string, table_name string, "
+                               "constraint_type string")
+    cu = spark.createDataFrame([(r[0], r[1], r[2], r[4]) for r in rows],
+                               "constraint_name string, table_schema string, table_name string, "
+                               "column_name string")
+    fks = foreign_key_columns(tc, cu, "tpch", "lineitem")
+    return _prof(table(spark, d, "lineitem"), "lineitem", FK_OUT, fks=fks)
+
+
 def q_profile_table(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("tw_profile_orders")
     return profile_table(spark, "tw_profile_orders").profile.select(*FULL_OUT)
@@ -274,6 +301,8 @@ ORACLE = {
         _wrap(_selects(t, t, TABLE_COLS[t], at_limit=True), LIMIT_OUT, boundary=0.57)
         for t in ("labels", "orders", "lineitem")]),
     "domain_analysis": _domain_sql(),
+    "flag_foreign_keys": _wrap(_selects("lineitem", "lineitem", TABLE_COLS["lineitem"]), FK_OUT,
+                               fks=["l_orderkey", "l_partkey", "l_suppkey"]),
     "profile_binary": _wrap(_selects(
         "(SELECT encode(text) AS body, unhex(md5(text)) AS fingerprint FROM documents) x",
         "documents_bytes", [("body", "lob", "varbinary")], decl="-1")
@@ -299,4 +328,5 @@ QUERIES = {
     "domain_analysis": q_domain_analysis,
     "profile_table": q_profile_table,
     "profile_binary": q_profile_binary,
+    "flag_foreign_keys": q_flag_foreign_keys,
 }
