@@ -47,7 +47,8 @@ def staging_schema(target: T.StructType) -> T.StructType:
 def parse_csv(spark: SparkSession, path, target: T.StructType, *, header: bool = True,
               sep: str = ",", quoting: str = "csv", line_sep: str | None = "\n") -> DataFrame:
     """S-03: the files parsed into the target's columns as text plus ``_bad_record`` (the
-    raw line of a line that does not have exactly one field per column)."""
+    raw line of a line that does not have exactly one field per column). Blank lines are
+    skipped; an empty field reads as NULL."""
     schema = T.StructType(staging_schema(target).fields + [T.StructField(BAD, T.StringType())])
     reader = (spark.read.schema(schema).option("header", header).option("sep", sep)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)

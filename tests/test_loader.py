@@ -92,3 +92,9 @@ def test_clear_tables(spark):
     clear_tables(spark, ["tw_clear_me"])
     assert spark.table("tw_clear_me").count() == 0
     spark.sql("DROP TABLE tw_clear_me")
+
+
+def test_blank_lines_skipped(spark, tmpdir_path):
+    path = write(tmpdir_path + "/in", [LINES[0], "", LINES[1], ""])
+    good, rejects = read_csv_staged(spark, path, TARGET)
+    assert (good.count(), rejects.count()) == (1, 0)
