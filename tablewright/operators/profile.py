@@ -169,56 +169,201 @@ def column_stats(df: DataFrame, cols: list[ProfileColumn]) -> DataFrame:
     return agg.select(F.inline("cols"), "row_count")
 
 
-def _value_key(pc: ProfileColumn, digest_lob: bool, collation: str | None = None
-               ) -> tuple[str, Column]:
-    """(kind, typed value) used for grouping. Values are grouped in their own type and only
-    turned into text after aggregation, when there are few rows left."""
+@dataclass
+class _Part:
+    """Value counts of the columns that share one value type: rows (_ci, value, count)."""
+    kind: str
+    stat: str
+    cols: list          # [(position, ProfileColumn)]
+    counts: DataFrame
+
+
+def _kind_of(pc: ProfileColumn, digest_lob: bool, collation: str | None):
+    """(grouping bucket, statistics family, typed value). Values are grouped in their own
+    type; long text as (digest, length, blank) so whole texts are never shuffled."""
     c = F.col(f"`{pc.name}`")
     dt = pc.dtype
-    if isinstance(dt, T.BinaryType):
-        return ("string", F.sha2(c, 256) if (digest_lob and pc.type_class == LOB) else F.hex(c))
     if pc.type_class == LOB and digest_lob:
-        return ("string", F.sha2(c.cast("string"), 256))
-    if collation and isinstance(dt, T.StringType):
-        # values equal under the collation (e.g. UTF8_LCASE: case-blind) form one group
-        return (f"string:{collation}", F.expr(f"collate({quote_ident(pc.name)}, {sql_str(collation)})"))
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return ("bigint", c.cast("bigint")) if isinstance(dt, T.LongType) else (dt.simpleString(), c)
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DateType, T.TimestampType,
-                       T.TimestampNTZType, T.BooleanType, T.DecimalType)):
-        return (dt.simpleString(), c)
-    return ("string", c.cast("string"))
+        if isinstance(dt, T.BinaryType):
+            v = F.struct(F.sha2(c, 256).alias("d"), F.length(c).alias("len"),
+                         F.lit(None).cast("boolean").alias("blank"))
+            return "lob_bin", "lob_bin", F.when(c.isNotNull(), v)
+        s = c.cast("string")
+        v = F.struct(F.sha2(s, 256).alias("d"), F.length(F.rtrim(s)).alias("len"),
+                     (F.length(F.trim(s)) == 0).alias("blank"))
+        return "lob_text", "lob_text", F.when(c.isNotNull(), v)
+    if isinstance(dt, T.BinaryType):
+        return "binary", "binary", c
+    if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
+        if collation:
+            # values equal under the collation (e.g. UTF8_LCASE: case-blind) form one group
+            coll = F.expr(f"collate({quote_ident(pc.name)}, {sql_str(collation)})")
+            return f"text:{collation}", "text_collated", coll
+        return "text", "text", c.cast("string")
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
+        return dt.simpleString(), "exact_num", c
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return dt.simpleString(), "float_num", c
+    if isinstance(dt, T.DateType):
+        return "date", "date", c
+    if isinstance(dt, T.TimestampNTZType):
+        return "timestamp_ntz", "ts_ntz", c
+    if isinstance(dt, T.TimestampType):
+        return "timestamp", "ts", c
+    if isinstance(dt, T.BooleanType):
+        return "boolean", "other", c
+    return "other", "other", c.cast("string")
+
+
+def _typed_counts(df: DataFrame, cols: list[ProfileColumn], digest_lob: bool = True,
+                  collation: str | None = None) -> list[_Part]:
+    """Per value type: one unpivot (Generate) feeding a partial aggregate per map task,
+    then one shuffle on (column position, value). Partial aggregation collapses a hot
+    value map-side; the per-type scans read disjoint column sets (the table once)."""
+    buckets: dict[str, tuple] = {}
+    for i, pc in enumerate(cols):
+        kind, stat, val = _kind_of(pc, digest_lob, collation)
+        buckets.setdefault(kind, (stat, []))[1].append((i, pc, val))
+    parts = []
+    for kind, (stat, members) in buckets.items():
+        structs = [F.struct(F.lit(i).alias("_ci"), val.alias("value")) for i, _, val in members]
+        counts = (df.select(F.inline(F.array(*structs)))
+                    .groupBy("_ci", "value")
+                    .agg(F.count(F.lit(1)).alias("count")))
+        parts.append(_Part(kind, stat, [(i, pc) for i, pc, _ in members], counts))
+    return parts
+
+
+def _text_of(stat: str) -> Column:
+    v = F.col("value")
+    if stat in ("lob_text", "lob_bin"):
+        return v.getField("d")
+    if stat == "binary":
+        return F.hex(v)
+    return v.cast("string")
+
+
+def _weighted(pred: str) -> str:
+    return f"coalesce(sum(CASE WHEN {pred} THEN count END), 0)"
+
+
+def _part_stats_sql(stat: str) -> dict[str, str]:
+    """Statistics of one column from its (value, count) rows, as SQL text."""
+    nn = "sum(CASE WHEN value IS NOT NULL THEN count END)"
+    out = {"row_count": "sum(count)", "no_nulls": _weighted("value IS NULL"),
+           "no_distinct": "count(value)"}
+
+    def lengths(ln):
+        out["max_data_length"] = f"max({ln})"
+        out["min_data_length"] = f"min({ln})"
+        # integer average of the lengths, as the reference's AVG over an integer
+        out["avg_data_length"] = f"CAST(sum({ln} * count) / {nn} AS BIGINT)"
+
+    if stat in ("text", "text_collated"):
+        s = "value" if stat == "text" else "CAST(value AS STRING)"
+        lengths(f"length(rtrim({s}))")
+        out["no_is_numeric"] = _weighted(looks_numeric_sql(s))
+        out["no_is_date"] = _weighted(looks_date_sql(s))
+        out["no_zero_length"] = _weighted(f"length(trim({s})) = 0")
+    elif stat == "lob_text":
+        lengths("value.len")
+        out["no_zero_length"] = _weighted("value.blank")
+    elif stat == "lob_bin":
+        lengths("value.len")
+    elif stat == "binary":
+        lengths("length(value)")
+    elif stat in ("exact_num", "float_num"):
+        out["max_data_length"] = f"try_cast(max(value) AS {DEC})"
+        out["min_data_length"] = f"try_cast(min(value) AS {DEC})"
+        out["max_raw"] = "CAST(max(value) AS STRING)"
+        out["min_raw"] = "CAST(min(value) AS STRING)"
+        if stat == "float_num":
+            cents, slow = _exact_cents_sql("value")
+            total = (f"(coalesce(try_sum(try_multiply({cents}, count)), 0)"
+                     f" * CAST(0.01 AS DECIMAL(3,2))"
+                     f" + coalesce(try_sum(try_multiply({slow}, count)), 0))")
+        else:
+            total = "try_sum(try_multiply(CAST(value AS DECIMAL(36,2)), count))"
+        out["avg_data_length"] = f"CASE WHEN {nn} > 0 THEN CAST({total} AS DOUBLE) / {nn} END"
+    elif stat in ("date", "ts", "ts_ntz"):
+        out["max_date"] = "CAST(max(value) AS TIMESTAMP_NTZ)"
+        out["min_date"] = "CAST(min(value) AS TIMESTAMP_NTZ)"
+        if stat != "date":
+            out["no_date_with_hour_minute_second"] = _weighted(
+                time_of_day_nonzero_sql("value", stat == "ts_ntz"))
+            out["no_date_with_second"] = _weighted(seconds_nonzero_sql("value", stat == "ts_ntz"))
+    return out
+
+
+COUNTED_FIELDS = [(n, t) for n, t in STAT_FIELDS
+                  if n not in ("column_name", "column_data_length", "data_type", "type_class",
+                               "sql_type", "approx_distinct")] + [
+    ("row_count", "bigint"), ("no_distinct", "bigint")]
+
+
+def _stats_from_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame:
+    """Per column: every statistic folded from its value counts (one small aggregate per
+    value type over distinct values, not over the table's rows)."""
+    names = F.array(*[F.lit(pc.name) for pc in cols])
+    frames = []
+    for part in parts:
+        exprs = _part_stats_sql(part.stat)
+        aggs = [F.expr(f"CAST({exprs.get(n, 'NULL')} AS {t})").alias(n) for n, t in COUNTED_FIELDS]
+        frames.append(part.counts.groupBy("_ci").agg(*aggs)
+                      .select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
+                              *[n for n, _ in COUNTED_FIELDS]))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _text_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame:
+    names = F.array(*[F.lit(pc.name) for pc in cols])
+    return reduce(DataFrame.unionByName, [
+        p.counts.select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
+                        _text_of(p.stat).alias("value"), "count") for p in parts])
+
+
+def _limits_from_counts(parts: list[_Part], rows) -> DataFrame | None:
+    """D-16 from the value counts: rows whose value (numerics) or length (text, binary)
+    equals the column's min or max, weighted by their counts. Limits are literals taken
+    from the collected profile rows (one per column)."""
+    by_name = {r["column_name"]: r for r in rows}
+    frames = []
+    for part in parts:
+        exprs = []
+        for i, pc in part.cols:
+            r = by_name[pc.name]
+            if part.stat in ("exact_num", "float_num") and r["max_raw"] is not None:
+                hi = f"CAST({sql_str(r['max_raw'])} AS {pc.dtype.simpleString()})"
+                lo = f"CAST({sql_str(r['min_raw'])} AS {pc.dtype.simpleString()})"
+                cond = f"(value = {hi} OR value = {lo})"
+            elif part.stat in ("text", "text_collated", "binary", "lob_text") \
+                    and r["max_data_length"] is not None:
+                ln = {"text": "length(rtrim(value))",
+                      "text_collated": "length(rtrim(CAST(value AS STRING)))",
+                      "binary": "length(value)", "lob_text": "value.len"}[part.stat]
+                cond = (f"({ln} = {int(r['max_data_length'])} OR "
+                        f"{ln} = {int(r['min_data_length'])})")
+            else:
+                continue
+            exprs.append(F.struct(F.lit(pc.name).alias("column_name"),
+                                  F.expr(_weighted(f"_ci = {i} AND {cond}")).alias("no_at_limit")))
+        if exprs:
+            frames.append(part.counts.agg(F.array(*exprs).alias("a")).select(F.inline("a")))
+    return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True,
                  collation: str | None = None) -> DataFrame:
     """(column_name, value, count) for every value of every listed column, NULL included.
 
-    Columns are unpivoted per value type (a Generate feeding a partial aggregate per map
-    task, then one shuffle per type); the text form of a value (binary as hex; long text
-    by SHA-256 digest when ``digest_lob``) is made after aggregation, from few rows. The
-    per-type scans read disjoint column sets, so the table's bytes are read once in total;
-    a single scan with one nullable slot per type measured about twice as slow (wider
-    grouping keys).
+    Values are grouped in their own type (one shuffle per type; the per-type scans read
+    disjoint column sets) and turned into text after aggregation: binary as hex, long text
+    as its SHA-256 digest when ``digest_lob``.
     """
     from tablewright.operators.columns import classify
     cols = [item if isinstance(item, ProfileColumn) else classify(df.schema[item], lob_cols)
             for item in columns]
-    # Grouped on the column's position (an int) rather than its name: a narrower key to
-    # hash and shuffle; the name is put back after aggregation.
-    by_kind: dict[str, list] = {}
-    for i, pc in enumerate(cols):
-        kind, val = _value_key(pc, digest_lob, collation)
-        by_kind.setdefault(kind, []).append(F.struct(F.lit(i).alias("_ci"), val.alias("value")))
-    names = F.array(*[F.lit(pc.name) for pc in cols])
-    parts = []
-    for kind, structs in by_kind.items():
-        counted = (df.select(F.inline(F.array(*structs)))
-                     .groupBy("_ci", "value")
-                     .agg(F.count(F.lit(1)).alias("count")))
-        parts.append(counted.select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
-                                    F.col("value").cast("string").alias("value"), "count"))
-    return reduce(DataFrame.unionByName, parts)
+    return _text_counts(_typed_counts(df, cols, digest_lob, collation), cols)
 
 
 def _distinct_from_counts(vc: DataFrame) -> DataFrame:
@@ -241,7 +386,9 @@ def boundary_counts(df: DataFrame, stats_rows, cols: list[ProfileColumn]) -> Dat
     by_name = {pc.name: pc for pc in cols}
     exprs = []
     for r in stats_rows:
-        pc = by_name[r["column_name"]]
+        pc = by_name.get(r["column_name"])
+        if pc is None:
+            continue
         c = F.col(f"`{pc.name}`")
         if pc.type_class == NUMERIC and r["max_raw"] is not None:
             hi, lo = F.lit(r["max_raw"]).cast(pc.dtype), F.lit(r["min_raw"]).cast(pc.dtype)
@@ -304,42 +451,48 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
     cols, unknown = select_profile_columns(df.schema, columns, text=text, numeric=numeric,
                                            date=date, lob=lob, lob_cols=lob_cols)
     spark = df.sparkSession
-    stats = column_stats(df, cols)
 
-    exact_cols = cols
-    approx_rows = None
+    exact_cols, approx_cols, est = cols, [], {}
     if approx_distinct is not None:
-        # HyperLogLog sketches in an aggregate of their own: an imperative aggregate in the
-        # wide statistics aggregate would take all of it off whole-stage codegen.
+        # HyperLogLog sketches in an aggregate of their own: an imperative aggregate in a
+        # wide aggregate takes all of it off whole-stage codegen.
         # Bounded collect: one estimate per profiled column.
         first = df.agg(*[F.approx_count_distinct(F.col(f"`{pc.name}`"), approx_distinct)
                          .alias(f"_a{i}") for i, pc in enumerate(cols)]).first()
-        est = {pc.name: first[i] for i, pc in enumerate(cols)}
+        est = {pc.name: int(first[i]) for i, pc in enumerate(cols)}
         margin = 1.0 + 4 * approx_distinct
         exact_cols = [pc for pc in cols if est[pc.name] < distinct_min * margin]
-        approx_rows = [(pc.name, int(est[pc.name])) for pc in cols if pc not in exact_cols]
+        approx_cols = [pc for pc in cols if pc not in exact_cols]
 
-    if exact_cols:
-        vc = value_counts(df, exact_cols, digest_lob=True, collation=collation)
-        distinct = _distinct_from_counts(vc)
-    else:
-        vc = spark.createDataFrame([], "column_name string, value string, count bigint")
-        distinct = spark.createDataFrame([], "column_name string, no_distinct bigint, "
-                                                 "row_total bigint")
-
-    kept: list = []
-    if advanced and exact_cols:
-        # Used by the distinct counts and by the domains: written once to the shared
-        # checkpoint folder (lineage cut, survives a lost executor) instead of recomputed.
+    parts = _typed_counts(df, exact_cols, True, collation) if exact_cols else []
+    if advanced and parts:
+        # The counts serve the statistics, the limits and the domains: written once to the
+        # shared checkpoint folder (lineage cut, survives a lost executor).
         scratch_dir(spark)  # makes sure a checkpoint location is registered
-        vc = vc.checkpoint(eager=True)
-        distinct = _distinct_from_counts(vc)
-
-    if approx_rows:
-        approx_df = spark.createDataFrame(approx_rows, "column_name string, _approx bigint")
-        stats = (stats.join(F.broadcast(approx_df), "column_name", "left")
-                      .withColumn("approx_distinct", F.col("_approx")).drop("_approx"))
-    prof = stats.join(distinct.drop("row_total"), "column_name", "left")
+        for part in parts:
+            part.counts = part.counts.checkpoint(eager=True)
+
+    frames = []
+    if parts:
+        frames.append(_stats_from_counts(parts, exact_cols))
+    if approx_cols:
+        # High-cardinality columns: statistics from one direct aggregate, distinct estimated.
+        est_df = spark.createDataFrame([(pc.name, est[pc.name]) for pc in approx_cols],
+                                       "column_name string, no_distinct bigint")
+        direct = column_stats(df, approx_cols).select(
+            "column_name", *[n for n, _ in COUNTED_FIELDS if n != "no_distinct"])
+        frames.append(direct.join(F.broadcast(est_df), "column_name"))
+    stats = reduce(DataFrame.unionByName, frames)
+    skeleton = spark.createDataFrame(
+        [(pc.name, pc.declared_length, pc.dtype.simpleString(), pc.type_class, pc.sql_type)
+         for pc in cols],
+        "column_name string, column_data_length int, data_type string, type_class string, "
+        "sql_type string")
+    # one row per profiled column on both sides: bounded by the schema
+    prof = (skeleton.join(F.broadcast(stats), "column_name", "left")
+                    .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
+                    .withColumn("no_nulls", F.coalesce("no_nulls", F.lit(0).cast("bigint")))
+                    .withColumn("no_distinct", F.coalesce("no_distinct", F.lit(0).cast("bigint"))))
     is_fk = F.lit(False)
     if fks is not None:
         fk_df = fks if isinstance(fks, DataFrame) else spark.createDataFrame(
@@ -358,27 +511,37 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         rows = prof.collect()
         if not rows or rows[0]["row_count"] == 0:
             raise ValueError("There is no data in the table to analyse")
-        limits = boundary_counts(df, rows, cols)
+        limit_frames = []
+        from_counts = _limits_from_counts(parts, rows) if parts else None
+        if from_counts is not None:
+            limit_frames.append(from_counts)
+        if approx_cols:
+            limit_frames.append(boundary_counts(df, rows, approx_cols))
+        limits = (reduce(DataFrame.unionByName, limit_frames) if limit_frames else
+                  spark.createDataFrame([], "column_name string, no_at_limit bigint"))
         prof = (spark.createDataFrame(rows, prof.schema)
                      .join(F.broadcast(limits), "column_name", "left"))
-        domains = (_domains_with_lob_values(df, cols, vc, distinct, distinct_min)
-                   .orderBy(F.col("domain_name").asc(), F.col("domain_counter").desc()))
+        if parts:
+            vc = _text_counts(parts, exact_cols)
+            distinct = stats.select("column_name", "no_distinct",
+                                    F.col("row_count").alias("row_total"))
+            domains = (_domains_with_lob_values(df, exact_cols, vc, distinct, distinct_min)
+                       .orderBy(F.col("domain_name").asc(), F.col("domain_counter").desc()))
     at_limit = F.col("no_at_limit") if advanced else F.lit(None).cast("bigint")
 
     keep = [c for c in PROFILE_COLUMNS if c not in (
-        "table_schema", "table_name", "no_distinct", "percentage_nulls",
+        "table_schema", "table_name", "percentage_nulls",
         "percentage_zero_length", "no_at_limit", "is_fk", "data_type_comments", "comments")]
     base = prof.select(
         F.lit(table_schema).cast("string").alias("table_schema"),
         F.lit(table_name).cast("string").alias("table_name"),
         *keep,
-        F.coalesce(F.col("no_distinct"), F.col("approx_distinct")).alias("no_distinct"),
         pct_of("no_nulls", "row_count").alias("percentage_nulls"),
         pct_of("no_zero_length", "row_count").alias("percentage_zero_length"),
         at_limit.alias("no_at_limit"), is_fk.alias("is_fk"))
     out = suggest(base, distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
                   boundary=boundary if advanced else None, sparse_thresholds=sparse_thresholds)
-    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown, kept)
+    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown, [])
 
 
 def profile_table(spark, name: str, *, require_rows: bool = True, **options) -> ProfileResult:
