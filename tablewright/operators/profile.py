@@ -18,6 +18,7 @@ collected when advanced mode needs the limits as literals.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from decimal import Decimal
@@ -30,7 +31,7 @@ from tablewright.functions.tsql import (
     looks_date_sql, looks_numeric_sql, pct_of, quote_ident, seconds_nonzero_sql, sql_str,
     time_of_day_nonzero_sql,
 )
-from tablewright.session import scratch_dir
+from tablewright.session import materialize
 from tablewright.operators.columns import (
     BINARY, DATE, LOB, NUMERIC, OTHER, TEXT, ProfileColumn, select_profile_columns,
 )
@@ -467,10 +468,17 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
     parts = _typed_counts(df, exact_cols, True, collation) if exact_cols else []
     if advanced and parts:
         # The counts serve the statistics, the limits and the domains: written once to the
-        # shared checkpoint folder (lineage cut, survives a lost executor).
-        scratch_dir(spark)  # makes sure a checkpoint location is registered
-        for part in parts:
-            part.counts = part.counts.checkpoint(eager=True)
+        # shared checkpoint folder and read back (lineage cut, survives a lost executor).
+        def write(part):
+            counts = part.counts
+            if part.stat == "text_collated":   # stored as plain text once grouped
+                counts = counts.withColumn("value", F.col("value").cast("string"))
+            return materialize(counts, "value_counts")
+
+        # independent jobs (one per value type): submitted together, run side by side
+        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+            for part, written in zip(parts, list(pool.map(write, parts))):
+                part.counts = written
 
     frames = []
     if parts:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import scratch_dir
+from tablewright.session import materialize, scratch_dir
 
 CREATE, REPLACE, KEEP, EXTRA = "create", "replace", "keep", "extra"
 DUPLICATE, AMBIGUOUS = "duplicate", "ambiguous"
@@ -96,8 +96,8 @@ def assign_sequential_ids(df: DataFrame, order, id_col: str, start: int = 1,
                           id_type: str = "bigint") -> DataFrame:
     """Number the rows of ``df`` start, start+1, … in ``order`` without a global window.
 
-    The rows are range-sorted (ties in random order) and checkpointed (lineage cut in the
-    shared checkpoint folder); per-partition counts – one row per partition – give each partition its
+    The rows are range-sorted (ties in random order) and written once to the shared
+    checkpoint folder (lineage cut; the stored partition ids and positions stay fixed); per-partition counts – one row per partition – give each partition its
     offset, and ``monotonically_increasing_id`` gives the position inside it.
     """
     order = _keys(order)
@@ -106,10 +106,9 @@ def assign_sequential_ids(df: DataFrame, order, id_col: str, start: int = 1,
     # The random last sort key only orders ties: a value repeated in a third of all rows
     # is then spread over several range partitions instead of one. It is seeded per
     # partition, so a retried task draws the same values, and the checkpoint fixes them.
-    ranked = (df.orderBy(*order, F.rand(17))
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    ranked = materialize(df.orderBy(*order, F.rand(17))
+                           .withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     counts = sorted((r["_pid"], r["n"]) for r in
                     ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, run = [], 0

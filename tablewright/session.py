@@ -49,3 +49,15 @@ def scratch_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "part"):
+    """Write ``df`` once as parquet under the shared checkpoint location and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor re-reads files instead of
+    recomputing), but in ONE job: ``Dataset.checkpoint`` computes its input twice (once
+    for the action, once to write) unless the data is also cached.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
