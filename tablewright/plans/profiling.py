@@ -216,6 +216,10 @@ DOMAIN_TABLES = {
 }
 
 
+def q_value_counts(spark, d):
+    return value_counts(table(spark, d, "events"), DOMAIN_TABLES["events"])
+
+
 def q_domain_analysis(spark, d):
     frames = []
     for t, cols in DOMAIN_TABLES.items():
@@ -301,6 +305,9 @@ ORACLE = {
         _wrap(_selects(t, t, TABLE_COLS[t], at_limit=True), LIMIT_OUT, boundary=0.57)
         for t in ("labels", "orders", "lineitem")]),
     "domain_analysis": _domain_sql(),
+    "value_counts": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(\"{c}\" AS VARCHAR) AS value, COUNT(*) AS count "
+        f"FROM events GROUP BY 2" for c in DOMAIN_TABLES["events"]),
     "flag_foreign_keys": _wrap(_selects("lineitem", "lineitem", TABLE_COLS["lineitem"]), FK_OUT,
                                fks=["l_orderkey", "l_partkey", "l_suppkey"]),
     "profile_binary": _wrap(_selects(
@@ -329,4 +336,5 @@ QUERIES = {
     "profile_table": q_profile_table,
     "profile_binary": q_profile_binary,
     "flag_foreign_keys": q_flag_foreign_keys,
+    "value_counts": q_value_counts,
 }

@@ -49,3 +49,14 @@ def test_open_runs_latest_session_is_broadcast(spark):
     plan = open_runs(jobs, act, sessions, "2024-01-02 00:00:00")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_profile_reads_each_column_once(spark):
+    import re
+    from tablewright.operators.profile import profile
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    plan = plan_of(profile(df).profile)
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    cols = [f.split(":")[0] for s in schemas for f in s.split(",") if f]
+    assert sorted(cols) == sorted(df.columns)          # every column, each in one scan
+    assert "Window" not in plan and "Python" not in plan
