@@ -2,26 +2,30 @@
 
 Plan shape, whatever the width of the table:
 
-1. ONE aggregate over the table: row count, per-column length/value/date statistics and
-   every conditional count (nulls, blanks, numeric-looking, date-looking, time of day,
-   seconds) – a single scan with map-side partial aggregation and a one-row result.
-2. ONE unpivot -> ``groupBy(column_name, value).count()`` that yields exact distinct
-   counts and, for low-cardinality columns, the value domains. Partial aggregation
-   collapses hot values before the shuffle, so a value holding a third of all rows costs
-   one row per map task. Long-text (LOB) columns are grouped by a SHA-256 digest so that
-   whole texts are never shuffled for counting.
-3. Advanced mode only: ONE more aggregate counting rows at the per-column limits.
-
-Nothing in the table passes through the driver; only the one-row-per-column profile is
+1. The columns are unpivoted, each in its own value type, into
+   ``groupBy(column, value).count()``: one Generate feeding a partial aggregate per map
+   task, then one shuffle per value type. The per-type scans read disjoint column sets,
+   so the table is read once. Partial aggregation collapses a hot value map-side: a value
+   holding a third of all rows costs one row per task. Long text is counted as
+   (SHA-256 digest, length, blank), so whole texts are never shuffled.
+2. Every statistic is folded from those (value, count) rows: min/max, length statistics
+   and exact means weighted by the counts; null, blank, numeric-looking, date-looking and
+   time-of-day counts as sums of counts. Per-value rules thus run once per distinct value.
+3. Distinct counts, domains and (advanced mode) the counts at the limits come from the
+   same rows; advanced mode writes them once under the checkpoint folder and never reads
+   the table again.
+
+With ``approx_distinct`` only likely low-cardinality columns are counted; the others get
+HyperLogLog estimates and their statistics from one direct aggregate (``column_stats``).
+Nothing in the table passes through the driver; only one row per profiled column is
 collected when advanced mode needs the limits as literals.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ from tablewright.functions.tsql import (
 )
 from tablewright.session import materialize
 from tablewright.operators.columns import (
-    BINARY, DATE, LOB, NUMERIC, OTHER, TEXT, ProfileColumn, select_profile_columns,
+    BINARY, DATE, LOB, NUMERIC, TEXT, ProfileColumn, select_profile_columns,
 )
 
 DEC = "decimal(38,6)"
@@ -46,7 +50,7 @@ STAT_FIELDS = [
     ("no_nulls", "bigint"), ("no_zero_length", "bigint"),
     ("no_date_with_hour_minute_second", "bigint"), ("no_date_with_second", "bigint"),
     ("no_is_numeric", "bigint"), ("no_is_date", "bigint"),
-    ("approx_distinct", "bigint"), ("min_raw", "string"), ("max_raw", "string"),
+    ("min_raw", "string"), ("max_raw", "string"),
 ]
 
 PROFILE_COLUMNS = [
@@ -64,13 +68,6 @@ class ProfileResult:
     profile: DataFrame
     domains: DataFrame
     unknown_columns: list
-    cached: list = field(default_factory=list)
-
-    def release(self) -> None:
-        """Drop the frames kept for advanced mode once the results have been used."""
-        for df in self.cached:
-            df.unpersist()
-        self.cached.clear()
 
 
 def _length_sql(pc: ProfileColumn) -> str:
@@ -298,7 +295,7 @@ def _part_stats_sql(stat: str) -> dict[str, str]:
 
 COUNTED_FIELDS = [(n, t) for n, t in STAT_FIELDS
                   if n not in ("column_name", "column_data_length", "data_type", "type_class",
-                               "sql_type", "approx_distinct")] + [
+                               "sql_type")] + [
     ("row_count", "bigint"), ("no_distinct", "bigint")]
 
 
@@ -549,7 +546,7 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         at_limit.alias("no_at_limit"), is_fk.alias("is_fk"))
     out = suggest(base, distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
                   boundary=boundary if advanced else None, sparse_thresholds=sparse_thresholds)
-    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown, [])
+    return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown)
 
 
 def profile_table(spark, name: str, *, require_rows: bool = True, **options) -> ProfileResult:

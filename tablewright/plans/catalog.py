@@ -3,8 +3,6 @@ ordered concatenation per order, and the generated-insert behaviour on orders.""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablewright.operators.catalog import insert_rows, ordered_concat
 from tablewright.plans import table
 from tablewright.session import scratch_dir

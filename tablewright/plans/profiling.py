@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.columns import classify
 from tablewright.operators.profile import domain_analysis, profile, profile_table, value_counts
 from tablewright.plans import table
 from tablewright.plans.oracle_profile import column_select, profile_sql, sql_pct
