@@ -7,15 +7,19 @@ from pyspark.sql import types as T
 
 
 def write_xml_report(df: DataFrame, path: str, root_tag: str = "Queries",
-                     row_tag: str = "Query", mode: str = "overwrite") -> str:
+                     row_tag: str = "Query", mode: str = "overwrite",
+                     single_document: bool = False) -> str:
     """Write ``df`` as XML, one element per row, columns as child elements.
 
     Each output part is a complete document with the root element; the write is one job
     that commits atomically through the output committer, so a lost executor only reruns
-    its tasks. The data is never gathered into one task.
+    its tasks. By default the data is never gathered into one task. ``single_document``
+    writes one file (one task): only for reports of bounded size, such as a day's
+    distinct statements, where one document is what the reader expects.
     """
-    (df.write.mode(mode).option("rootTag", root_tag).option("rowTag", row_tag)
-       .option("nullValue", "").xml(path))
+    out = df.coalesce(1) if single_document else df
+    (out.write.mode(mode).option("rootTag", root_tag).option("rowTag", row_tag)
+        .option("nullValue", "").xml(path))
     return path
 
 

@@ -100,3 +100,17 @@ def test_gather_across_adds_source(spark):
     b = spark.createDataFrame([(2,)], "x int")
     got = sorted(tuple(r) for r in gather_across({"a": a, "b": b}).collect())
     assert got == [(1, "a"), (2, "b")]
+
+
+def test_xml_report_round_trip(spark, tmpdir_path):
+    import glob
+    from tablewright.sources.xml_sink import read_xml_report, write_xml_report
+    df = spark.createDataFrame([("db", "select 1", "2018-03-29 12:00:00")],
+                               "db string, script string, run_date string")
+    path = write_xml_report(df, tmpdir_path + "/x", single_document=True)
+    files = [f for f in glob.glob(path + "/part-*")]
+    assert len(files) == 1
+    text = open(files[0]).read()
+    assert "<Queries>" in text and "<Query>" in text and "<script>select 1</script>" in text
+    assert [tuple(r) for r in read_xml_report(spark, path, df.schema).collect()] == [
+        ("db", "select 1", "2018-03-29 12:00:00")]
