@@ -17,8 +17,9 @@ Plan shape, whatever the width of the table:
 
 With ``approx_distinct`` only likely low-cardinality columns are counted; the others get
 HyperLogLog estimates and their statistics from one direct aggregate (``column_stats``).
-Nothing in the table passes through the driver; only one row per profiled column is
-collected when advanced mode needs the limits as literals.
+Nothing in the table passes through the driver: the limits join each column's min/max
+(one broadcast row per column) back to its counts; only approximate columns, which have
+no counts, are collected (one row each) to scan for their limits.
 """
 
 from __future__ import annotations
@@ -320,33 +321,34 @@ def _text_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame:
                         _text_of(p.stat).alias("value"), "count") for p in parts])
 
 
-def _limits_from_counts(parts: list[_Part], rows) -> DataFrame | None:
-    """D-16 from the value counts: rows whose value (numerics) or length (text, binary)
-    equals the column's min or max, weighted by their counts. Limits are literals taken
-    from the collected profile rows (one per column)."""
-    by_name = {r["column_name"]: r for r in rows}
+_LIMIT_MEASURE = {
+    "exact_num": "value", "float_num": "value",
+    "text": "length(rtrim(value))", "text_collated": "length(rtrim(CAST(value AS STRING)))",
+    "binary": "length(value)", "lob_text": "value.len",
+}
+
+
+def _limits_from_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame | None:
+    """D-16 from the value counts, without a driver round trip: each column's min and max
+    of the measure (the value for numerics, the length for text and binary) are computed
+    from its counts – one small row per column, broadcast – and joined back on the column
+    position; the counts of the rows at either limit are summed."""
+    names = F.array(*[F.lit(pc.name) for pc in cols])
     frames = []
     for part in parts:
-        exprs = []
-        for i, pc in part.cols:
-            r = by_name[pc.name]
-            if part.stat in ("exact_num", "float_num") and r["max_raw"] is not None:
-                hi = f"CAST({sql_str(r['max_raw'])} AS {pc.dtype.simpleString()})"
-                lo = f"CAST({sql_str(r['min_raw'])} AS {pc.dtype.simpleString()})"
-                cond = f"(value = {hi} OR value = {lo})"
-            elif part.stat in ("text", "text_collated", "binary", "lob_text") \
-                    and r["max_data_length"] is not None:
-                ln = {"text": "length(rtrim(value))",
-                      "text_collated": "length(rtrim(CAST(value AS STRING)))",
-                      "binary": "length(value)", "lob_text": "value.len"}[part.stat]
-                cond = (f"({ln} = {int(r['max_data_length'])} OR "
-                        f"{ln} = {int(r['min_data_length'])})")
-            else:
-                continue
-            exprs.append(F.struct(F.lit(pc.name).alias("column_name"),
-                                  F.expr(_weighted(f"_ci = {i} AND {cond}")).alias("no_at_limit")))
-        if exprs:
-            frames.append(part.counts.agg(F.array(*exprs).alias("a")).select(F.inline("a")))
+        measure = _LIMIT_MEASURE.get(part.stat)
+        if measure is None:
+            continue
+        m = part.counts.select("_ci", "count", F.expr(measure).alias("_m"))
+        bounds = m.groupBy("_ci").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+        at = (F.col("_m") == F.col("_lo")) | (F.col("_m") == F.col("_hi"))
+        frames.append(
+            m.join(F.broadcast(bounds), "_ci")     # one row per column: a proven bound
+             .groupBy("_ci")
+             .agg(F.coalesce(F.sum(F.when(at, F.col("count"))), F.lit(0)).cast("bigint")
+                  .alias("no_at_limit"))
+             .select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
+                     "no_at_limit"))
     return reduce(DataFrame.unionByName, frames) if frames else None
 
 
@@ -511,21 +513,20 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         [], "domain_name string, domain_element string, domain_counter bigint, "
             "domain_percent decimal(7,4)")
     if advanced:
-        # Bounded collect: one row per profiled column, needed as literals for the limits.
-        # The final frame is rebuilt from these rows, so the statistics are not recomputed.
-        rows = prof.collect()
-        if not rows or rows[0]["row_count"] == 0:
-            raise ValueError("There is no data in the table to analyse")
         limit_frames = []
-        from_counts = _limits_from_counts(parts, rows) if parts else None
+        from_counts = _limits_from_counts(parts, exact_cols) if parts else None
         if from_counts is not None:
             limit_frames.append(from_counts)
         if approx_cols:
+            # Columns without value counts are scanned once more with their limits as
+            # literals. Bounded collect: one row per such column.
+            rows = prof.where(F.col("column_name").isin([pc.name for pc in approx_cols])).collect()
             limit_frames.append(boundary_counts(df, rows, approx_cols))
-        limits = (reduce(DataFrame.unionByName, limit_frames) if limit_frames else
-                  spark.createDataFrame([], "column_name string, no_at_limit bigint"))
-        prof = (spark.createDataFrame(rows, prof.schema)
-                     .join(F.broadcast(limits), "column_name", "left"))
+        if limit_frames:
+            limits = reduce(DataFrame.unionByName, limit_frames)
+            prof = prof.join(F.broadcast(limits), "column_name", "left")
+        else:
+            prof = prof.withColumn("no_at_limit", F.lit(None).cast("bigint"))
         if parts:
             vc = _text_counts(parts, exact_cols)
             distinct = stats.select("column_name", "no_distinct",
