@@ -217,3 +217,22 @@ def test_sql_and_column_rules_agree(spark):
     assert [(r["a"], r["c"]) for r in got] == [(False, False), (True, False), (True, True), (True, True)]
     for r in got:
         assert r["a"] == r["b"] and r["c"] == r["d"]
+
+
+def test_advanced_with_approx_columns_matches_exact_limits(spark):
+    rows = [(i, i % 3, "x" * (1 + i % 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "hi bigint, lo int, s string")
+    exact = {r["column_name"]: r for r in profile(df, advanced=True).profile.collect()}
+    approx = {r["column_name"]: r for r in
+              profile(df, advanced=True, approx_distinct=0.02).profile.collect()}
+    for c in ("hi", "lo", "s"):
+        assert approx[c]["no_at_limit"] == exact[c]["no_at_limit"]
+    assert exact["hi"]["no_at_limit"] == 2 and exact["lo"]["no_at_limit"] == 2000
+    assert approx["lo"]["no_distinct"] == 3
+
+
+def test_empty_frame_profile(spark):
+    df = spark.createDataFrame([], "a int, b string")
+    rows = {r["column_name"]: r for r in profile(df).profile.collect()}
+    assert set(rows) == {"a", "b"}
+    assert rows["a"]["row_count"] == 0 and rows["a"]["percentage_nulls"] is None
