@@ -436,7 +436,7 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
             table_schema: str | None = None, table_name: str | None = None,
             sparse_thresholds: DataFrame | None = None,
             collation: str | None = None) -> ProfileResult:
-    """Profile every selected column of ``df`` (usp_DataProfiler, Spark-first).
+    """Profile every selected column of ``df``.
 
     Returns the profile (one row per column, suggestions included) and the domains (empty
     unless ``advanced``). ``fks``: names of foreign-key columns (list or DataFrame with

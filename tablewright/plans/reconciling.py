@@ -75,12 +75,12 @@ def q_render_template(spark, d):
     c = table(spark, d, "customer")
     steps = c.select(F.col("c_custkey").alias("step_id"),
                      F.concat(F.lit("env-"), F.col("c_nationkey").cast("string")).alias("environment_name"),
-                     F.lit("DataCatalog").alias("project_name"), F.lit("Migration").alias("folder_name"),
+                     F.lit("Warehouse").alias("project_name"), F.lit("Nightly").alias("folder_name"),
                      F.concat(F.lit("load --customer "), F.col("c_custkey").cast("string"),
                               F.lit(" --ref {{EnvRefId}}")).alias("command"))
     refs = table(spark, d, "nation").where(F.col("n_regionkey") != 4).select(
         F.concat(F.lit("env-"), F.col("n_nationkey").cast("string")).alias("environment_name"),
-        F.lit("DataCatalog").alias("project_name"), F.lit("Migration").alias("folder_name"),
+        F.lit("Warehouse").alias("project_name"), F.lit("Nightly").alias("folder_name"),
         (F.col("n_nationkey").cast("bigint") + 1000).alias("reference_id"))
     out = render_template(steps, refs, ["environment_name", "project_name", "folder_name"])
     return out.select("step_id", "command", "error")
@@ -145,7 +145,7 @@ FROM w WHERE name NOT IN (SELECT name FROM a)""",
     || CAST(c.c_custkey AS VARCHAR) || ' --ref {{EnvRefId}}', '{{EnvRefId}}',
     CAST(r.reference_id AS VARCHAR)) END AS command,
   CASE WHEN r.reference_id IS NULL THEN 'no reference for env-' || CAST(c.c_nationkey AS VARCHAR)
-    || '/DataCatalog/Migration' END AS error
+    || '/Warehouse/Nightly' END AS error
 FROM customer c LEFT JOIN (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) + 1000 AS reference_id
   FROM nation WHERE n_regionkey <> 4) r ON c.c_nationkey = r.n_nationkey""",
     "upsert_by_any_key": """WITH a AS (SELECT p_partkey AS step_id, p_name AS step_name,

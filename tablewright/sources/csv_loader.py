@@ -132,7 +132,7 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
              header: bool = True, sep: str = ",", quoting: str = "csv", max_errors: int | None = 100,
              error_path: str | None = None, strict: bool = True, strip: bool = True,
              is_table: bool = False, fmt: str = "parquet") -> DataFrame:
-    """The whole load (USP_Bulk_Insert, Spark-first). Returns a one-row status frame:
+    """The whole staged load, Spark-first. Returns a one-row status frame:
     rows_read, rejected, cast_errors, written, error_path.
 
     Raises :class:`ErrorBudgetExceeded` past ``max_errors`` rejects and, when ``strict``,
