@@ -60,3 +60,17 @@ def test_profile_reads_each_column_once(spark):
     cols = [f.split(":")[0] for s in schemas for f in s.split(",") if f]
     assert sorted(cols) == sorted(df.columns)          # every column, each in one scan
     assert "Window" not in plan and "Python" not in plan
+
+
+def test_job_history_step_filter_pushed(spark, tmpdir_path):
+    from tablewright.operators.reports import job_history_report
+    p = tmpdir_path + "/hist"
+    spark.createDataFrame([("j", "h", 0, 1, 130, 1, dt.datetime(2024, 1, 1))],
+                          "job_id string, server string, step_id int, run_status int, "
+                          "run_duration int, run_id bigint, run_ts timestamp_ntz").write.parquet(p)
+    jobs = spark.createDataFrame([("j", "n", "d", 1, dt.datetime(2023, 1, 1))],
+                                 "job_id string, name string, description string, category_id int, date_created timestamp_ntz")
+    cats = spark.createDataFrame([(1, "c")], "category_id int, name string")
+    plan = plan_of(job_history_report(jobs, spark.read.parquet(p), cats))
+    assert "EqualTo(step_id,0)" in plan
+    assert "Window" not in plan
