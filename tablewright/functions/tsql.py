@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values (must equal the reference's for equal results) -------------------------
-# Run status code -> label, in code order.
+# --- fixed values ----------------------------------------------------------------------------
+# Run status code -> label, in code order (equal to the reference's labels).
 RUN_STATUS_LABELS = {0: "Failed", 1: "Succeeded", 2: "Retry", 3: "Canceled", 4: "In Progress"}
 RUN_STATUS_UNKNOWN = "Unknown"
-# Numeric-looking pattern (our documented stand-in for ISNUMERIC) and date formats (ISDATE).
+# Numeric-looking pattern and date formats: our documented stand-ins for the server's
+# locale-bound ISNUMERIC / ISDATE tests.
 NUMERIC_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss")
 # Shape of each format (same order): only text of this shape is handed to the parser.
