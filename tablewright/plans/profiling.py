@@ -215,6 +215,17 @@ DOMAIN_TABLES = {
 }
 
 
+OTHER_OUT = ["table_name", "column_name", "type_class", "sql_type", "min_data_length",
+             "max_data_length", "no_nulls", "no_distinct", "row_count", "data_type_comments"]
+
+
+def q_profile_other(spark, d):
+    """Classes outside text/number/date (array, boolean): nulls and distinct counts only."""
+    e = table(spark, d, "embeddings").select(
+        "embedding", "label", (F.col("label") % 2 == 0).alias("even_label"))
+    return _prof(e, "embeddings", OTHER_OUT, columns=["embedding", "label", "even_label"])
+
+
 def q_value_counts(spark, d):
     return value_counts(table(spark, d, "events"), DOMAIN_TABLES["events"])
 
@@ -304,6 +315,13 @@ ORACLE = {
         _wrap(_selects(t, t, TABLE_COLS[t], at_limit=True), LIMIT_OUT, boundary=0.57)
         for t in ("labels", "orders", "lineitem")]),
     "domain_analysis": _domain_sql(),
+    "profile_other": _wrap(
+        _selects("(SELECT embedding, label, label % 2 = 0 AS even_label FROM embeddings) x",
+                 "embeddings", [("embedding", "other", "array<float>"), ("label", "numeric", "int"),
+                                ("even_label", "other", "bit")]),
+        ["table_name", "column_name", "CASE WHEN sql_type = 'int' THEN 'numeric' ELSE 'other' END"
+         " AS type_class", "sql_type", "min_data_length", "max_data_length", "no_nulls",
+         "no_distinct", "row_count", "data_type_comments"]),
     "value_counts": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CAST(\"{c}\" AS VARCHAR) AS value, COUNT(*) AS count "
         f"FROM events GROUP BY 2" for c in DOMAIN_TABLES["events"]),
@@ -336,4 +354,5 @@ QUERIES = {
     "profile_binary": q_profile_binary,
     "flag_foreign_keys": q_flag_foreign_keys,
     "value_counts": q_value_counts,
+    "profile_other": q_profile_other,
 }
