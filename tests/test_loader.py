@@ -98,3 +98,15 @@ def test_blank_lines_skipped(spark, tmpdir_path):
     path = write(tmpdir_path + "/in", [LINES[0], "", LINES[1], ""])
     good, rejects = read_csv_staged(spark, path, TARGET)
     assert (good.count(), rejects.count()) == (1, 0)
+
+
+def test_load_appends_to_catalog_table(spark, tmpdir_path):
+    spark.sql("CREATE TABLE tw_orders_target (order_id BIGINT, customer STRING, total DOUBLE, "
+              "order_date TIMESTAMP_NTZ) USING parquet")
+    spark.sql("INSERT INTO tw_orders_target VALUES (0, 'zed', 1.0, TIMESTAMP_NTZ'2023-12-31 00:00:00')")
+    good = write(tmpdir_path + "/in", [LINES[0], LINES[1], LINES[4]])
+    st = load_csv(spark, good, "tw_orders_target", TARGET, is_table=True).collect()[0]
+    assert st["written"] == 2
+    got = sorted((r["order_id"], r["customer"]) for r in spark.table("tw_orders_target").collect())
+    assert got == [(0, "zed"), (1, "alice"), (4, "dan, jr")]
+    spark.sql("DROP TABLE tw_orders_target")
