@@ -236,3 +236,15 @@ def test_empty_frame_profile(spark):
     rows = {r["column_name"]: r for r in profile(df).profile.collect()}
     assert set(rows) == {"a", "b"}
     assert rows["a"]["row_count"] == 0 and rows["a"]["percentage_nulls"] is None
+
+
+def test_declared_text_lengths_from_catalog(spark):
+    from tablewright.operators.profile import profile_table
+    spark.sql("CREATE TABLE tw_decl (code CHAR(3), name VARCHAR(25), note STRING) USING parquet")
+    spark.sql("INSERT INTO tw_decl VALUES ('ab', 'alpha', 'x'), ('cd', 'beta', NULL)")
+    rows = {r["column_name"]: r for r in profile_table(spark, "tw_decl").profile.collect()}
+    assert (rows["code"]["sql_type"], rows["code"]["column_data_length"]) == ("char", 3)
+    assert (rows["name"]["sql_type"], rows["name"]["column_data_length"]) == ("varchar", 25)
+    assert rows["note"]["column_data_length"] is None
+    assert rows["code"]["max_data_length"] == 2          # CHAR padding is not counted
+    spark.sql("DROP TABLE tw_decl")
