@@ -91,9 +91,11 @@ def recent_queries(stats: DataFrame, texts: DataFrame, day: str, db: str) -> Dat
                           F.date_format("_last", "yyyy-MM-dd HH:mm:ss").alias("run_date")))
 
 
-def open_runs(jobs: DataFrame, activity: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
+def open_runs(jobs: DataFrame, activity: DataFrame, sessions: DataFrame, as_of,
+              job_name: str | None = None) -> DataFrame:
     """R-04: runs of the latest agent session that were requested and have not stopped,
-    with the whole seconds elapsed until ``as_of``.
+    with the whole seconds elapsed until ``as_of`` (optionally for one job by name: "is
+    this job running now?").
 
     The latest session is found by a one-row aggregate joined on equality (never a
     cross join); that one-row side is broadcast, a proven size bound.
@@ -104,15 +106,22 @@ def open_runs(jobs: DataFrame, activity: DataFrame, sessions: DataFrame, as_of)
                           & F.col("stop_execution_date").isNull())
                    .join(latest, "session_id", "left_semi"))
     as_of_col = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else F.lit(as_of)
-    return (act.join(jobs.select("job_id", F.col("name").alias("job_name")), "job_id")
+    named = jobs.select("job_id", F.col("name").alias("job_name"))
+    if job_name is not None:
+        named = named.where(F.col("job_name") == job_name)
+    return (act.join(named, "job_id")
                .select("job_id", "job_name", "session_id", "run_requested_date",
                        second_boundaries("run_requested_date", as_of_col)
                        .alias("elapsed_seconds")))
 
 
-def extract_messages(operations: DataFrame, messages: DataFrame, types=(120, 130)) -> DataFrame:
-    """R-05: messages of the given types with their operation's package, caller, server."""
+def extract_messages(operations: DataFrame, messages: DataFrame, types=(120, 130),
+                     operation_id=None) -> DataFrame:
+    """R-05: messages of the given types with their operation's package, caller, server
+    (optionally of one operation, e.g. one validation run)."""
     m = messages.where(F.col("message_type").isin(list(types)))
+    if operation_id is not None:
+        m = m.where(F.col("operation_id") == operation_id)
     o = operations.select("operation_id", F.col("object_name").alias("package_name"),
                           "caller_name", "server_name")
     return m.join(o, "operation_id").select(

@@ -114,3 +114,17 @@ def test_xml_report_round_trip(spark, tmpdir_path):
     assert "<Queries>" in text and "<Query>" in text and "<script>select 1</script>" in text
     assert [tuple(r) for r in read_xml_report(spark, path, df.schema).collect()] == [
         ("db", "select 1", "2018-03-29 12:00:00")]
+
+
+def test_open_runs_for_one_job_and_messages_of_one_operation(spark):
+    jobs = spark.createDataFrame([("j1", "a"), ("j2", "b")], "job_id string, name string")
+    sessions = spark.createDataFrame([(1, D(2024, 1, 1))], "session_id int, agent_start_date timestamp_ntz")
+    act = spark.createDataFrame([(1, "j1", D(2024, 1, 1), None), (1, "j2", D(2024, 1, 1), None)],
+                                "session_id int, job_id string, run_requested_date timestamp_ntz, stop_execution_date timestamp_ntz")
+    got = [r["job_id"] for r in open_runs(jobs, act, sessions, "2024-01-01 00:00:05", job_name="b").collect()]
+    assert got == ["j2"]
+    ops = spark.createDataFrame([(1, "p1", "c", "s"), (2, "p2", "c", "s")],
+                                "operation_id bigint, object_name string, caller_name string, server_name string")
+    msgs = spark.createDataFrame([(1, 120, D(2024, 1, 1), "e1"), (2, 130, D(2024, 1, 1), "e2")],
+                                 "operation_id bigint, message_type int, message_time timestamp_ntz, message string")
+    assert [r["message"] for r in extract_messages(ops, msgs, operation_id=2).collect()] == ["e2"]
