@@ -64,3 +64,36 @@ def test_csv_read_plus_rejected_is_lines(spark, lines):
     kept = [x for x in lines if x != ""]          # blank lines are skipped by the reader
     assert n_good + n_bad == len(kept)
     assert n_bad == sum(1 for x in kept if len(x.split(",")) != 3)
+
+
+@SETTINGS
+@given(st.sets(st.text("abcde", min_size=1, max_size=3), max_size=20),
+       st.dictionaries(st.text("abcde", min_size=1, max_size=3), st.integers(0, 50), max_size=10))
+def test_assigned_ids_unique_and_contiguous(spark, wanted, existing):
+    from tablewright.operators.reconcile import get_or_assign_ids
+    if not wanted:
+        return
+    ids = {}
+    for k, v in existing.items():          # existing ids must be unique per key and overall
+        if v not in ids.values():
+            ids[k] = v
+    actual = spark.createDataFrame(list(ids.items()) or [("zzz", 0)], "name string, id bigint")
+    desired = spark.createDataFrame([(w,) for w in wanted], "name string")
+    got = {r["name"]: r["id"] for r in get_or_assign_ids(desired, actual, "name", "id").collect()}
+    assert set(got) == wanted
+    base = max(ids.values()) if ids else 0
+    new = sorted(v for k, v in got.items() if k not in ids)
+    assert new == list(range(base + 1, base + 1 + len(new)))
+    assert all(got[k] == ids[k] for k in wanted if k in ids)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(small_int, small_text), max_size=30))
+def test_row_checks_split_every_row_once(spark, rows):
+    from pyspark.sql import functions as F
+    from tablewright.operators.checks import row_checks
+    df = spark.createDataFrame(rows, "i int, t string")
+    good, bad = row_checks(df, {"i_positive": F.col("i") > 0, "t_present": F.col("t").isNotNull()})
+    assert good.count() + bad.count() == len(rows)
+    expected_bad = sum(1 for i, t in rows if (i is not None and i <= 0) or t is None)
+    assert bad.count() == expected_bad
