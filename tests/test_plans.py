@@ -74,3 +74,13 @@ def test_job_history_step_filter_pushed(spark, tmpdir_path):
     plan = plan_of(job_history_report(jobs, spark.read.parquet(p), cats))
     assert "EqualTo(step_id,0)" in plan
     assert "Window" not in plan
+
+
+def test_per_key_reports_aggregate_before_the_shuffle(spark):
+    from tablewright.operators.reports import latest_per_key
+    from tablewright.plans.reports import q_job_history_report
+    plan = plan_of(q_job_history_report(spark, SF))
+    assert "partial_max_by" in plan and "partial_count" in plan
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    plan2 = plan_of(latest_per_key(ev, "user_id", ["ts", "event_id"]))
+    assert "partial_max_by" in plan2 and "Window" not in plan2
