@@ -60,9 +60,13 @@ def classify(field: T.StructField, lob_cols=()) -> ProfileColumn:
 
 
 def parse_column_list(columns) -> list[str]:
-    """Comma list or sequence -> names, blanks trimmed, empties and repeats dropped."""
+    """Comma list, sequence, or a column-list DataFrame (``column_name``) -> names, blanks
+    trimmed, empties and repeats dropped."""
     if columns is None:
         return []
+    if hasattr(columns, "select") and hasattr(columns, "collect"):
+        # a column list: one row per column of one table, bounded by its width
+        columns = [r[0] for r in columns.select("column_name").collect()]
     items = columns.split(",") if isinstance(columns, str) else list(columns)
     out: list[str] = []
     for item in items:

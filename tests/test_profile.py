@@ -248,3 +248,10 @@ def test_declared_text_lengths_from_catalog(spark):
     assert rows["note"]["column_data_length"] is None
     assert rows["code"]["max_data_length"] == 2          # CHAR padding is not counted
     spark.sql("DROP TABLE tw_decl")
+
+
+def test_column_list_frame(spark, edge):
+    cl = spark.createDataFrame([(" id ",), ("txt",), ("missing",)], "column_name string")
+    res = profile(edge, columns=cl)
+    assert sorted(r["column_name"] for r in res.profile.collect()) == ["id", "txt"]
+    assert res.unknown_columns == ["missing"]
