@@ -56,7 +56,7 @@ def list_source_columns(spark: SparkSession, reader: Reader, names, catalog: str
            "decimal_digits smallint, num_prec_radix smallint, nullable smallint, remarks string, "
            "column_def string, sql_data_type smallint, sql_datetime_sub smallint, "
            "char_octet_length int, ordinal_position int, is_nullable string, ss_data_type tinyint")
-    return spark.createDataFrame(rows, ddl)
+    return spark.createDataFrame(rows, ddl).orderBy("table_name", "ordinal_position")
 
 
 def _copy_one(reader: Reader, name: str, target: str, fmt: str, as_table: bool):
