@@ -30,7 +30,8 @@ TXT_FILESTREAM_YES = "Possibly a good candidate for FILESTREAM."
 TXT_FILESTREAM_NO = "Possibly not a good candidate for FILESTREAM."
 TXT_SPARSE = "Could benefit from sparse columns. "
 TXT_AT_LIMIT = "Large numbers of data elements at the max/minvalues. "
-# Percent of NULLs from which a type benefits from sparse storage.
+# Percent of NULLs from which a type benefits from sparse storage. ("numeric" is spelled
+# correctly here, so numeric columns are matched; see SURVEY N-04.)
 SPARSE_THRESHOLDS = [
     ("tinyint", 86), ("smallint", 76), ("int", 64), ("bigint", 52), ("real", 64),
     ("float", 52), ("money", 64), ("smallmoney", 64), ("smalldatetime", 52),
@@ -39,7 +40,7 @@ SPARSE_THRESHOLDS = [
     ("nvarchar", 60), ("binary", 60), ("varbinary", 60), ("xml", 60),
 ]
 TEXT_TYPES = ("varchar", "nvarchar", "char", "nchar")
-INT_LIMITS = (-2147483648, 2147483647)
+INT_LIMITS = (-2147483648, 2147483647)          # upper bound is INT's true maximum (N-03)
 SMALLINT_LIMITS = (-32768, 32767)
 TINYINT_LIMITS = (0, 255)
 SMALLDATE_RANGE = ("1900-01-01", "2079-06-06")
