@@ -6,9 +6,9 @@ the queries that SQL can express.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import exact_dedup
+from tablewright.llm import bpe, exact_dedup
 from tablewright.llm.common import documents
 
 
@@ -25,8 +25,28 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept,
 FROM t JOIN g ON t.x = g.x
 """
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    path = vocabulary_path()
+    coded = bpe.encode(docs.select("doc_id", "text"), path, ids_col="ids")
+    back = bpe.decode(coded.select("doc_id", "ids"), path, ids_col="ids", text_col="decoded")
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_bpe": op3_bpe,
 }
 
 ORACLE = {
