@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup
+from tablewright.llm import bpe, exact_dedup, simhash_dedup
 from tablewright.llm.common import documents
 
 
@@ -44,9 +44,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_dedup(documents(spark, sf_dir), shingle=3, distance=2)
+    return found.select("doc_id", simhash_dedup.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLE = {
