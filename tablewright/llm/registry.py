@@ -8,10 +8,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, simhash_dedup
+from tablewright.llm import bpe, exact_dedup, quality_rules, simhash_dedup
 from tablewright.llm.common import documents
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+w AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM d)),
+r AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM w) WHERE c > 1),
+cov AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n
+  FROM r, (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(ws) AS n_words,
+         length(array_to_string(ws, '')) AS word_chars,
+         length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(cov.n, 0) AS n_repeat_words,
+         len(list_filter(ws, lambda w: lower(w) IN (
+           'the', 'of', 'and', 'to', 'a', 'in', 'is', 'that', 'it', 'for', 'was', 'on', 'with',
+           'as', 'be', 'by', 'are', 'this', 'at', 'from', 'der', 'die', 'und', 'den', 'von',
+           'das', 'zu', 'mit', 'sich', 'des', 'für', 'auf', 'ist', 'nicht', 'dem', 'im', 'ein',
+           'eine', 'als', 'de', 'la', 'le', 'et', 'les', 'en', 'un', 'du', 'une', 'que', 'pour',
+           'est', 'par', 'dans', 'qui', 'sur', 'pas', 'avec', 'au', 'el', 'y', 'los', 'del',
+           'se', 'las', 'por', 'con', 'su', 'no', 'para', 'es', 'al', 'lo'))) AS n_stop
+  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words
+         AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.1
+         AND n_stop / n_words >= 0.05 AND n_dup_lines / n_lines <= 0.5 AS kept
+FROM m
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -50,11 +94,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
 }
 
 ORACLE = {
+    "op1_quality_rules": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
 }
