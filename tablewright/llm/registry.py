@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, quality_rules, simhash_dedup
-from tablewright.llm.common import documents
+from tablewright.llm import bpe, exact_dedup, quality_model, quality_rules, simhash_dedup
+from tablewright.llm.common import documents, labels, rest_of
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
+def quality_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_model.Model:
+    """The model of the labelled rows whose crc32 of the id, modulo four, is not two."""
+    return quality_model.fit(docs, labels(spark, sf_dir), rest_of("id", 4) != 2)
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    score = quality_model.score_column(docs, quality_fit(spark, docs, sf_dir))
+    scored = docs.select("doc_id", (rest_of("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_dedup(documents(spark, sf_dir), shingle=3, distance=2)
     return found.select("doc_id", simhash_dedup.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
@@ -97,6 +109,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op4_quality_model": op4_quality_model,
     "op5_simhash": op5_simhash,
 }
 
