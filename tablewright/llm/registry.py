@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, quality_model, quality_rules, simhash_dedup
+from tablewright.llm import bpe, exact_dedup, language_id, quality_model, quality_rules, simhash_dedup
 from tablewright.llm.common import documents, labels, rest_of
 
 
@@ -105,12 +105,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, rest_of("id", 3) != 1)
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (rest_of("doc_id", 3) == 1).alias("held_out"), "lang_pred",
+        F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op4_quality_model": op4_quality_model,
     "op5_simhash": op5_simhash,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE = {
