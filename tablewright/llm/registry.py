@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, quality_model, quality_rules, simhash_dedup
+from tablewright.llm import bpe, exact_dedup, language_id, mixing, quality_model, quality_rules, simhash_dedup
 from tablewright.llm.common import documents, labels, rest_of
 
 
@@ -113,6 +113,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+#: Target shares of words; the domain of low quality has none.
+MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def domain_labels(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The labelled table: language of the rows labelled good, ``low`` for the others."""
+    marks = labels(docs.sparkSession, sf_dir).filter("quality is not null").select("doc_id", "quality")
+    return docs.select("doc_id", "lang").join(marks, "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 1, F.col("lang")).otherwise("low").alias("domain"))
+
+
+def mixer(docs: DataFrame, sf_dir: str) -> mixing.Mixer:
+    return mixing.fit(docs, domain_labels(docs, sf_dir), MIX_WEIGHTS)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixer(docs, sf_dir).rated(docs)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -120,6 +140,7 @@ QUERIES = {
     "op4_quality_model": op4_quality_model,
     "op5_simhash": op5_simhash,
     "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
