@@ -19,17 +19,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tablewright.llm.common import quoted
+from tablewright.llm.common import quoted, slices, text_lengths
 
 #: Fixed value: the pattern of the vocabulary that cuts text before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 NONE = np.int64(1) << 62
 WIDTHS = (2, 4, 8, 16, 32, 64)       # longer pieces get a tree of their own
-CACHED_PIECES = 400_000              # a worker forgets its pieces beyond this number
-SLICE_BYTES = 4 << 20                # text handled at once
+CACHED_PIECES = 200_000              # a worker forgets its pieces beyond this number
+SLICE_BYTES = 1 << 20                # text handled at once
 
 
 def byte_characters() -> list[str]:
@@ -208,8 +208,8 @@ def encode_pieces(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.nd
     for width in WIDTHS:
         rows = np.flatnonzero((length > low) & (length <= width))
         low = width
-        for at in range(0, len(rows), 50_000):
-            some = rows[at:at + 50_000]
+        for at in range(0, len(rows), 20_000):
+            some = rows[at:at + 20_000]
             grid = start[some][:, None] + np.arange(width)
             ids, n = merge_short(v, sym[np.minimum(grid, len(sym) - 1)], length[some], width)
             counts[some] = n
@@ -291,36 +291,6 @@ def _encoder(name: str, vocabulary) -> Encoder:
     return _ENCODERS[name]
 
 
-def _pieces_of(items, weight, most):
-    start, total = 0, 0
-    for i, w in enumerate(weight):
-        if i > start and total + w > most:
-            yield items[start:i]
-            start, total = i, 0
-        total += w
-    if start < len(items):
-        yield items[start:]
-
-
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array of int)."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-
-    @F.arrow_udf("array<int>")
-    def ids_of(text: pa.Array) -> pa.Array:
-        coder = _encoder(path, vocabulary)
-        texts = text.to_pylist()
-        ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for some in _pieces_of(texts, (len(t or "") for t in texts), SLICE_BYTES):
-            i, n = coder.encode(some)
-            ids.append(i)
-            counts.append(n)
-        offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-
-    return docs.withColumn(ids_col, ids_of(quoted(docs, text_col).cast("string")))
-
-
 def decode_ids(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     ids = ids.astype(np.int64)
     known = (ids >= 0) & (ids < len(v.token_starts) - 1)
@@ -332,21 +302,77 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0] + ends[:-1], ends)]
 
 
+def _add_columns(docs: DataFrame, drop: list[str], schema: str, compute) -> DataFrame:
+    """``docs`` without ``drop`` and with the columns that ``compute`` makes of a batch.
+
+    One Python stage. Batches are cut by the size of their texts or ids, so that memory does
+    not follow the length of documents (a single one is handled whole).
+    """
+    gone = {d.lower() for d in drop}
+    kept = [c for c in docs.columns if c.lower() not in gone]
+
+    def run(batches):
+        for whole in batches:
+            for batch in compute.cut(whole):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in kept] + compute(batch), kept + compute.names)
+
+    fields = docs.select(*[quoted(docs, c) for c in kept]).schema
+    for f in T._parse_datatype_string(schema).fields:
+        fields = fields.add(f)
+    return docs.mapInArrow(run, fields)
+
+
+class _Coding:
+    """What a worker does with a batch: encode, decode, or encode and decode the ids."""
+
+    def __init__(self, path, vocabulary, source, encodes, decodes, names):
+        self.path, self.vocabulary, self.source, self.names = path, vocabulary, source, names
+        self.encodes, self.decodes = encodes, decodes
+
+    def cut(self, whole):
+        col = whole.column(self.source)
+        if self.encodes:
+            return slices(whole, text_lengths(whole, self.source), SLICE_BYTES)
+        return slices(whole, np.diff(col.offsets.to_numpy()), SLICE_BYTES // 4)
+
+    def __call__(self, batch):
+        col = batch.column(self.source)
+        if self.encodes:
+            ids, counts = _encoder(self.path, self.vocabulary).encode(col.to_pylist())
+        else:
+            counts = np.diff(col.offsets.to_numpy().astype(np.int64))
+            ids = col.flatten().to_numpy(zero_copy_only=False)
+        out = []
+        if self.encodes:
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())))
+        if self.decodes:
+            out.append(pa.array(decode_ids(self.vocabulary.value, ids, counts), pa.string()))
+        return out
+
+
+def _broadcast(df: DataFrame, path: str):
+    return df.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with a column of token ids (array of int); a column of that name is replaced."""
+    coding = _Coding(path, _broadcast(docs, path), text_col, True, False, [ids_col])
+    return _add_columns(docs, [ids_col], f"`{ids_col}` array<int>", coding)
+
+
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``coded`` with the text of its token ids (null ids: empty text)."""
-    vocabulary = coded.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-
-    @F.arrow_udf("string")
-    def text_of(ids: pa.Array) -> pa.Array:
-        v = vocabulary.value
-        counts = np.diff(ids.offsets.to_numpy().astype(np.int64))
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        out, at = [], 0
-        for some in _pieces_of(counts, counts.tolist(), SLICE_BYTES // 4):
-            n = int(some.sum())
-            out += decode_ids(v, flat[at:at + n], some)
-            at += n
-        return pa.array(out, pa.string())
-
-    ids = F.coalesce(quoted(coded, ids_col), F.array().cast("array<int>"))
-    return coded.withColumn(text_col, text_of(ids))
+    coded = coded.withColumn(ids_col, F.coalesce(quoted(coded, ids_col), F.array().cast("array<int>")))
+    coding = _Coding(path, _broadcast(coded, path), ids_col, False, True, [text_col])
+    return _add_columns(coded, [text_col], f"`{text_col}` string", coding)
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
+               decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` without its text, with the ids and the text decoded from them: both steps in
+    one Python stage, for callers that want to check what they write."""
+    coding = _Coding(path, _broadcast(docs, path), text_col, True, True, [ids_col, decoded_col])
+    return _add_columns(docs, [text_col, ids_col, decoded_col],
+                        f"`{ids_col}` array<int>, `{decoded_col}` string", coding)

@@ -74,18 +74,15 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
-    path = vocabulary_path()
-    coded = bpe.encode(docs.select("doc_id", "text"), path, ids_col="ids")
-    back = bpe.decode(coded.select("doc_id", "ids"), path, ids_col="ids", text_col="decoded")
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def token_digest_columns() -> list:
+    return ["doc_id", F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256")]
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(documents(spark, sf_dir))
+    coded = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path())
+    return coded.select(*token_digest_columns())
 
 
 def quality_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_model.Model:
