@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, mixing, quality_model, quality_rules, simhash_dedup
+from tablewright.llm import bpe, exact_dedup, language_id, mixing, pii, quality_model, quality_rules, simhash_dedup
 from tablewright.llm.common import documents, labels, rest_of
 
 
@@ -102,6 +102,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: ~s["disguised"])
+    kinds = {f"n_{k}": F.size(F.filter("spans", lambda s: (s["kind"] == k) & ~s["disguised"])).cast("long")  # noqa: B023
+             for k in pii.KINDS}
+    return found.select("doc_id", *[c.alias(n) for n, c in kinds.items()],
+                        F.sha2(pii.span_list(base), 256).alias("base_sha256"),
+                        F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"),
+                        pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs, rest_of("id", 3) != 1)
@@ -136,6 +147,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality_model": op4_quality_model,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
