@@ -74,7 +74,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     """Count the hashed words of all labelled rows by domain."""
     marks = pick(labelled, id=id_col, domain=domain_col).filter("id is not null and domain is not null")
     texts = pick(docs, id=id_col, text=text_col).filter("id is not null")
-    rows = texts.join(marks, "id").select(
+    rows = texts.join(marks.hint("merge"), "id").select(       # at every size: both sides grow alike
         F.col("domain").cast("string").alias("domain"), hashed_words(F.col("text")).alias("words"))
     counted = rows.select("domain", F.explode(F.concat(F.array(F.lit(-1)), "words")).alias("bucket")).groupBy(
         "domain", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()      # domains x buckets at most

@@ -128,7 +128,7 @@ MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 def domain_labels(docs: DataFrame, sf_dir: str) -> DataFrame:
     """The labelled table: language of the rows labelled good, ``low`` for the others."""
     marks = labels(docs.sparkSession, sf_dir).filter("quality is not null").select("doc_id", "quality")
-    return docs.select("doc_id", "lang").join(marks, "doc_id").select(
+    return docs.select("doc_id", "lang").join(marks.hint("merge"), "doc_id").select(
         "doc_id", F.when(F.col("quality") == 1, F.col("lang")).otherwise("low").alias("domain"))
 
 
