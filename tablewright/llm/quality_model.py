@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
         trainable).select("id", F.col("label").cast("int").alias("label"))
     texts = pick(docs, id=id_col, text=text_col).filter("id is not null").filter(trainable).select(
         "id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ratio, rows = log_count_ratios(texts.join(marks, "id").select("text", "label"))
+    # a merge join at every size: the labels grow with the documents
+    ratio, rows = log_count_ratios(texts.join(marks.hint("merge"), "id").select("text", "label"))
     if not rows.all():
         value = 0.0 if not rows.any() else 50.0 if rows[1] else -50.0
         return Model(ratio * 0, ratio * 0, value)
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
                 [pa.array([m.weight.tobytes()]), pa.array([m.intercept]), pa.array([m.slope]), pa.array([m.shift])],
                 ["weight", "intercept", "slope", "shift"])
 
-    got = sample.coalesce(1).mapInArrow(
+    got = sample.repartition(1).mapInArrow(          # bounded: two classes of ``most`` rows
         learn, "weight binary, intercept double, slope double, shift double").first()
     return Model(ratio, np.frombuffer(got.weight), got.intercept, got.slope, got.shift)
 

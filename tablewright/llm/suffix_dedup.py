@@ -158,6 +158,14 @@ def _row_blocks(batches, size=256):
             yield batch.slice(at, size)
 
 
+def _distinct(i, d, p):
+    """Order by (id, text, place) without repeated rows."""
+    order = np.lexsort((p, d, i))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(i[order]) != 0) | (np.diff(d[order]) != 0) | (np.diff(p[order]) != 0)
+    return order[new]
+
+
 def repeated_anchors(texts: DataFrame, parts: int, size: int, gram: int) -> DataFrame:
     """(dh, pos): anchors of (dh, text) whose run occurs at two places or more."""
     def send(batches):
@@ -241,7 +249,7 @@ def repeated_stretches(chosen: DataFrame, cuts: np.ndarray, buckets: int, size:
                 some = slice(s, s + 50_000)
                 right, left, after, before = surroundings(raw, off, at[some], size, gram)
                 i, d, p = id_[some], dh[some], (at - off[doc])[some]
-                order = np.lexsort((p, d, i))
+                order = _distinct(i, d, p)
                 both = np.ascontiguousarray(np.concatenate(
                     [right, left, after[:, None].astype("<u2").view(np.uint8), before[:, None].astype("<u2").view(np.uint8)],
                     axis=1)[order])
@@ -271,10 +279,7 @@ def repeated_stretches(chosen: DataFrame, cuts: np.ndarray, buckets: int, size:
                 c.append(x)
         if not pdf["known"].all():
             right, left, after, before, i, d, p = stacked(pdf["blob"][~pdf["known"]])
-            order = np.lexsort((p, d, i))
-            same = np.zeros(len(order), bool)
-            same[1:] = (np.diff(i[order]) == 0) & (np.diff(d[order]) == 0) & (np.diff(p[order]) == 0)
-            order = order[~same]
+            order = _distinct(i, d, p)
             rows, low, high = repeated(right[order], left[order], after[order].astype(np.int64),
                                        before[order].astype(np.int64), size, gram)
             k = order[rows]
