@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, mixing, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
+from tablewright.llm import bpe, exact_dedup, language_id, mixing, passage_dedup, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
 from tablewright.llm.common import documents, labels, rest_of
 
 
@@ -113,6 +113,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.find_passages(documents(spark, sf_dir)).withColumnRenamed("first_id", "first_doc_id")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir), size=100, with_text=False)
 
@@ -152,6 +156,7 @@ QUERIES = {
     "op4_quality_model": op4_quality_model,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
+    "op7_passage_dedup": op7_passage_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
