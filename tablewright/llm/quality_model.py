@@ -202,7 +202,11 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "quality", most: int = MAX_FIT_ROWS) -> Model:
-    """Learn from the labelled rows of ``docs`` whose ``id`` satisfies ``trainable``."""
+    """Learn from the labelled rows of ``docs`` whose ``id`` satisfies ``trainable``.
+
+    The texts of the labelled part are shuffled once, for the counts; the fitting rows are
+    chosen by id before their texts are read and are the only ones that meet in a task.
+    """
     marks = pick(labels, id=id_col, label=label_col).filter("id is not null and label in (0, 1)").filter(
         trainable).select("id", F.col("label").cast("int").alias("label"))
     texts = pick(docs, id=id_col, text=text_col).filter("id is not null").filter(trainable).select(
