@@ -67,9 +67,8 @@ def seconds_nonzero(c, dtype) -> Column:
 
 
 def int_div(a, b) -> Column:
-    """Integer division ``a div b`` for a >= 0, b > 0, exact at any bigint size."""
-    a, b = _col(a).cast("bigint"), _col(b).cast("bigint")
-    return ((a - a % b).cast("decimal(38,0)") / b.cast("decimal(38,0)")).cast("bigint")
+    """Integer division ``a div b``, exact at any bigint size."""
+    return F.call_function("div", _col(a).cast("bigint"), _col(b).cast("bigint"))
 
 
 def hhmmss_minutes(c) -> Column:
@@ -95,9 +94,10 @@ def pct_of(n, total, scale: int = 4, precision: int = 9) -> Column:
     Multiplying before dividing avoids the early cut of the reference's ``(n/rows)*100``.
     NULL when total is 0 or NULL.
     """
-    n, total = _col(n).cast("bigint"), _col(total).cast("bigint")
-    factor = 2 * 100 * 10 ** scale
-    q = F.when(total > 0, int_div(n * factor + total, total * 2))
+    # 19 digits of a bigint and those of the factor: the products never overflow
+    n, total = _col(n).cast("bigint").cast("decimal(27,0)"), _col(total).cast("bigint").cast("decimal(27,0)")
+    factor = F.lit(2 * 100 * 10 ** scale).cast("decimal(10,0)")
+    q = F.when(total > 0, F.call_function("div", n * factor + total, total * F.lit(2).cast("decimal(1,0)")))
     step = F.lit(10 ** -scale).cast(f"decimal({scale + 1},{scale})")
     return (q.cast("decimal(38,0)") * step).cast(f"decimal({precision},{scale})")
 

@@ -103,32 +103,66 @@ def insertable_columns(catalog: DataFrame) -> DataFrame:
         .alias("inserted"))
 
 
-def insert_rows(batch: DataFrame, catalog_rows, *, order=None, start_id: int = 1):
+def insert_rows(batch: DataFrame, catalog_rows, *, order=None, start_id: int = 1,
+                existing: DataFrame | None = None):
     """M-06: the rows the generated insert routine would write: given columns from the
-    batch, defaults for missing ones, identity values assigned in ``order`` from
-    ``start_id``; NOT NULL checked. Returns (rows, errors).
+    batch, defaults for missing ones, NOT NULL checked. Returns (rows, errors).
+
+    Identity values that the batch brings are kept (S-08); rows without one get the next
+    values in ``order``, after the largest of ``start_id - 1``, the ids of the target
+    (``existing``) and those supplied. Batch columns that the table lacks are refused.
 
     ``catalog_rows``: collected catalogue rows of ONE table (bounded by its column count)
     with column_name, data_type, is_nullable, is_identity, default_definition.
     """
     cols = sorted(catalog_rows, key=lambda r: r["column_id"])
-    identity = [r["column_name"] for r in cols if r["is_identity"]]
+    names = [r["column_name"] for r in cols]
+    unknown = [c for c in batch.columns if c not in names]
+    if unknown:
+        raise ValueError(f"The table has no column {', '.join(unknown)}")
+    identity = next((r for r in cols if r["is_identity"]), None)
     out = batch
     for r in cols:
         name = r["column_name"]
-        if r["is_identity"]:
-            continue
-        if name not in batch.columns:
+        if name in batch.columns:
+            out = out.withColumn(name, F.col(quote_ident(name)).cast(r["data_type"]))
+        elif not r["is_identity"]:
             dflt = r["default_definition"]
             val = F.expr(dflt) if dflt is not None else F.lit(None)
             out = out.withColumn(name, val.cast(r["data_type"]))
-        else:
-            out = out.withColumn(name, F.col(quote_ident(name)).cast(r["data_type"]))
     rules = {f"{r['column_name']}_not_null": F.col(quote_ident(r["column_name"])).isNotNull()
              for r in cols if not r["is_nullable"] and not r["is_identity"]}
     good, bad = row_checks(out, rules) if rules else (out, out.where(F.lit(False)))
-    if identity:
-        good = assign_sequential_ids(good, order or [c for c in batch.columns][:1],
-                                     identity[0], start_id)
-    names = [r["column_name"] for r in cols]
-    return good.select(*names), bad
+    if identity is not None:
+        good = _identified(good, identity, batch.columns, order, start_id, existing)
+    return good.select(*[quote_ident(n) for n in names]), bad
+
+
+def _identified(rows, identity, given, order, start_id, existing):
+    """``rows`` with an identity value each: supplied ones kept, the others numbered on."""
+    name, kind = identity["column_name"], identity["data_type"]
+    col = F.col(quote_ident(name))
+    top = [start_id - 1]
+    if existing is not None:
+        top.append(existing.agg(F.max(col)).first()[0] or 0)        # one scalar
+    order = order or [c for c in given if c != name][:1]
+    if name not in given:
+        return assign_sequential_ids(rows, order, name, max(top) + 1, kind)
+    top.append(rows.agg(F.max(col)).first()[0] or 0)                # one scalar
+    new = assign_sequential_ids(rows.where(col.isNull()).drop(name), order, name, max(top) + 1, kind)
+    return rows.where(col.isNotNull()).unionByName(new)
+
+
+def append_rows(batch: DataFrame, catalog_rows, target: str, *, order=None, start_id: int = 1,
+                fmt: str = "parquet"):
+    """M-06 with the append itself: ``insert_rows`` numbered on from the ids of the table at
+    path ``target`` (none yet: from ``start_id``), written in one append job. Returns
+    (rows written, errors)."""
+    from tablewright.sources.csv_loader import move_to_target
+    spark = batch.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(target)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    existing = spark.read.format(fmt).load(target) if there else None
+    rows, bad = insert_rows(batch, catalog_rows, order=order, start_id=start_id, existing=existing)
+    return move_to_target(rows, target, fmt=fmt), bad

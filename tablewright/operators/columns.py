@@ -59,14 +59,19 @@ def classify(field: T.StructField, lob_cols=()) -> ProfileColumn:
     return ProfileColumn(name, dt, OTHER, dt.simpleString(), None)
 
 
+MAX_LISTED = 100_000        # no table is so wide: a longer frame is not a column list
+
+
 def parse_column_list(columns) -> list[str]:
     """Comma list, sequence, or a column-list DataFrame (``column_name``) -> names, blanks
     trimmed, empties and repeats dropped."""
     if columns is None:
         return []
     if hasattr(columns, "select") and hasattr(columns, "collect"):
-        # a column list: one row per column of one table, bounded by its width
-        columns = [r[0] for r in columns.select("column_name").collect()]
+        names = columns.select("column_name").distinct().limit(MAX_LISTED + 1).collect()
+        if len(names) > MAX_LISTED:
+            raise ValueError("The column list has more names than a table has columns")
+        columns = [r[0] for r in names if r[0] is not None]
     items = columns.split(",") if isinstance(columns, str) else list(columns)
     out: list[str] = []
     for item in items:
@@ -81,14 +86,18 @@ def select_profile_columns(schema: T.StructType, columns=None, *, text=True, num
     """Columns to profile, and the listed names that the schema does not have.
 
     With an explicit list every known listed column is profiled whatever its class; the
-    unknown names are returned (not silently ignored). Without a list the four switches
+    unknown names are returned (not silently ignored). Names are compared without case, as
+    Spark does, unless the schema has that very name. Without a list the four switches
     choose classes; booleans and nested types are only profiled when listed.
     """
     listed = parse_column_list(columns)
-    by_name = {f.name: f for f in schema.fields}
+    exact = {f.name: f for f in schema.fields}
+    folded = {f.name.lower(): f for f in reversed(schema.fields)}
     if listed:
-        known = [classify(by_name[n], lob_cols) for n in listed if n in by_name]
-        unknown = [n for n in listed if n not in by_name]
+        fields = {n: exact.get(n) or folded.get(n.lower()) for n in listed}
+        unknown = [n for n, f in fields.items() if f is None]
+        once = dict.fromkeys(f.name for f in fields.values() if f is not None)
+        known = [classify(exact[n], lob_cols) for n in once]
     else:
         wanted = {TEXT: text, BINARY: text, NUMERIC: numeric, DATE: date, LOB: lob, OTHER: False}
         known = [pc for pc in (classify(f, lob_cols) for f in schema.fields) if wanted[pc.type_class]]

@@ -129,10 +129,15 @@ def extract_messages(operations: DataFrame, messages: DataFrame, types=(120, 130
         "caller_name", "server_name")
 
 
-def gather_across(sources: dict, source_col: str = "source") -> DataFrame:
-    """M-03/R-06: the same report from several sources as one frame with a source column."""
+def gather_across(sources: dict, source_col: str = "source", fill_missing: bool = False) -> DataFrame:
+    """M-03/R-06: the same report from several sources as one frame with a source column.
+    Sources whose columns differ are refused, unless ``fill_missing`` asks for NULLs."""
     frames = [df.withColumn(source_col, F.lit(name)) for name, df in sources.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    shapes = {frozenset(df.columns) for df in frames}
+    if len(shapes) > 1 and not fill_missing:
+        differ = sorted(frozenset.union(*shapes) - frozenset.intersection(*shapes))
+        raise ValueError(f"The sources do not all have the columns {', '.join(differ)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=fill_missing), frames)
 
 
 PERMISSION_COLUMNS = ["owner", "object", "grantee", "grantor", "protect_type", "action", "column"]

@@ -11,7 +11,7 @@ from tablewright.operators.checks import check_referential_integrity
 from tablewright.plans import table
 from tablewright.session import scratch_dir
 from tablewright.sources.csv_loader import (
-    cast_to_target, load_csv, read_csv_staged, strip_quotes,
+    cast_to_target, load_csv, read_csv_staged, read_diverted, strip_quotes,
 )
 
 ORDERS_TARGET = T.StructType([
@@ -72,6 +72,26 @@ def q_csv_load_status(spark, d):
                     max_errors=None, strict=False).drop("error_path")
 
 
+def q_csv_cast_rejects(spark, d):
+    """Rows of a lenient load that did not convert, read back from the error folder, and the
+    rows that did, read back from the target: every line read is found on disk."""
+    base = scratch_dir(spark)
+    status = load_csv(spark, write_orders_csv(spark, d), f"{base}/target", ORDERS_TARGET, header=False,
+                      max_errors=None, strict=False, error_path=f"{base}/errors").first()
+    bad = read_diverted(spark, status["error_path"], ORDERS_TARGET).select(
+        F.col("source.o_orderkey").cast("bigint").alias("o_orderkey"), F.lit("diverted").alias("place"),
+        F.array_join("cast_errors", ",").alias("cast_errors"),
+        F.when(F.array_contains("cast_errors", "o_totalprice"), F.col("source.o_totalprice"))
+         .otherwise(F.col("source.o_orderdate")).alias("bad_text"))
+    good = spark.read.parquet(f"{base}/target").select(
+        "o_orderkey", F.lit("target").alias("place"), F.lit(None).cast("string").alias("cast_errors"),
+        F.lit(None).cast("string").alias("bad_text"))
+    lines = spark.read.text(f"{base}/errors/rejects").select(
+        F.split("value", ",")[0].cast("bigint").alias("o_orderkey"), F.lit("rejects").alias("place"),
+        F.lit(None).cast("string").alias("cast_errors"), F.lit(None).cast("string").alias("bad_text"))
+    return bad.unionByName(good).unionByName(lines)
+
+
 def q_referential_orphans(spark, d):
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     lineitem = table(spark, d, "lineitem")
@@ -116,6 +136,15 @@ WHERE o_orderstatus = 'F' AND o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED')
   COUNT(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED'))
     AS cast_errors,
   COUNT(*) FILTER (WHERE {FAULT_FREE}) AS written FROM orders""",
+    "csv_cast_rejects": """SELECT o_orderkey,
+  CASE WHEN o_orderstatus = 'P' AND o_orderpriority IN ('5-LOW', '1-URGENT') THEN 'rejects'
+       WHEN o_orderstatus = 'F' AND o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'diverted'
+       ELSE 'target' END AS place,
+  CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '3-MEDIUM' THEN 'o_totalprice'
+       WHEN o_orderstatus = 'F' AND o_orderpriority = '4-NOT SPECIFIED' THEN 'o_orderdate' END AS cast_errors,
+  CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '3-MEDIUM' THEN 'n/a'
+       WHEN o_orderstatus = 'F' AND o_orderpriority = '4-NOT SPECIFIED' THEN '2024-13-45 00:00:00'
+  END AS bad_text FROM orders""",
     "referential_orphans": """SELECT o_orderkey, 'lineitem' AS missing_parent FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
 UNION ALL
@@ -129,5 +158,6 @@ QUERIES = {
     "cast_errors": q_cast_errors,
     "strip_quotes": q_strip_quotes,
     "csv_load_status": q_csv_load_status,
+    "csv_cast_rejects": q_csv_cast_rejects,
     "referential_orphans": q_referential_orphans,
 }

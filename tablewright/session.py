@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -37,20 +38,33 @@ def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     The location comes from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set (tests on one machine) is a local temporary
-    folder created and registered as the checkpoint dir.
+    checkpoint dir). Where neither is set, a local master gets a temporary folder; on a
+    cluster that folder would be another disk on every machine, so the call is refused.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="tablewright-ckpt-")
+            base = _local_scratch(sc.master)
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
 
 
+def _local_scratch(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tablewright-ckpt-")
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made under :func:`scratch_dir` (through the file system of its path)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df, name: str = "part"):
     """Write ``df`` once as parquet under the shared checkpoint location and read it back.
 

@@ -11,8 +11,10 @@ Steps, each a Spark job over file splits (nothing passes through the driver):
 3. The error budget is checked before anything reaches the target; rejects go to an
    error folder.
 4. ``strip_quotes``, then ``cast_to_target``: checked casts (``try_cast``); a value that
-   is present but does not convert is a cast error.
+   is present but does not convert is a cast error. A lenient load diverts such rows, with
+   their source text and the failing columns, to the error folder.
 5. ``move_to_target``: ONE append job; its output committer makes it all-or-nothing.
+6. The staging folder is removed; the error folder stays.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.session import scratch_dir
+from tablewright.functions.tsql import quote_ident
+from tablewright.session import remove_scratch, scratch_dir
 
 BAD = "_bad_record"
 log = logging.getLogger("tablewright.loader")
@@ -65,9 +68,9 @@ def split_rejects(parsed: DataFrame, target: T.StructType, *, sep: str = ",",
     # Keeps every column in the scan whatever the caller projects (even a bare count()):
     # the CSV reader checks a line's field count only over the columns it reads, and it
     # refuses a plan that reads the corrupt-record column alone. Always true.
-    all_read = F.length(F.concat_ws(sep, *[F.col(f"`{c}`") for c in names], F.col(BAD))) >= 0
+    all_read = F.length(F.concat_ws(sep, *[F.col(quote_ident(c)) for c in names], F.col(BAD))) >= 0
     good = (parsed.where(F.col(BAD).isNull() & all_read)
-                  .select(*[F.col(f"`{c}`") for c in names]))
+                  .select(*[F.col(quote_ident(c)) for c in names]))
     pattern = _re_escape(sep) + (QUOTED_SPLIT[1:] if quoting == "csv" else "")
     fields = F.size(F.split(F.col(BAD), pattern))
     n = len(names)
@@ -94,8 +97,8 @@ def _re_escape(sep: str) -> str:
 
 def strip_quotes(df: DataFrame, quote: str = '"') -> DataFrame:
     """L-04: remove every quote character from every text column (one projection)."""
-    return df.select(*[F.replace(F.col(f"`{f.name}`"), F.lit(quote), F.lit("")).alias(f.name)
-                       if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+    return df.select(*[F.replace(F.col(quote_ident(f.name)), F.lit(quote), F.lit("")).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(quote_ident(f.name))
                        for f in df.schema.fields])
 
 
@@ -104,11 +107,11 @@ def cast_to_target(df: DataFrame, target: T.StructType, keep_source: bool = Fals
     column holds a value that does not convert (``cast_errors`` lists them in order)."""
     typed, errs = [], []
     for f in target.fields:
-        src = F.col(f"`{f.name}`")
+        src = F.col(quote_ident(f.name))
         val = src.try_cast(f.dataType) if not isinstance(f.dataType, T.StringType) else src
         typed.append(val.alias(f.name))
         errs.append(F.when(src.isNotNull() & val.isNull(), F.lit(f.name)))
-    extra = [F.col(f"`{f.name}`").alias(f"_src_{f.name}") for f in target.fields] if keep_source else []
+    extra = [F.col(quote_ident(f.name)).alias(f"_src_{f.name}") for f in target.fields] if keep_source else []
     marked = df.select(*typed, *extra, F.array_compact(F.array(*errs)).alias("cast_errors"))
     good = marked.where(F.size("cast_errors") == 0).select(*[f.name for f in target.fields])
     bad = marked.where(F.size("cast_errors") > 0)
@@ -137,6 +140,9 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
 
     Raises :class:`ErrorBudgetExceeded` past ``max_errors`` rejects and, when ``strict``,
     :class:`CastErrors` on any cast error – in both cases before the target is touched.
+    A lenient load writes the rows that do not convert as JSON (source text of every column
+    and ``cast_errors``) to ``<error_path>/cast_errors``; malformed lines are text files in
+    ``<error_path>/rejects``. So read = rejected + cast errors + written, each of them on disk.
     """
     base = scratch_dir(spark)
     parsed = parse_csv(spark, path, target_schema, header=header, sep=sep, quoting=quoting)
@@ -155,29 +161,45 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
     if error_path is None:
         stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
         error_path = f"{base}/Error{stamp}"
-    if n_rejected:
-        rejects.select("raw_line").write.mode("overwrite").text(error_path)
-    if max_errors is not None and n_rejected > max_errors:
-        raise ErrorBudgetExceeded(f"{n_rejected} rejected rows exceed the budget of {max_errors}")
-    rows = good
-    if strip:
-        rows = strip_quotes(rows)
-    typed, bad = cast_to_target(rows, target_schema)
-    n_bad = bad.count() if strict else None
-    if strict and n_bad:
-        raise CastErrors(f"{n_bad} rows hold values that do not convert to the target types")
-    written = move_to_target(typed, target, fmt=fmt, is_table=is_table)
+    try:
+        if n_rejected:
+            rejects.select("raw_line").write.mode("overwrite").text(f"{error_path}/rejects")
+        if max_errors is not None and n_rejected > max_errors:
+            raise ErrorBudgetExceeded(f"{n_rejected} rejected rows exceed the budget of {max_errors}")
+        rows = strip_quotes(good) if strip else good
+        typed, bad = cast_to_target(rows, target_schema, keep_source=True)
+        n_bad = bad.count() if strict else _divert(bad, target_schema, f"{error_path}/cast_errors")
+        if strict and n_bad:
+            raise CastErrors(f"{n_bad} rows hold values that do not convert to the target types")
+        written = move_to_target(typed, target, fmt=fmt, is_table=is_table)
+    finally:
+        remove_scratch(spark, staged_path)
     log.info("A total of %s new record(s) appended to %s", written, target)
-    rows_read = int(counts.get("rows", 0))
-    n_bad = rows_read - n_rejected - written
     return spark.createDataFrame(
-        [(rows_read, n_rejected, n_bad, written, error_path)],
+        [(int(counts.get("rows", 0)), n_rejected, n_bad, written, error_path)],
         "rows_read bigint, rejected bigint, cast_errors bigint, written bigint, error_path string")
 
 
+def _divert(bad: DataFrame, target: T.StructType, path: str) -> int:
+    """Write the rows that do not convert, as they came, with the names of the failing
+    columns; returns their number (counted during the write)."""
+    obs = Observation("divert")
+    source = [F.col(quote_ident(f"_src_{f.name}")).alias(f.name) for f in target.fields]
+    (bad.select(F.struct(*source).alias("source"), "cast_errors")
+        .observe(obs, F.count(F.lit(1)).alias("rows"))
+        .write.mode("overwrite").option("ignoreNullFields", "false").json(path))
+    return int(obs.get.get("rows", 0))
+
+
+def read_diverted(spark: SparkSession, error_path: str, target: T.StructType) -> DataFrame:
+    """The diverted rows of a lenient load: ``source`` (text of every column), ``cast_errors``."""
+    schema = T.StructType([T.StructField("source", staging_schema(target)),
+                           T.StructField("cast_errors", T.ArrayType(T.StringType()))])
+    return spark.read.schema(schema).json(f"{error_path}/cast_errors")
+
+
 def clear_tables(spark: SparkSession, names) -> list[str]:
     """S-18/L-11: empty each named table (``TRUNCATE TABLE``), over an explicit list only."""
-    from tablewright.functions.tsql import quote_ident
     done = []
     for name in names:
         spark.sql(f"TRUNCATE TABLE {'.'.join(quote_ident(p) for p in name.split('.'))}")
@@ -186,6 +208,5 @@ def clear_tables(spark: SparkSession, names) -> list[str]:
 
 
 def drop_staging(spark: SparkSession, name: str) -> None:
-    """L-12: drop a staging table if it exists."""
-    from tablewright.functions.tsql import quote_ident
+    """L-12: drop a staging table of the caller's own (``load_csv`` removes its staging folder)."""
     spark.sql(f"DROP TABLE IF EXISTS {'.'.join(quote_ident(p) for p in name.split('.'))}")

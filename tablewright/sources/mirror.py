@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.tsql import quote_ident
+
 Reader = Callable[[str], DataFrame]
 log = logging.getLogger("tablewright.mirror")
 
@@ -32,9 +34,23 @@ def parquet_folder_reader(spark: SparkSession, folder: str) -> Reader:
     return lambda name: spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None) -> Reader:
-    """Reader over a JDBC source (the linked-server counterpart)."""
-    return lambda name: spark.read.jdbc(url, name, properties=properties or {})
+def jdbc_options(url: str, name: str, properties: dict | None = None,
+                 partition: dict | None = None) -> dict:
+    """Options of one remote table scan. ``partition`` (column, lower, upper, parts) splits
+    it into that many range scans; the bounds place the cuts and drop no rows."""
+    out = {"url": url, "dbtable": name, **(properties or {})}
+    if partition:
+        out.update(partitionColumn=partition["column"], lowerBound=str(partition["lower"]),
+                   upperBound=str(partition["upper"]), numPartitions=str(partition["parts"]))
+    return out
+
+
+def jdbc_reader(spark: SparkSession, url: str, properties: dict | None = None,
+                partitions: dict | None = None) -> Reader:
+    """Reader over a JDBC source (the linked-server counterpart). ``partitions`` maps a
+    table to its split (see :func:`jdbc_options`); a table without one is read by one task."""
+    return lambda name: spark.read.format("jdbc").options(
+        **jdbc_options(url, name, properties, (partitions or {}).get(name))).load()
 
 
 def list_source_columns(spark: SparkSession, reader: Reader, names, catalog: str = "",
@@ -75,7 +91,7 @@ def _copy_one(reader: Reader, name: str, target: str, fmt: str, as_table: bool):
         return (name, "copied", rows, where, None)
     except Exception as e:  # noqa: BLE001 – go on with the next table, report this one
         log.error("ERROR: failed to copy %s: %s", name, e)
-        return (name, "failed", None, target, f"{type(e).__name__}: {str(e)[:500]}")
+        return (name, "failed", None, target, f"{type(e).__name__}: {e}")
 
 
 def mirror_tables(spark: SparkSession, reader: Reader, names, target: str, *,
@@ -101,8 +117,8 @@ def expose_views(reader: Reader, names, prefix: str = "", columns: dict | None =
         try:
             df = reader(name)
             cols = (columns or {}).get(name) or df.columns
-            df.select(*[F.col(f"`{c}`") for c in cols]).createOrReplaceTempView(view)
+            df.select(*[F.col(quote_ident(c)) for c in cols]).createOrReplaceTempView(view)
             out.append((view, "created", None))
         except Exception as e:  # noqa: BLE001
-            out.append((view, "failed", f"{type(e).__name__}: {str(e)[:500]}"))
+            out.append((view, "failed", f"{type(e).__name__}: {e}"))
     return out

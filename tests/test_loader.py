@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from tablewright.sources.csv_loader import (
     CastErrors, ErrorBudgetExceeded, cast_to_target, clear_tables, load_csv, read_csv_staged,
-    staging_schema, strip_quotes,
+    read_diverted, staging_schema, strip_quotes,
 )
 
 TARGET = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("customer", T.StringType()),
@@ -77,7 +77,35 @@ def test_load_budget_and_strict_casts(spark, tmpdir_path):
     ok100 = write(tmpdir_path + "/in3", [LINES[0]] + ["7,short"] * 100 + ["8,g,1,2024-01-01 00:00:00"])
     st = load_csv(spark, ok100, tmpdir_path + "/t3", TARGET).collect()[0]
     assert (st["rejected"], st["written"]) == (100, 1)
-    assert spark.read.text(st["error_path"]).count() == 100
+    assert spark.read.text(st["error_path"] + "/rejects").count() == 100
+
+
+def test_lenient_load_diverts_cast_errors(spark, tmpdir_path):
+    path = write(tmpdir_path + "/in", LINES)
+    st = load_csv(spark, path, tmpdir_path + "/t", TARGET, strict=False,
+                  error_path=tmpdir_path + "/err").collect()[0]
+    bad = read_diverted(spark, st["error_path"], TARGET).collect()
+    assert sorted(tuple(r["cast_errors"]) for r in bad) == [("order_date",), ("total",)]
+    assert all(r["source"]["order_id"] is not None for r in bad)
+    on_disk = (len(bad) + spark.read.parquet(tmpdir_path + "/t").count()
+               + spark.read.text(tmpdir_path + "/err/rejects").count())
+    assert on_disk == st["rows_read"] == st["rejected"] + st["cast_errors"] + st["written"]
+
+
+def test_staging_is_removed_and_cluster_needs_a_shared_folder(spark, tmpdir_path, monkeypatch):
+    from tablewright import session
+    from tablewright.sources import csv_loader
+    made = []
+    real = csv_loader.scratch_dir
+    monkeypatch.setattr(csv_loader, "scratch_dir", lambda s: made.append(real(s)) or made[-1])
+    load_csv(spark, write(tmpdir_path + "/in", LINES), tmpdir_path + "/t", TARGET, strict=False)
+    local = made[0].removeprefix("file:")
+    assert os.path.isdir(local) and not os.path.exists(local + "/staging")
+    with pytest.raises(RuntimeError):
+        session._local_scratch("spark://head:7077")
+    with pytest.raises(RuntimeError):
+        session._local_scratch("local-cluster[2,1,1024]")
+    assert os.path.isdir(session._local_scratch("local[4]"))
 
 
 def test_header_only_file(spark, tmpdir_path):
