@@ -51,7 +51,7 @@ STAT_FIELDS = [
     ("no_nulls", "bigint"), ("no_zero_length", "bigint"),
     ("no_date_with_hour_minute_second", "bigint"), ("no_date_with_second", "bigint"),
     ("no_is_numeric", "bigint"), ("no_is_date", "bigint"),
-    ("min_raw", "string"), ("max_raw", "string"),
+    ("min_raw", "string"), ("max_raw", "string"), ("no_non_finite", "bigint"),
 ]
 
 PROFILE_COLUMNS = [
@@ -60,6 +60,7 @@ PROFILE_COLUMNS = [
     "min_date", "max_date", "no_distinct", "no_nulls", "no_zero_length", "percentage_nulls",
     "percentage_zero_length", "no_date_with_hour_minute_second", "no_date_with_second",
     "no_is_numeric", "no_is_date", "no_at_limit", "is_fk", "row_count",
+    "min_raw", "max_raw", "no_non_finite", "distinct_estimated",
     "data_type_comments", "comments",
 ]
 
@@ -76,9 +77,15 @@ def _length_sql(pc: ProfileColumn) -> str:
     return f"length({c})" if isinstance(pc.dtype, T.BinaryType) else f"length(rtrim({c}))"
 
 
+def _finite_sql(c: str) -> str:
+    """The value of a floating column, NULL for NaN (the greatest value) and infinities."""
+    return f"CASE WHEN abs({c}) < CAST('Infinity' AS DOUBLE) THEN {c} END"
+
+
 def _exact_cents_sql(c: str) -> tuple[str, str]:
     """Two per-row parts whose sums give SUM(CAST(c AS DECIMAL(36,2))) exactly for a
-    floating column, without a decimal cast (a costly text round trip) per row.
+    floating column of finite values below 1e20, without a decimal cast (a costly text
+    round trip) per row.
 
     When |c| < 1e13 and c*100 is within 1e-7 of an integer k, rounding c to two decimals
     gives exactly k/100, so k is summed as an integer; the other values take the cast.
@@ -89,7 +96,17 @@ def _exact_cents_sql(c: str) -> tuple[str, str]:
     return cents, slow
 
 
-def _column_parts(i: int, pc: ProfileColumn):
+def _mean_sql(value: str, exact_total: str, double_total: str, rows: str) -> str:
+    """The mean over ``rows`` finite values: from exact decimals while all of them lie below
+    1e20 in magnitude (so that no sum can overflow), else from doubles. Every value that the
+    divisor counts is in the sum."""
+    safe = (f"greatest(abs(CAST(max({value}) AS DOUBLE)), abs(CAST(min({value}) AS DOUBLE))) < 1e20"
+            f" AND ({exact_total}) IS NOT NULL")
+    return (f"CASE WHEN {rows} > 0 THEN CASE WHEN {safe} THEN CAST({exact_total} AS DOUBLE)"
+            f" ELSE {double_total} END / {rows} END")
+
+
+def _column_parts(i: int, pc: ProfileColumn, is_numeric=looks_numeric_sql, is_date=looks_date_sql):
     """(pre-projection expressions, named_struct SQL) for one column.
 
     Per-row work (lengths, pattern tests, time-of-day tests) is computed once in a
@@ -120,25 +137,27 @@ def _column_parts(i: int, pc: ProfileColumn):
         # integer average, as the reference's AVG over an integer length
         v["avg_data_length"] = f"CAST(avg({ln}) AS BIGINT)"
     if pc.type_class == TEXT and is_string:
-        v["no_is_numeric"] = f"count_if({col('num', looks_numeric_sql(c))})"
-        v["no_is_date"] = f"count_if({col('date', looks_date_sql(c))})"
+        v["no_is_numeric"] = f"count_if({col('num', is_numeric(c))})"
+        v["no_is_date"] = f"count_if({col('date', is_date(c))})"
     if pc.type_class in (TEXT, LOB) and is_string:
         v["no_zero_length"] = f"count_if({col('blank', f'length(trim({c})) = 0')})"
     if pc.type_class == NUMERIC:
-        raw = col("v", c)
+        floating = isinstance(pc.dtype, (T.FloatType, T.DoubleType))
+        raw = col("v", _finite_sql(c) if floating else c)
         v["max_data_length"] = f"try_cast(max({raw}) AS {DEC})"
         v["min_data_length"] = f"try_cast(min({raw}) AS {DEC})"
         v["max_raw"] = f"CAST(max({raw}) AS STRING)"
         v["min_raw"] = f"CAST(min({raw}) AS STRING)"
-        if isinstance(pc.dtype, (T.FloatType, T.DoubleType)):
-            cents_sql, slow_sql = _exact_cents_sql(c)
+        if floating:
+            odd = col("odd", f"{c} IS NOT NULL AND ({_finite_sql(c)}) IS NULL")
+            v["no_non_finite"] = f"count_if({odd})"
+            cents_sql, slow_sql = _exact_cents_sql(f"({_finite_sql(c)})")
             cents, slow = col("cents", cents_sql), col("slow", slow_sql)
             total = (f"(coalesce(try_sum({cents}), 0) * CAST(0.01 AS DECIMAL(3,2))"
                      f" + coalesce(try_sum({slow}), 0))")
         else:
-            total = f"try_sum({col('dec', f'CAST({c} AS DECIMAL(36,2))')})"
-        v["avg_data_length"] = (f"CASE WHEN count({raw}) > 0 THEN CAST({total} AS DOUBLE)"
-                                f" / count({raw}) END")
+            total = f"try_sum({col('dec', f'try_cast({c} AS DECIMAL(36,2))')})"
+        v["avg_data_length"] = _mean_sql(raw, total, f"sum(CAST({raw} AS DOUBLE))", f"count({raw})")
     if pc.type_class == DATE:
         raw = col("v", c)
         v["max_date"] = f"CAST(max({raw}) AS TIMESTAMP_NTZ)"
@@ -153,13 +172,13 @@ def _column_parts(i: int, pc: ProfileColumn):
     return pre, struct
 
 
-def column_stats(df: DataFrame, cols: list[ProfileColumn]) -> DataFrame:
+def column_stats(df: DataFrame, cols: list[ProfileColumn], **predicates) -> DataFrame:
     """Stage 1: one projection + one aggregate over ``df`` -> one row per column
     (+ row_count). A single scan, partial aggregation per task, one tiny shuffle."""
     pre: dict[str, str] = {}
     structs = []
     for i, pc in enumerate(cols):
-        p, st = _column_parts(i, pc)
+        p, st = _column_parts(i, pc, **predicates)
         pre.update(p)
         structs.append(st)
     projected = df.select(*[F.expr(e).alias(n) for n, e in pre.items()])
@@ -180,7 +199,7 @@ class _Part:
 def _kind_of(pc: ProfileColumn, digest_lob: bool, collation: str | None):
     """(grouping bucket, statistics family, typed value). Values are grouped in their own
     type; long text as (digest, length, blank) so whole texts are never shuffled."""
-    c = F.col(f"`{pc.name}`")
+    c = F.col(quote_ident(pc.name))
     dt = pc.dtype
     if pc.type_class == LOB and digest_lob:
         if isinstance(dt, T.BinaryType):
@@ -246,7 +265,7 @@ def _weighted(pred: str) -> str:
     return f"coalesce(sum(CASE WHEN {pred} THEN count END), 0)"
 
 
-def _part_stats_sql(stat: str) -> dict[str, str]:
+def _part_stats_sql(stat: str, is_numeric=looks_numeric_sql, is_date=looks_date_sql) -> dict[str, str]:
     """Statistics of one column from its (value, count) rows, as SQL text."""
     nn = "sum(CASE WHEN value IS NOT NULL THEN count END)"
     out = {"row_count": "sum(count)", "no_nulls": _weighted("value IS NULL"),
@@ -261,8 +280,8 @@ def _part_stats_sql(stat: str) -> dict[str, str]:
     if stat in ("text", "text_collated"):
         s = "value" if stat == "text" else "CAST(value AS STRING)"
         lengths(f"length(rtrim({s}))")
-        out["no_is_numeric"] = _weighted(looks_numeric_sql(s))
-        out["no_is_date"] = _weighted(looks_date_sql(s))
+        out["no_is_numeric"] = _weighted(is_numeric(s))
+        out["no_is_date"] = _weighted(is_date(s))
         out["no_zero_length"] = _weighted(f"length(trim({s})) = 0")
     elif stat == "lob_text":
         lengths("value.len")
@@ -272,18 +291,21 @@ def _part_stats_sql(stat: str) -> dict[str, str]:
     elif stat == "binary":
         lengths("length(value)")
     elif stat in ("exact_num", "float_num"):
-        out["max_data_length"] = f"try_cast(max(value) AS {DEC})"
-        out["min_data_length"] = f"try_cast(min(value) AS {DEC})"
-        out["max_raw"] = "CAST(max(value) AS STRING)"
-        out["min_raw"] = "CAST(min(value) AS STRING)"
+        v = f"({_finite_sql('value')})" if stat == "float_num" else "value"
+        rows = f"sum(CASE WHEN {v} IS NOT NULL THEN count END)"
+        out["max_data_length"] = f"try_cast(max({v}) AS {DEC})"
+        out["min_data_length"] = f"try_cast(min({v}) AS {DEC})"
+        out["max_raw"] = f"CAST(max({v}) AS STRING)"
+        out["min_raw"] = f"CAST(min({v}) AS STRING)"
         if stat == "float_num":
-            cents, slow = _exact_cents_sql("value")
+            out["no_non_finite"] = _weighted("value IS NOT NULL AND NOT abs(value) < CAST('Infinity' AS DOUBLE)")
+            cents, slow = _exact_cents_sql(v)
             total = (f"(coalesce(try_sum(try_multiply({cents}, count)), 0)"
                      f" * CAST(0.01 AS DECIMAL(3,2))"
                      f" + coalesce(try_sum(try_multiply({slow}, count)), 0))")
         else:
-            total = "try_sum(try_multiply(CAST(value AS DECIMAL(36,2)), count))"
-        out["avg_data_length"] = f"CASE WHEN {nn} > 0 THEN CAST({total} AS DOUBLE) / {nn} END"
+            total = "try_sum(try_multiply(try_cast(value AS DECIMAL(36,2)), count))"
+        out["avg_data_length"] = _mean_sql(v, total, f"sum(CAST({v} AS DOUBLE) * count)", rows)
     elif stat in ("date", "ts", "ts_ntz"):
         out["max_date"] = "CAST(max(value) AS TIMESTAMP_NTZ)"
         out["min_date"] = "CAST(min(value) AS TIMESTAMP_NTZ)"
@@ -300,13 +322,13 @@ COUNTED_FIELDS = [(n, t) for n, t in STAT_FIELDS
     ("row_count", "bigint"), ("no_distinct", "bigint")]
 
 
-def _stats_from_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame:
+def _stats_from_counts(parts: list[_Part], cols: list[ProfileColumn], **predicates) -> DataFrame:
     """Per column: every statistic folded from its value counts (one small aggregate per
     value type over distinct values, not over the table's rows)."""
     names = F.array(*[F.lit(pc.name) for pc in cols])
     frames = []
     for part in parts:
-        exprs = _part_stats_sql(part.stat)
+        exprs = _part_stats_sql(part.stat, **predicates)
         aggs = [F.expr(f"CAST({exprs.get(n, 'NULL')} AS {t})").alias(n) for n, t in COUNTED_FIELDS]
         frames.append(part.counts.groupBy("_ci").agg(*aggs)
                       .select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
@@ -322,7 +344,7 @@ def _text_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame:
 
 
 _LIMIT_MEASURE = {
-    "exact_num": "value", "float_num": "value",
+    "exact_num": "value", "float_num": _finite_sql("value"),
     "text": "length(rtrim(value))", "text_collated": "length(rtrim(CAST(value AS STRING)))",
     "binary": "length(value)", "lob_text": "value.len",
 }
@@ -389,7 +411,7 @@ def boundary_counts(df: DataFrame, stats_rows, cols: list[ProfileColumn]) -> Dat
         pc = by_name.get(r["column_name"])
         if pc is None:
             continue
-        c = F.col(f"`{pc.name}`")
+        c = F.col(quote_ident(pc.name))
         if pc.type_class == NUMERIC and r["max_raw"] is not None:
             hi, lo = F.lit(r["max_raw"]).cast(pc.dtype), F.lit(r["min_raw"]).cast(pc.dtype)
             pred = (c == hi) | (c == lo)
@@ -434,8 +456,9 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
             lob_cols=(), advanced=False, distinct_min=200, boundary=0.57, null_pct=90.0,
             type_pct=2, fks=None, approx_distinct: float | None = None,
             table_schema: str | None = None, table_name: str | None = None,
-            sparse_thresholds: DataFrame | None = None,
-            collation: str | None = None) -> ProfileResult:
+            sparse_thresholds: DataFrame | None = None, collation: str | None = None,
+            is_numeric=looks_numeric_sql, is_date=looks_date_sql,
+            require_rows: bool = False) -> ProfileResult:
     """Profile every selected column of ``df``.
 
     Returns the profile (one row per column, suggestions included) and the domains (empty
@@ -443,9 +466,20 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
     ``column_name``). ``approx_distinct``: relative SD; high-cardinality columns then get
     HyperLogLog counts and only likely-low-cardinality columns are counted exactly.
     ``collation``: text compared under this collation for distinct counts and domains
-    (e.g. ``"UTF8_LCASE"`` for case-blind, as a case-insensitive database collation would);
-    binary comparison by default.
+    (e.g. ``"UTF8_LCASE"`` for case-blind, as a case-insensitive database collation would,
+    or ``"UTF8_BINARY_RTRIM"`` to ignore trailing blanks); binary comparison by default.
+    ``is_numeric`` and ``is_date`` turn the SQL text of a column into that of the test for
+    numeric-looking and date-looking text. ``require_rows`` refuses an empty frame (reads
+    one row at most).
+
+    Floating columns: NaN and infinities are counted in ``no_non_finite`` and take no part
+    in minimum, maximum and mean. ``min_raw`` and ``max_raw`` hold the limits as text, also
+    where they are beyond the decimal of ``min_data_length`` and ``max_data_length``.
+    ``distinct_estimated`` marks the columns whose distinct count is an estimate (they have
+    no domains).
     """
+    if require_rows and df.isEmpty():
+        raise ValueError("There is no data in the table to analyse")
     from tablewright.operators.suggest import suggest
 
     cols, unknown = select_profile_columns(df.schema, columns, text=text, numeric=numeric,
@@ -457,7 +491,7 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         # HyperLogLog sketches in an aggregate of their own: an imperative aggregate in a
         # wide aggregate takes all of it off whole-stage codegen.
         # Bounded collect: one estimate per profiled column.
-        first = df.agg(*[F.approx_count_distinct(F.col(f"`{pc.name}`"), approx_distinct)
+        first = df.agg(*[F.approx_count_distinct(F.col(quote_ident(pc.name)), approx_distinct)
                          .alias(f"_a{i}") for i, pc in enumerate(cols)]).first()
         est = {pc.name: int(first[i]) for i, pc in enumerate(cols)}
         margin = 1.0 + 4 * approx_distinct
@@ -479,14 +513,15 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
             for part, written in zip(parts, list(pool.map(write, parts))):
                 part.counts = written
 
+    predicates = {"is_numeric": is_numeric, "is_date": is_date}
     frames = []
     if parts:
-        frames.append(_stats_from_counts(parts, exact_cols))
+        frames.append(_stats_from_counts(parts, exact_cols, **predicates))
     if approx_cols:
         # High-cardinality columns: statistics from one direct aggregate, distinct estimated.
         est_df = spark.createDataFrame([(pc.name, est[pc.name]) for pc in approx_cols],
                                        "column_name string, no_distinct bigint")
-        direct = column_stats(df, approx_cols).select(
+        direct = column_stats(df, approx_cols, **predicates).select(
             "column_name", *[n for n, _ in COUNTED_FIELDS if n != "no_distinct"])
         frames.append(direct.join(F.broadcast(est_df), "column_name"))
     stats = reduce(DataFrame.unionByName, frames)
@@ -505,7 +540,9 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         fk_df = fks if isinstance(fks, DataFrame) else spark.createDataFrame(
             [(n,) for n in fks], "column_name string")
         # one row per foreign-key column of the table: bounded by its width
-        fk_names = fk_df.select("column_name").distinct().withColumn("_fk", F.lit(True))
+        wanted = skeleton.select("column_name")
+        fk_names = (fk_df.select("column_name").join(F.broadcast(wanted), "column_name", "left_semi")
+                    .distinct().withColumn("_fk", F.lit(True)))
         prof = prof.join(F.broadcast(fk_names), "column_name", "left")
         is_fk = F.coalesce(F.col("_fk"), F.lit(False))
 
@@ -537,14 +574,16 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
 
     keep = [c for c in PROFILE_COLUMNS if c not in (
         "table_schema", "table_name", "percentage_nulls",
-        "percentage_zero_length", "no_at_limit", "is_fk", "data_type_comments", "comments")]
+        "percentage_zero_length", "no_at_limit", "is_fk", "data_type_comments", "comments",
+        "distinct_estimated")]
     base = prof.select(
         F.lit(table_schema).cast("string").alias("table_schema"),
         F.lit(table_name).cast("string").alias("table_name"),
         *keep,
         pct_of("no_nulls", "row_count").alias("percentage_nulls"),
         pct_of("no_zero_length", "row_count").alias("percentage_zero_length"),
-        at_limit.alias("no_at_limit"), is_fk.alias("is_fk"))
+        at_limit.alias("no_at_limit"), is_fk.alias("is_fk"),
+        F.col("column_name").isin([pc.name for pc in approx_cols]).alias("distinct_estimated"))
     out = suggest(base, distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
                   boundary=boundary if advanced else None, sparse_thresholds=sparse_thresholds)
     return ProfileResult(out.select(*PROFILE_COLUMNS), domains, unknown)
@@ -556,12 +595,10 @@ def profile_table(spark, name: str, *, require_rows: bool = True, **options) ->
     at most one row). ``options`` are those of :func:`profile`."""
     if not spark.catalog.tableExists(name):
         raise ValueError(f"The table does not exist: {name}")
-    df = spark.table(name)
-    if require_rows and df.isEmpty():
-        raise ValueError("There is no data in the table to analyse")
     parts = name.split(".")
     schema = parts[-2] if len(parts) > 1 else spark.catalog.currentDatabase()
-    return profile(df, table_schema=schema, table_name=parts[-1], **options)
+    return profile(spark.table(name), table_schema=schema, table_name=parts[-1],
+                   require_rows=require_rows, **options)
 
 
 def _domains_with_lob_values(df, cols, vc, distinct, distinct_min):

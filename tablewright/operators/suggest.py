@@ -54,19 +54,21 @@ def _when(pred: str, text: str) -> str:
 
 
 def type_suggestion_sql(type_pct: int = 2) -> str:
-    """D-10 … D-12 as SQL: the reference applies its type rules in order and the last
-    matching one wins, so the CASE lists them in reverse order."""
+    """D-10 … D-12 as SQL, one remark per column. Text and integer rules: the last matching
+    one of the reference wins, so the CASE lists them in reverse order. Date rules: the
+    narrowest type that holds all values wins (DATE, then SMALLDATE, then DATETIME); in the
+    reference's order DATETIME, which nearly every column fits, would hide the other two."""
     variance = f"((row_count * {int(type_pct)}) div 100)"
     near = lambda c: f"{c} BETWEEN row_count - {variance} AND row_count + {variance}"
     text_types = ", ".join(sql_str(t) for t in TEXT_TYPES)
     ts = lambda d: f"CAST({sql_str(d)} AS TIMESTAMP_NTZ)"
     rules = [
-        (f"sql_type = 'datetime2' AND min_date >= {ts(DATETIME_RANGE[0])}"
-         f" AND max_date <= {ts(DATETIME_RANGE[1])}", TXT_DATETIME),
         ("no_date_with_hour_minute_second = 0 AND sql_type IN ('datetime', 'datetime2')", TXT_DATE),
         (f"no_date_with_second = 0 AND min_date >= {ts(SMALLDATE_RANGE[0])}"
          f" AND max_date <= {ts(SMALLDATE_RANGE[1])} AND sql_type IN ('datetime', 'datetime2')",
          TXT_SMALLDATE),
+        (f"sql_type = 'datetime2' AND min_date >= {ts(DATETIME_RANGE[0])}"
+         f" AND max_date <= {ts(DATETIME_RANGE[1])}", TXT_DATETIME),
         (f"min_data_length >= {TINYINT_LIMITS[0]} AND max_data_length <= {TINYINT_LIMITS[1]}"
          " AND sql_type IN ('bigint', 'int', 'smallint')", TXT_TINYINT),
         (f"min_data_length >= {SMALLINT_LIMITS[0]} AND max_data_length <= {SMALLINT_LIMITS[1]}"
@@ -115,9 +117,12 @@ def suggest(prof: DataFrame, *, distinct_min: int = 200, null_pct: float = 90.0,
     """Add ``comments`` (ordered array) and ``data_type_comments`` (joined text, NULL when
     there is nothing to say) to a profile frame (one row per column)."""
     if sparse_thresholds is not None:
-        th = sparse_thresholds.select(F.col("data_type").alias("sql_type"),
-                                      F.col("threshold").cast("decimal(9,4)")
-                                      .alias("_sparse_threshold"))
+        # one row per type that the profile has (the smallest threshold given): bounded by
+        # the number of profiled columns before it is broadcast
+        th = (sparse_thresholds.select(F.col("data_type").alias("sql_type"),
+                                       F.col("threshold").cast("decimal(9,4)").alias("_t"))
+              .join(F.broadcast(prof.select("sql_type").distinct()), "sql_type", "left_semi")
+              .groupBy("sql_type").agg(F.min("_t").alias("_sparse_threshold")))
         prof = prof.join(F.broadcast(th), "sql_type", "left")
     expr = comments_sql(distinct_min=distinct_min, null_pct=null_pct, type_pct=type_pct,
                         boundary=boundary, own_thresholds=sparse_thresholds is not None)

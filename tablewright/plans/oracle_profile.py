@@ -1,14 +1,23 @@
 """DuckDB SQL that states the profiler's rules column by column (the differential oracle).
 
-It is written independently of the Spark operator: one SELECT per column with plain
-aggregates and COUNT(DISTINCT), joined by UNION ALL, then the rules as CASE expressions.
+It shares nothing with the Spark operator: one SELECT per column with plain aggregates and
+COUNT(DISTINCT), joined by UNION ALL, then the rules as CASE expressions. Patterns, limits,
+thresholds and texts are stated here once more as plain values.
 """
 
 from __future__ import annotations
 
-from tablewright.functions.tsql import DATE_SHAPES, NUMERIC_PATTERN
-from tablewright.operators import suggest as S
-
+# --- fixed values, as the rules demand them ------------------------------------------------
+NUMERIC_PATTERN = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+DATE_SHAPES = ("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^[0-9]{8}$", "^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+               "^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")
+SPARSE_PERCENT = {
+    "tinyint": 86, "smallint": 76, "int": 64, "bigint": 52, "real": 64, "float": 52,
+    "money": 64, "smallmoney": 64, "smalldatetime": 52, "datetime": 52, "uniqueidentifier": 43,
+    "date": 69, "datetime2": 52, "decimal": 42, "numeric": 42, "char": 60, "varchar": 60,
+    "nchar": 60, "nvarchar": 60, "binary": 60, "varbinary": 60, "xml": 60,
+}
+# -------------------------------------------------------------------------------------------
 DUCK_DATE_FORMATS = ("%Y-%m-%d", "%Y%m%d", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S")
 
 
@@ -78,23 +87,24 @@ FROM {source}"""
 def _type_rule_sql(type_pct: int) -> str:
     v = f"((row_count * {type_pct}) // 100)"
     near = lambda x: f"{x} BETWEEN row_count - {v} AND row_count + {v}"
-    tt = ", ".join(_q(t) for t in S.TEXT_TYPES)
     return f"""CASE
-  WHEN sql_type = 'datetime2' AND min_date >= TIMESTAMP '{S.DATETIME_RANGE[0]}'
-       AND max_date <= TIMESTAMP '{S.DATETIME_RANGE[1]}' THEN {_q(S.TXT_DATETIME)}
   WHEN no_date_with_hour_minute_second = 0 AND sql_type IN ('datetime','datetime2')
-       THEN {_q(S.TXT_DATE)}
-  WHEN no_date_with_second = 0 AND min_date >= TIMESTAMP '{S.SMALLDATE_RANGE[0]}'
-       AND max_date <= TIMESTAMP '{S.SMALLDATE_RANGE[1]}' AND sql_type IN ('datetime','datetime2')
-       THEN {_q(S.TXT_SMALLDATE)}
-  WHEN min_data_length >= {S.TINYINT_LIMITS[0]} AND max_data_length <= {S.TINYINT_LIMITS[1]}
-       AND sql_type IN ('bigint','int','smallint') THEN {_q(S.TXT_TINYINT)}
-  WHEN min_data_length >= {S.SMALLINT_LIMITS[0]} AND max_data_length <= {S.SMALLINT_LIMITS[1]}
-       AND sql_type IN ('bigint','int') THEN {_q(S.TXT_SMALLINT)}
-  WHEN min_data_length >= {S.INT_LIMITS[0]} AND max_data_length <= {S.INT_LIMITS[1]}
-       AND sql_type = 'bigint' THEN {_q(S.TXT_INT)}
-  WHEN {near('no_is_numeric')} AND sql_type IN ({tt}) THEN {_q(S.TXT_NUMERIC_TYPES)}
-  WHEN {near('no_is_date')} AND sql_type IN ({tt}) THEN {_q(S.TXT_DATE_TYPES)}
+       THEN 'Possibly could be DATE type. '
+  WHEN no_date_with_second = 0 AND min_date >= TIMESTAMP '1900-01-01'
+       AND max_date <= TIMESTAMP '2079-06-06' AND sql_type IN ('datetime','datetime2')
+       THEN 'Possibly could be SMALLDATE type. '
+  WHEN sql_type = 'datetime2' AND min_date >= TIMESTAMP '1753-01-01'
+       AND max_date <= TIMESTAMP '9999-12-31' THEN 'Possibly could be DATETIME type. '
+  WHEN min_data_length >= 0 AND max_data_length <= 255
+       AND sql_type IN ('bigint','int','smallint') THEN 'Possibly could be TINYINT type. '
+  WHEN min_data_length >= -32768 AND max_data_length <= 32767
+       AND sql_type IN ('bigint','int') THEN 'Possibly could be SMALLINT type. '
+  WHEN min_data_length >= -2147483648 AND max_data_length <= 2147483647
+       AND sql_type = 'bigint' THEN 'Possibly could be INT type. '
+  WHEN {near('no_is_numeric')} AND sql_type IN ('varchar','nvarchar','char','nchar')
+       THEN 'Possibly could be one of the NUMERIC types. '
+  WHEN {near('no_is_date')} AND sql_type IN ('varchar','nvarchar','char','nchar')
+       THEN 'Possibly could be one of the DATE types. '
 END"""
 
 
@@ -102,13 +112,13 @@ def profile_sql(selects: list[str], *, fks=(), distinct_min=200, null_pct=90.0,
                 boundary: float | None = None) -> str:
     """Wrap per-column SELECTs with percentages and the suggestion rules."""
     fk_list = ", ".join(_q(x) for x in fks) or "NULL"
-    sparse = " ".join(f"WHEN {_q(t)} THEN {p}" for t, p in S.SPARSE_THRESHOLDS)
+    sparse = " ".join(f"WHEN {_q(t)} THEN {p}" for t, p in SPARSE_PERCENT.items())
     few = (f"no_distinct < {distinct_min} AND row_count > {distinct_min} AND NOT is_fk")
     boundary_part = "''"
     if boundary is not None:
         boundary_part = (f"CASE WHEN CAST(no_at_limit AS DECIMAL(38,6)) >= "
                          f"CAST(row_count AS DECIMAL(38,6)) * {boundary} "
-                         f"THEN {_q(S.TXT_AT_LIMIT)} ELSE '' END")
+                         f"THEN 'Large numbers of data elements at the max/minvalues. ' ELSE '' END")
     union = "\nUNION ALL\n".join(selects)
     return f"""WITH s AS (
 {union}
@@ -120,20 +130,20 @@ def profile_sql(selects: list[str], *, fks=(), distinct_min=200, null_pct=90.0,
 ), c AS (
   SELECT *,
     CASE
-      WHEN sql_type = 'varbinary' AND column_data_length = -1 AND avg_data_length >= {S.FILESTREAM_AVG}
-        THEN {_q(S.TXT_FILESTREAM_YES)}
-      WHEN sql_type = 'varbinary' AND column_data_length = -1 AND avg_data_length < {S.FILESTREAM_AVG}
-        THEN {_q(S.TXT_FILESTREAM_NO)}
+      WHEN sql_type = 'varbinary' AND column_data_length = -1 AND avg_data_length >= 1000000
+        THEN 'Possibly a good candidate for FILESTREAM.'
+      WHEN sql_type = 'varbinary' AND column_data_length = -1 AND avg_data_length < 1000000
+        THEN 'Possibly not a good candidate for FILESTREAM.'
       ELSE coalesce({_type_rule_sql(type_pct)}, '')
         || CASE WHEN (percentage_nulls = 100 OR percentage_zero_length = 100) AND NOT is_fk
-                THEN {_q(S.TXT_EMPTY)} ELSE '' END
-        || CASE WHEN percentage_nulls >= {null_pct} THEN {_q(S.TXT_MANY_NULLS)} ELSE '' END
+                THEN 'Seems empty - is it required? ' ELSE '' END
+        || CASE WHEN percentage_nulls >= {null_pct} THEN 'There is a large percentage of NULLs - attention may be required. ' ELSE '' END
         || CASE WHEN {few} AND percentage_nulls <> 100 AND no_nulls <> 0
-                THEN {_q(S.TXT_LOOKUP)} ELSE '' END
+                THEN 'Few distinct elements - potential for reference/lookup table (contains NULLs).' ELSE '' END
         || CASE WHEN {few} AND no_nulls = 0 AND lower(sql_type) NOT LIKE '%date%'
-                AND lower(sql_type) <> 'time' THEN {_q(S.TXT_FK)} ELSE '' END
+                AND lower(sql_type) <> 'time' THEN 'Few distinct elements - potential for Foreign Key.' ELSE '' END
     END
-    || CASE WHEN percentage_nulls >= (CASE sql_type {sparse} END) THEN {_q(S.TXT_SPARSE)}
+    || CASE WHEN percentage_nulls >= (CASE sql_type {sparse} END) THEN 'Could benefit from sparse columns. '
             ELSE '' END
     || {boundary_part} AS comments_text
   FROM p

@@ -226,6 +226,75 @@ def q_profile_other(spark, d):
     return _prof(e, "embeddings", OTHER_OUT, columns=["embedding", "label", "even_label"])
 
 
+def q_profile_nonfinite(spark, d):
+    """NaN, infinities and values beyond any decimal, planted by content rules."""
+    li = table(spark, d, "lineitem")
+    n, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    df = li.select(
+        F.when(n == 1, F.lit(float("nan"))).when(n == 2, F.lit(float("inf")))
+         .when(n == 3, F.lit(float("-inf"))).when(n == 4, F.lit(None)).otherwise(price).alias("odd"),
+        F.when(n == 5, F.lit(1e40)).otherwise(price).alias("huge"),
+        F.when(n > 0, F.lit(float("nan"))).alias("never"))
+    p = profile(df, table_name="lineitem_odd").profile
+    scaled = F.when(F.col("column_name") == "huge", F.round(F.col("avg_data_length") / 1e36, 3)).otherwise(
+        F.round("avg_data_length", 4))
+    return p.select("column_name", "min_data_length", "max_data_length", scaled.alias("mean_scaled"), "no_non_finite",
+                    "no_nulls", "no_distinct", "row_count")
+
+
+DATES_OUT = ["table_name", "column_name", "sql_type", "no_date_with_hour_minute_second",
+             "no_date_with_second", "data_type_comments"]
+
+
+def q_suggest_dates(spark, d):
+    """The three date remarks on timestamps with and without a zone."""
+    e = table(spark, d, "events")
+    ts = F.col("ts").cast("timestamp_ntz")
+    day, minute = F.to_timestamp_ntz(F.to_date(ts)), F.date_trunc("MINUTE", ts.cast("timestamp"))
+    old = F.lit("1850-03-04 05:06:07").cast("timestamp_ntz")
+    df = e.select(
+        day.alias("ntz_day"), minute.cast("timestamp_ntz").alias("ntz_minute"), ts.alias("ntz_full"),
+        F.when(F.col("user_id") % 2 == 0, old).otherwise(ts).alias("ntz_old"),
+        day.cast("timestamp").alias("tz_day"), minute.alias("tz_minute"), ts.cast("timestamp").alias("tz_full"))
+    return _prof(df, "events_dates", DATES_OUT, columns=df.columns)
+
+
+def q_profile_domains(spark, d):
+    """The domains that an advanced profile returns beside the profile."""
+    df = table(spark, d, "documents").select("lang", "source", "doc_id")
+    return profile(df, advanced=True).domains
+
+
+def q_profile_estimated(spark, d):
+    """With estimated distinct counts: which columns are estimated, and the exact rest."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    p = profile(li, approx_distinct=0.05).profile
+    return p.select("column_name", "distinct_estimated",
+                    F.when(~F.col("distinct_estimated"), F.col("no_distinct")).alias("exact_distinct"),
+                    "min_data_length", "max_data_length", "no_nulls", "row_count")
+
+
+def q_profile_collated(spark, d):
+    """Distinct counts of text compared without case and trailing blanks."""
+    o = table(spark, d, "orders")
+    df = o.select(F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority"))
+                   .otherwise(F.col("o_orderpriority")).alias("prio"),
+                  F.when(F.col("o_orderkey") % 3 == 0, F.concat("o_orderstatus", F.lit("  ")))
+                   .otherwise(F.col("o_orderstatus")).alias("status"))
+    return profile(df, collation="UTF8_LCASE_RTRIM").profile.select("column_name", "no_distinct", "row_count")
+
+
+def q_suggest_filestream(spark, d):
+    """Long binary values: pages as they are (small), and 16 KiB blocks of each repeated to
+    over a megabyte."""
+    pages = table(spark, d, "pages")
+    block = F.rpad(F.substring("html", 1, 1000), 1000, ".")
+    df = pages.select(F.col("html").cast("binary").alias("page"),
+                      F.repeat(block, 1050).cast("binary").alias("blown_up"))
+    return _prof(df, "pages_files", ["table_name", "column_name", "sql_type", "data_type_comments"],
+                 columns=["page", "blown_up"], lob_cols=["page", "blown_up"])
+
+
 def q_value_counts(spark, d):
     return value_counts(table(spark, d, "events"), DOMAIN_TABLES["events"])
 
@@ -325,6 +394,49 @@ ORACLE = {
     "value_counts": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CAST(\"{c}\" AS VARCHAR) AS value, COUNT(*) AS count "
         f"FROM events GROUP BY 2" for c in DOMAIN_TABLES["events"]),
+    "profile_nonfinite": """WITH x AS (SELECT
+    CASE l_linenumber WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN '-inf'::DOUBLE
+         WHEN 4 THEN NULL ELSE l_extendedprice END AS odd,
+    CASE WHEN l_linenumber = 5 THEN 1e40 ELSE l_extendedprice END AS huge, 'nan'::DOUBLE AS never
+  FROM lineitem)
+SELECT 'odd' AS column_name, CAST(MIN(odd) FILTER (WHERE isfinite(odd)) AS DECIMAL(38,6)) AS min_data_length,
+  CAST(MAX(odd) FILTER (WHERE isfinite(odd)) AS DECIMAL(38,6)) AS max_data_length,
+  round(AVG(odd) FILTER (WHERE isfinite(odd)), 4) AS mean_scaled,
+  COUNT(*) FILTER (WHERE NOT isfinite(odd)) AS no_non_finite, COUNT(*) FILTER (WHERE odd IS NULL) AS no_nulls,
+  COUNT(DISTINCT odd) AS no_distinct, COUNT(*) AS row_count FROM x
+UNION ALL SELECT 'huge', CAST(MIN(huge) AS DECIMAL(38,6)), NULL, round(AVG(huge) / 1e36, 3), 0, 0,
+  COUNT(DISTINCT huge), COUNT(*) FROM x
+UNION ALL SELECT 'never', NULL, NULL, NULL, COUNT(*), 0, 1, COUNT(*) FROM x""",
+    "suggest_dates": _wrap(_selects("""(SELECT date_trunc('day', ts) AS ntz_day, date_trunc('minute', ts) AS ntz_minute,
+  CAST(ts AS TIMESTAMP) AS ntz_full,
+  CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '1850-03-04 05:06:07' ELSE ts END AS ntz_old,
+  date_trunc('day', ts) AS tz_day, date_trunc('minute', ts) AS tz_minute, CAST(ts AS TIMESTAMP) AS tz_full
+  FROM events) x""", "events_dates",
+        [(c, "date", "datetime2" if c.startswith("ntz") else "datetime")
+         for c in ("ntz_day", "ntz_minute", "ntz_full", "ntz_old", "tz_day", "tz_minute", "tz_full")]), DATES_OUT),
+    "profile_domains": f"""WITH v AS (
+  SELECT 'lang' AS domain_name, lang AS domain_element, COUNT(*) AS domain_counter FROM documents GROUP BY 2
+  UNION ALL SELECT 'source', source, COUNT(*) FROM documents GROUP BY 2
+  UNION ALL SELECT 'doc_id', CAST(doc_id AS VARCHAR), COUNT(*) FROM documents GROUP BY 2),
+d AS (SELECT domain_name, COUNT(domain_element) AS nd, SUM(domain_counter) AS total FROM v GROUP BY domain_name)
+SELECT v.domain_name, v.domain_element, v.domain_counter,
+       {sql_pct('v.domain_counter', 'd.total', 4, 7)} AS domain_percent
+FROM v JOIN d ON v.domain_name = d.domain_name WHERE d.nd < 200""",
+    "profile_estimated": " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, {est} AS distinct_estimated,
+  CASE WHEN NOT {est} THEN COUNT(DISTINCT {c}) END AS exact_distinct,
+  CAST(MIN({m}) AS DECIMAL(38,6)) AS min_data_length, CAST(MAX({m}) AS DECIMAL(38,6)) AS max_data_length,
+  COUNT(*) FILTER (WHERE {c} IS NULL) AS no_nulls, COUNT(*) AS row_count FROM lineitem"""
+        for c, est, m in (("l_orderkey", "true", "l_orderkey"), ("l_linenumber", "false", "l_linenumber"),
+                          ("l_returnflag", "false", "length(l_returnflag)"), ("l_quantity", "false", "l_quantity"))),
+    "profile_collated": """SELECT 'prio' AS column_name, COUNT(DISTINCT lower(o_orderpriority)) AS no_distinct,
+  COUNT(*) AS row_count FROM orders
+UNION ALL SELECT 'status', COUNT(DISTINCT lower(o_orderstatus)), COUNT(*) FROM orders""",
+    "suggest_filestream": """SELECT 'pages_files' AS table_name, 'page' AS column_name, 'varbinary' AS sql_type,
+  CASE WHEN AVG(octet_length(encode(html))) >= 1000000 THEN 'Possibly a good candidate for FILESTREAM.'
+       ELSE 'Possibly not a good candidate for FILESTREAM.' END AS data_type_comments FROM pages
+UNION ALL SELECT 'pages_files', 'blown_up', 'varbinary', 'Possibly a good candidate for FILESTREAM.'
+FROM (SELECT COUNT(*) AS n FROM pages) t WHERE n > 0""",
     "flag_foreign_keys": _wrap(_selects("lineitem", "lineitem", TABLE_COLS["lineitem"]), FK_OUT,
                                fks=["l_orderkey", "l_partkey", "l_suppkey"]),
     "profile_binary": _wrap(_selects(
@@ -354,5 +466,11 @@ QUERIES = {
     "profile_binary": q_profile_binary,
     "flag_foreign_keys": q_flag_foreign_keys,
     "value_counts": q_value_counts,
+    "profile_nonfinite": q_profile_nonfinite,
+    "suggest_dates": q_suggest_dates,
+    "profile_domains": q_profile_domains,
+    "profile_estimated": q_profile_estimated,
+    "profile_collated": q_profile_collated,
+    "suggest_filestream": q_suggest_filestream,
     "profile_other": q_profile_other,
 }

@@ -99,6 +99,52 @@ def q_upsert_by_any_key(spark, d):
     return upsert_by_any_key(p, renamed.unionByName(moved), [["step_id"], ["step_name"]])
 
 
+def _keyed_customers(spark, d):
+    """Customers under keys that are NULL in places and repeat: (key, name, balance)."""
+    c = table(spark, d, "customer")
+    key = F.when(F.col("c_nationkey") == 3, F.lit(None)).otherwise(F.col("c_custkey") % 40)
+    return c.select(key.alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+
+
+def q_reconcile_null_keys(spark, d):
+    """Apply, then reconcile again: every key is kept (NULL keys and repeats included)."""
+    every = _keyed_customers(spark, d)
+    desired = every.groupBy("key").agg(F.min("name").alias("name"), F.max("balance").alias("balance"))
+    actual = every.where(F.col("balance") > 5000).dropDuplicates(["key"]).select("key", "name", "balance")
+    after = upsert_by_key(actual, desired, "key")
+    return reconcile(desired, after, "key", ["name", "balance"], report_extra=True)
+
+
+def q_insert_if_absent_duplicates(spark, d):
+    """Repeated and NULL desired keys add one row each, and none on a second run."""
+    every = _keyed_customers(spark, d)
+    actual = every.where(F.col("key") < 10).groupBy("key").agg(
+        F.min("name").alias("name"), F.min("balance").alias("balance"))
+    once = insert_if_absent(actual, every, "key")
+    return insert_if_absent(once, every, "key")
+
+
+def q_ids_null_keys(spark, d):
+    """One id per key, NULL key included, where the existing table repeats keys."""
+    every = _keyed_customers(spark, d)
+    actual = every.where(F.col("key") < 10).select("key", F.length("name").cast("bigint").alias("id")).unionByName(
+        every.where(F.col("key") < 5).select("key", (F.col("key") + 100).cast("bigint").alias("id")))
+    return get_or_assign_ids(every, actual, "key", "id").select("key", "id")
+
+
+def q_render_template_mixed(spark, d):
+    """Steps with and without the placeholder, NULL commands and NULL lookup keys."""
+    c = table(spark, d, "customer")
+    nation = F.when(F.col("c_nationkey") == 2, F.lit(None)).otherwise(F.col("c_nationkey"))
+    steps = c.select(F.col("c_custkey").alias("step_id"), nation.alias("nation"),
+                     F.when(F.col("c_custkey") % 3 == 0, F.lit("run {{EnvRefId}} twice {{EnvRefId}}"))
+                      .when(F.col("c_custkey") % 3 == 1, F.lit("plain command")).alias("command"))
+    n = table(spark, d, "nation").where(F.col("n_nationkey") < 20)
+    refs = n.select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") + 500).cast("bigint").alias("reference_id"))
+    refs = refs.unionByName(refs.where(F.col("nation") == 5).withColumn("reference_id", F.col("reference_id") + 1))
+    return render_template(steps, refs, ["nation"]).select("step_id", "command", "error")
+
+
 LINEITEM_RULES_SQL = [
     ("quantity_positive", "l_quantity > 0"),
     ("discount_at_most_0_08", "l_discount <= 0.08"),
@@ -148,6 +194,31 @@ FROM w WHERE name NOT IN (SELECT name FROM a)""",
     || '/Warehouse/Nightly' END AS error
 FROM customer c LEFT JOIN (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) + 1000 AS reference_id
   FROM nation WHERE n_regionkey <> 4) r ON c.c_nationkey = r.n_nationkey""",
+    "reconcile_null_keys": """SELECT DISTINCT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_custkey % 40 END AS key,
+  'keep' AS action FROM customer""",
+    "insert_if_absent_duplicates": """WITH e AS (SELECT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_custkey % 40 END AS key,
+    c_name AS name, c_acctbal AS balance FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY name, balance) AS n FROM e)
+SELECT key, MIN(name) AS name, MIN(balance) AS balance FROM e WHERE key < 10 GROUP BY key
+UNION ALL SELECT key, name, balance FROM r WHERE n = 1 AND (key >= 10 OR key IS NULL)""",
+    "ids_null_keys": """WITH e AS (SELECT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_custkey % 40 END AS key,
+    c_name AS name FROM customer),
+a AS (SELECT key, length(name) AS id FROM e WHERE key < 10 UNION ALL SELECT key, key + 100 FROM e WHERE key < 5)
+SELECT key, MIN(id) AS id FROM a GROUP BY key
+UNION ALL SELECT key, (SELECT MAX(id) FROM a) + row_number() OVER (ORDER BY key NULLS FIRST) AS id
+FROM (SELECT DISTINCT key FROM e WHERE key >= 10 OR key IS NULL) n""",
+    "render_template_mixed": """WITH s AS (SELECT c_custkey AS step_id,
+    CASE WHEN c_nationkey = 2 THEN NULL ELSE c_nationkey END AS nation,
+    CASE c_custkey % 3 WHEN 0 THEN 'run {{EnvRefId}} twice {{EnvRefId}}' WHEN 1 THEN 'plain command' END AS command
+  FROM customer)
+SELECT step_id,
+  CASE WHEN command LIKE '%{{EnvRefId}}%' THEN
+    CASE WHEN nation < 20 AND nation <> 5 THEN replace(command, '{{EnvRefId}}', CAST(nation + 500 AS VARCHAR)) END
+    ELSE command END AS command,
+  CASE WHEN command LIKE '%{{EnvRefId}}%' THEN
+    CASE WHEN nation = 5 THEN 'several references for 5'
+         WHEN nation IS NULL THEN 'no reference for '
+         WHEN nation >= 20 THEN 'no reference for ' || CAST(nation AS VARCHAR) END END AS error FROM s""",
     "upsert_by_any_key": """WITH a AS (SELECT p_partkey AS step_id, p_name AS step_name,
     p_size AS command_size FROM part),
 d AS (SELECT step_id, step_name || ' v2' AS step_name, command_size FROM a WHERE command_size < 10
@@ -169,4 +240,8 @@ QUERIES = {
     "render_template": q_render_template,
     "row_checks": q_row_checks,
     "upsert_by_any_key": q_upsert_by_any_key,
+    "reconcile_null_keys": q_reconcile_null_keys,
+    "insert_if_absent_duplicates": q_insert_if_absent_duplicates,
+    "ids_null_keys": q_ids_null_keys,
+    "render_template_mixed": q_render_template_mixed,
 }

@@ -62,8 +62,8 @@ def test_datetime_rules(prof):
     assert prof["ts_min"]["data_type_comments"].startswith(S.TXT_SMALLDATE)
     assert prof["ts_sec"]["no_date_with_second"] == 10
     assert prof["ts_sec"]["data_type_comments"] is None
-    # timestamp without zone = datetime2: the DATETIME rule comes last and wins
-    assert prof["ntz"]["data_type_comments"].startswith(S.TXT_DATETIME)
+    # timestamp without zone = datetime2: the narrowest type that holds all values wins
+    assert prof["ntz"]["data_type_comments"].startswith(S.TXT_DATE)
     assert prof["ntz"]["min_date"] == dt.datetime(2020, 1, 1)
 
 
@@ -255,3 +255,33 @@ def test_column_list_frame(spark, edge):
     res = profile(edge, columns=cl)
     assert sorted(r["column_name"] for r in res.profile.collect()) == ["id", "txt"]
     assert res.unknown_columns == ["missing"]
+
+
+def test_non_finite_and_huge_values_take_no_part_unseen(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(1.0, 1.0, 1.0), (1e40, nan, -inf), (None, 3.0, inf), (3.0, 3.0, nan)], "huge double, odd double, wild double")
+    for approx in (None, 0.05):
+        rows = {r["column_name"]: r for r in profile(df, approx_distinct=approx, distinct_min=0 if approx else 200).profile.collect()}
+        assert rows["huge"]["avg_data_length"] == pytest.approx(1e40 / 3)
+        assert rows["huge"]["max_data_length"] is None and float(rows["huge"]["max_raw"]) == 1e40
+        assert (rows["odd"]["avg_data_length"], rows["odd"]["no_non_finite"]) == (pytest.approx(7 / 3), 1)
+        assert rows["odd"]["max_data_length"] == 3
+        assert (rows["wild"]["avg_data_length"], rows["wild"]["no_non_finite"], rows["wild"]["max_raw"]) == (1.0, 3, "1.0")
+        assert rows["odd"]["distinct_estimated"] is (approx is not None)
+    big = spark.createDataFrame([(Decimal("9" * 38),), (Decimal(1),)], "d decimal(38,0)")
+    assert profile(big).profile.first()["avg_data_length"] == pytest.approx(5e37)
+
+
+def test_own_predicates_guards_and_case_blind_lists(spark):
+    df = spark.createDataFrame([("$1,234.50", "a"), ("x", "a ")], "Price string, t string")
+    got = profile(df, columns="PRICE, price, nope", is_numeric=lambda c: f"coalesce({c} LIKE '$%', false)",
+                  is_date=lambda c: "false")
+    assert got.unknown_columns == ["nope"]
+    assert [(r["column_name"], r["no_is_numeric"]) for r in got.profile.collect()] == [("Price", 1)]
+    assert profile(df, columns=["t"], collation="UTF8_BINARY_RTRIM").profile.first()["no_distinct"] == 1
+    assert profile(df, columns=["t"]).profile.first()["no_distinct"] == 2
+    with pytest.raises(ValueError):
+        profile(df.limit(0), require_rows=True)
+    twice = spark.createDataFrame([("varchar", 10), ("varchar", 20), ("blob", 1)], "data_type string, threshold int")
+    assert profile(df, sparse_thresholds=twice).profile.count() == 2
