@@ -1,30 +1,30 @@
 """Table profiler (D-01 … D-09, D-13, D-16 … D-19).
 
-Plan shape, whatever the width of the table:
-
-1. The columns are unpivoted, each in its own value type, into
-   ``groupBy(column, value).count()``: one Generate feeding a partial aggregate per map
-   task, then one shuffle per value type. The per-type scans read disjoint column sets,
-   so the table is read once. Partial aggregation collapses a hot value map-side: a value
-   holding a third of all rows costs one row per task. Long text is counted as
-   (SHA-256 digest, length, blank), so whole texts are never shuffled.
-2. Every statistic is folded from those (value, count) rows: min/max, length statistics
-   and exact means weighted by the counts; null, blank, numeric-looking, date-looking and
-   time-of-day counts as sums of counts. Per-value rules thus run once per distinct value.
-3. Distinct counts, domains and (advanced mode) the counts at the limits come from the
-   same rows; advanced mode writes them once under the checkpoint folder and never reads
-   the table again.
+Plan shape, whatever the width of the table and the kinds of its columns:
+
+1. All columns are unpivoted by one Generate into rows (column, one typed slot per kind of
+   value) and counted by ``groupBy(column, slots).count()``: one scan, a partial aggregate
+   per map task, one shuffle. A row fills the slot of its column's kind; the others are
+   NULL. Partial aggregation collapses a hot value map-side: a value holding a third of all
+   rows costs one row per task. Long text is counted as (SHA-256 digest, length, blank), so
+   whole texts are never shuffled.
+2. One aggregate per column folds every statistic from those (value, count) rows: min/max,
+   length statistics and exact means weighted by the counts; null, blank, numeric-looking,
+   date-looking and time-of-day counts as sums of counts. Per-value rules thus run once per
+   distinct value.
+3. Advanced mode folds the counts at the limits from the same rows (``min_by``/``max_by`` of
+   the count; lengths are summed per length first, over the same shuffle). The statistics,
+   one row per column, are collected; the columns below ``distinct_min`` distinct values,
+   and they alone, are counted by value once more when the domains are read. Nothing is
+   written.
 
 With ``approx_distinct`` only likely low-cardinality columns are counted; the others get
-HyperLogLog estimates and their statistics from one direct aggregate (``column_stats``).
-Nothing in the table passes through the driver: the limits join each column's min/max
-(one broadcast row per column) back to its counts; only approximate columns, which have
-no counts, are collected (one row each) to scan for their limits.
+HyperLogLog estimates and their statistics from one direct aggregate (``column_stats``),
+and one more scan for their limits.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,7 +36,6 @@ from tablewright.functions.tsql import (
     looks_date_sql, looks_numeric_sql, pct_of, quote_ident, seconds_nonzero_sql, sql_str,
     time_of_day_nonzero_sql,
 )
-from tablewright.session import materialize
 from tablewright.operators.columns import (
     BINARY, DATE, LOB, NUMERIC, TEXT, ProfileColumn, select_profile_columns,
 )
@@ -188,12 +187,19 @@ def column_stats(df: DataFrame, cols: list[ProfileColumn], **predicates) -> Data
 
 
 @dataclass
-class _Part:
-    """Value counts of the columns that share one value type: rows (_ci, value, count)."""
-    kind: str
+class _Slot:
+    """A typed column of the value counts: the columns (positions) that it holds."""
+    name: str
     stat: str
-    cols: list          # [(position, ProfileColumn)]
-    counts: DataFrame
+    members: list
+
+
+@dataclass
+class _Counts:
+    """Value counts of all columns: rows (_ci, one column per slot, count)."""
+    frame: DataFrame
+    slots: list
+    cols: list
 
 
 def _kind_of(pc: ProfileColumn, digest_lob: bool, collation: str | None):
@@ -233,30 +239,32 @@ def _kind_of(pc: ProfileColumn, digest_lob: bool, collation: str | None):
     return "other", "other", c.cast("string")
 
 
-def _typed_counts(df: DataFrame, cols: list[ProfileColumn], digest_lob: bool = True,
-                  collation: str | None = None) -> list[_Part]:
-    """Per value type: one unpivot (Generate) feeding a partial aggregate per map task,
-    then one shuffle on (column position, value). Partial aggregation collapses a hot
-    value map-side; the per-type scans read disjoint column sets (the table once)."""
-    buckets: dict[str, tuple] = {}
+def _value_counts(df: DataFrame, cols: list[ProfileColumn], digest_lob: bool = True,
+                  collation: str | None = None) -> _Counts:
+    """One unpivot (Generate) of all columns feeding a partial aggregate per map task, then
+    one shuffle on (column position, value). Every kind of value has a slot of its type."""
+    slots: dict[str, _Slot] = {}
+    values = []
     for i, pc in enumerate(cols):
-        kind, stat, val = _kind_of(pc, digest_lob, collation)
-        buckets.setdefault(kind, (stat, []))[1].append((i, pc, val))
-    parts = []
-    for kind, (stat, members) in buckets.items():
-        structs = [F.struct(F.lit(i).alias("_ci"), val.alias("value")) for i, _, val in members]
-        counts = (df.select(F.inline(F.array(*structs)))
-                    .groupBy("_ci", "value")
-                    .agg(F.count(F.lit(1)).alias("count")))
-        parts.append(_Part(kind, stat, [(i, pc) for i, pc, _ in members], counts))
-    return parts
-
-
-def _text_of(stat: str) -> Column:
-    v = F.col("value")
-    if stat in ("lob_text", "lob_bin"):
+        kind, stat, value = _kind_of(pc, digest_lob, collation)
+        slot = slots.setdefault(kind, _Slot(f"_v{len(slots)}", stat, []))
+        slot.members.append(i)
+        values.append((slot.name, value))
+    first = {slot.name: values[slot.members[0]][1] for slot in slots.values()}
+    types = df.select(*[v.alias(n) for n, v in first.items()]).schema
+    structs = [F.struct(F.lit(i).alias("_ci"), *[
+        (value if f.name == own else F.lit(None)).cast(f.dataType).alias(f.name) for f in types.fields])
+        for i, (own, value) in enumerate(values)]
+    frame = (df.select(F.inline(F.array(*structs)))
+               .groupBy("_ci", *first).agg(F.count(F.lit(1)).alias("count")))
+    return _Counts(frame, list(slots.values()), cols)
+
+
+def _text_of(slot: _Slot) -> Column:
+    v = F.col(slot.name)
+    if slot.stat in ("lob_text", "lob_bin"):
         return v.getField("d")
-    if stat == "binary":
+    if slot.stat == "binary":
         return F.hex(v)
     return v.cast("string")
 
@@ -265,11 +273,11 @@ def _weighted(pred: str) -> str:
     return f"coalesce(sum(CASE WHEN {pred} THEN count END), 0)"
 
 
-def _part_stats_sql(stat: str, is_numeric=looks_numeric_sql, is_date=looks_date_sql) -> dict[str, str]:
+def _slot_stats_sql(stat: str, value: str, is_numeric=looks_numeric_sql, is_date=looks_date_sql) -> dict[str, str]:
     """Statistics of one column from its (value, count) rows, as SQL text."""
-    nn = "sum(CASE WHEN value IS NOT NULL THEN count END)"
-    out = {"row_count": "sum(count)", "no_nulls": _weighted("value IS NULL"),
-           "no_distinct": "count(value)"}
+    nn = f"sum(CASE WHEN {value} IS NOT NULL THEN count END)"
+    out = {"row_count": "sum(count)", "no_nulls": _weighted(f"{value} IS NULL"),
+           "no_distinct": f"count({value})"}
 
     def lengths(ln):
         out["max_data_length"] = f"max({ln})"
@@ -278,41 +286,41 @@ def _part_stats_sql(stat: str, is_numeric=looks_numeric_sql, is_date=looks_date_
         out["avg_data_length"] = f"CAST(sum({ln} * count) / {nn} AS BIGINT)"
 
     if stat in ("text", "text_collated"):
-        s = "value" if stat == "text" else "CAST(value AS STRING)"
+        s = value if stat == "text" else f"CAST({value} AS STRING)"
         lengths(f"length(rtrim({s}))")
         out["no_is_numeric"] = _weighted(is_numeric(s))
         out["no_is_date"] = _weighted(is_date(s))
         out["no_zero_length"] = _weighted(f"length(trim({s})) = 0")
     elif stat == "lob_text":
-        lengths("value.len")
-        out["no_zero_length"] = _weighted("value.blank")
+        lengths(f"{value}.len")
+        out["no_zero_length"] = _weighted(f"{value}.blank")
     elif stat == "lob_bin":
-        lengths("value.len")
+        lengths(f"{value}.len")
     elif stat == "binary":
-        lengths("length(value)")
+        lengths(f"length({value})")
     elif stat in ("exact_num", "float_num"):
-        v = f"({_finite_sql('value')})" if stat == "float_num" else "value"
+        v = f"({_finite_sql(value)})" if stat == "float_num" else value
         rows = f"sum(CASE WHEN {v} IS NOT NULL THEN count END)"
         out["max_data_length"] = f"try_cast(max({v}) AS {DEC})"
         out["min_data_length"] = f"try_cast(min({v}) AS {DEC})"
         out["max_raw"] = f"CAST(max({v}) AS STRING)"
         out["min_raw"] = f"CAST(min({v}) AS STRING)"
         if stat == "float_num":
-            out["no_non_finite"] = _weighted("value IS NOT NULL AND NOT abs(value) < CAST('Infinity' AS DOUBLE)")
+            out["no_non_finite"] = _weighted(f"{value} IS NOT NULL AND ({_finite_sql(value)}) IS NULL")
             cents, slow = _exact_cents_sql(v)
             total = (f"(coalesce(try_sum(try_multiply({cents}, count)), 0)"
                      f" * CAST(0.01 AS DECIMAL(3,2))"
                      f" + coalesce(try_sum(try_multiply({slow}, count)), 0))")
         else:
-            total = "try_sum(try_multiply(try_cast(value AS DECIMAL(36,2)), count))"
+            total = f"try_sum(try_multiply(try_cast({value} AS DECIMAL(36,2)), count))"
         out["avg_data_length"] = _mean_sql(v, total, f"sum(CAST({v} AS DOUBLE) * count)", rows)
     elif stat in ("date", "ts", "ts_ntz"):
-        out["max_date"] = "CAST(max(value) AS TIMESTAMP_NTZ)"
-        out["min_date"] = "CAST(min(value) AS TIMESTAMP_NTZ)"
+        out["max_date"] = f"CAST(max({value}) AS TIMESTAMP_NTZ)"
+        out["min_date"] = f"CAST(min({value}) AS TIMESTAMP_NTZ)"
         if stat != "date":
             out["no_date_with_hour_minute_second"] = _weighted(
-                time_of_day_nonzero_sql("value", stat == "ts_ntz"))
-            out["no_date_with_second"] = _weighted(seconds_nonzero_sql("value", stat == "ts_ntz"))
+                time_of_day_nonzero_sql(value, stat == "ts_ntz"))
+            out["no_date_with_second"] = _weighted(seconds_nonzero_sql(value, stat == "ts_ntz"))
     return out
 
 
@@ -322,70 +330,74 @@ COUNTED_FIELDS = [(n, t) for n, t in STAT_FIELDS
     ("row_count", "bigint"), ("no_distinct", "bigint")]
 
 
-def _stats_from_counts(parts: list[_Part], cols: list[ProfileColumn], **predicates) -> DataFrame:
-    """Per column: every statistic folded from its value counts (one small aggregate per
-    value type over distinct values, not over the table's rows)."""
-    names = F.array(*[F.lit(pc.name) for pc in cols])
-    frames = []
-    for part in parts:
-        exprs = _part_stats_sql(part.stat, **predicates)
-        aggs = [F.expr(f"CAST({exprs.get(n, 'NULL')} AS {t})").alias(n) for n, t in COUNTED_FIELDS]
-        frames.append(part.counts.groupBy("_ci").agg(*aggs)
-                      .select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
-                              *[n for n, _ in COUNTED_FIELDS]))
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _text_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame:
-    names = F.array(*[F.lit(pc.name) for pc in cols])
-    return reduce(DataFrame.unionByName, [
-        p.counts.select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
-                        _text_of(p.stat).alias("value"), "count") for p in parts])
-
-
-_LIMIT_MEASURE = {
-    "exact_num": "value", "float_num": _finite_sql("value"),
-    "text": "length(rtrim(value))", "text_collated": "length(rtrim(CAST(value AS STRING)))",
-    "binary": "length(value)", "lob_text": "value.len",
-}
-
-
-def _limits_from_counts(parts: list[_Part], cols: list[ProfileColumn]) -> DataFrame | None:
-    """D-16 from the value counts, without a driver round trip: each column's min and max
-    of the measure (the value for numerics, the length for text and binary) are computed
-    from its counts – one small row per column, broadcast – and joined back on the column
-    position; the counts of the rows at either limit are summed."""
-    names = F.array(*[F.lit(pc.name) for pc in cols])
-    frames = []
-    for part in parts:
-        measure = _LIMIT_MEASURE.get(part.stat)
-        if measure is None:
-            continue
-        m = part.counts.select("_ci", "count", F.expr(measure).alias("_m"))
-        bounds = m.groupBy("_ci").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
-        at = (F.col("_m") == F.col("_lo")) | (F.col("_m") == F.col("_hi"))
-        frames.append(
-            m.join(F.broadcast(bounds), "_ci")     # one row per column: a proven bound
-             .groupBy("_ci")
-             .agg(F.coalesce(F.sum(F.when(at, F.col("count"))), F.lit(0)).cast("bigint")
-                  .alias("no_at_limit"))
-             .select(F.element_at(names, F.col("_ci") + 1).alias("column_name"),
-                     "no_at_limit"))
-    return reduce(DataFrame.unionByName, frames) if frames else None
+def _per_slot(counts: _Counts, expr_of) -> str:
+    """SQL that picks, by the column position, the expression of the column's slot."""
+    cases = [(slot.members, expr_of(slot)) for slot in counts.slots]
+    cases = [f"WHEN _ci IN ({', '.join(map(str, m))}) THEN {e}" for m, e in cases if e is not None]
+    return f"CASE {' '.join(cases)} END" if cases else "NULL"
+
+
+def _names(counts: _Counts) -> Column:
+    return F.element_at(F.array(*[F.lit(pc.name) for pc in counts.cols]), F.col("_ci") + 1).alias("column_name")
+
+
+def _stats_from_counts(counts: _Counts, with_limits: bool = False, **predicates) -> DataFrame:
+    """Per column: every statistic folded from its value counts (one small aggregate over
+    distinct values, not over the table's rows), and with ``with_limits`` the rows at the
+    smallest and largest value or length (D-16)."""
+    exprs = {slot.name: _slot_stats_sql(slot.stat, slot.name, **predicates) for slot in counts.slots}
+    aggs = [F.expr(f"CAST({_per_slot(counts, lambda s: exprs[s.name].get(n))} AS {t})").alias(n)  # noqa: B023
+            for n, t in COUNTED_FIELDS]
+    names = [n for n, _ in COUNTED_FIELDS]
+    if not with_limits:
+        return counts.frame.groupBy("_ci").agg(*aggs).select(_names(counts), *names)
+    at = F.expr(f"CAST({_per_slot(counts, _at_value_limits)} AS BIGINT)").alias("_at")
+    stats = counts.frame.groupBy("_ci").agg(*aggs, at)
+    # lengths: counts of equal length are summed first; the same shuffle of value counts is
+    # read again (an identical exchange), one row per column comes out and is broadcast
+    length = F.expr(_per_slot(counts, lambda s: _LENGTH[s.stat].format(v=s.name) if s.stat in _LENGTH else None))
+    by_length = counts.frame.groupBy("_ci", length.cast("bigint").alias("_m")).agg(F.sum("count").alias("count"))
+    ends = by_length.groupBy("_ci").agg(F.expr(f"CAST({_ends_sql('_m')} AS BIGINT)").alias("_at_length"))
+    lengthy = [i for slot in counts.slots if slot.stat in _LENGTH for i in slot.members]
+    measured = lengthy + [i for slot in counts.slots if slot.stat in ("exact_num", "float_num") for i in slot.members]
+    return stats.join(F.broadcast(ends), "_ci").select(
+        _names(counts), *names,
+        F.when(F.col("_ci").isin(measured), F.coalesce(
+            F.when(F.col("_ci").isin(lengthy), F.col("_at_length")).otherwise(F.col("_at")), F.lit(0)))
+        .alias("no_at_limit"))
+
+
+_LENGTH = {"text": "length(rtrim({v}))", "text_collated": "length(rtrim(CAST({v} AS STRING)))",
+           "binary": "length({v})", "lob_text": "{v}.len"}
+
+
+def _ends_sql(m: str) -> str:
+    """Rows at the smallest and largest measure, each measure standing in one row."""
+    return (f"max_by(count, {m}) FILTER (WHERE {m} IS NOT NULL) + CASE WHEN min({m}) = max({m}) THEN 0"
+            f" ELSE min_by(count, {m}) FILTER (WHERE {m} IS NOT NULL) END")
+
+
+def _at_value_limits(slot: _Slot) -> str | None:
+    if slot.stat == "exact_num":
+        return _ends_sql(slot.name)
+    return _ends_sql(f"({_finite_sql(slot.name)})") if slot.stat == "float_num" else None
+
+
+def _text_counts(counts: _Counts) -> DataFrame:
+    return counts.frame.select(_names(counts), F.coalesce(*[_text_of(s) for s in counts.slots]).alias("value"), "count")
 
 
 def value_counts(df: DataFrame, columns, *, lob_cols=(), digest_lob: bool = True,
                  collation: str | None = None) -> DataFrame:
     """(column_name, value, count) for every value of every listed column, NULL included.
 
-    Values are grouped in their own type (one shuffle per type; the per-type scans read
-    disjoint column sets) and turned into text after aggregation: binary as hex, long text
-    as its SHA-256 digest when ``digest_lob``.
+    Values are grouped in their own type (one scan, one shuffle) and turned into text after
+    aggregation: binary as hex, long text as its SHA-256 digest when ``digest_lob``.
     """
     from tablewright.operators.columns import classify
     cols = [item if isinstance(item, ProfileColumn) else classify(df.schema[item], lob_cols)
             for item in columns]
-    return _text_counts(_typed_counts(df, cols, digest_lob, collation), cols)
+    return _text_counts(_value_counts(df, cols, digest_lob, collation))
 
 
 def _distinct_from_counts(vc: DataFrame) -> DataFrame:
@@ -498,33 +510,26 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         exact_cols = [pc for pc in cols if est[pc.name] < distinct_min * margin]
         approx_cols = [pc for pc in cols if pc not in exact_cols]
 
-    parts = _typed_counts(df, exact_cols, True, collation) if exact_cols else []
-    if advanced and parts:
-        # The counts serve the statistics, the limits and the domains: written once to the
-        # shared checkpoint folder and read back (lineage cut, survives a lost executor).
-        def write(part):
-            counts = part.counts
-            if part.stat == "text_collated":   # stored as plain text once grouped
-                counts = counts.withColumn("value", F.col("value").cast("string"))
-            return materialize(counts, "value_counts")
-
-        # independent jobs (one per value type): submitted together, run side by side
-        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
-            for part, written in zip(parts, list(pool.map(write, parts))):
-                part.counts = written
-
     predicates = {"is_numeric": is_numeric, "is_date": is_date}
     frames = []
-    if parts:
-        frames.append(_stats_from_counts(parts, exact_cols, **predicates))
+    if exact_cols:
+        counts = _value_counts(df, exact_cols, True, collation)
+        frames.append(_stats_from_counts(counts, with_limits=advanced, **predicates))
     if approx_cols:
         # High-cardinality columns: statistics from one direct aggregate, distinct estimated.
         est_df = spark.createDataFrame([(pc.name, est[pc.name]) for pc in approx_cols],
                                        "column_name string, no_distinct bigint")
         direct = column_stats(df, approx_cols, **predicates).select(
             "column_name", *[n for n, _ in COUNTED_FIELDS if n != "no_distinct"])
-        frames.append(direct.join(F.broadcast(est_df), "column_name"))
+        direct = direct.join(F.broadcast(est_df), "column_name")
+        if advanced:      # filled in below, from a scan with the limits as literals
+            direct = direct.withColumn("no_at_limit", F.lit(None).cast("bigint"))
+        frames.append(direct)
     stats = reduce(DataFrame.unionByName, frames)
+    rows = []
+    if advanced:
+        rows = stats.collect()          # one row per column: what the domains and limits need
+        stats = spark.createDataFrame(rows, stats.schema)
     skeleton = spark.createDataFrame(
         [(pc.name, pc.declared_length, pc.dtype.simpleString(), pc.type_class, pc.sql_type)
          for pc in cols],
@@ -550,26 +555,20 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         [], "domain_name string, domain_element string, domain_counter bigint, "
             "domain_percent decimal(7,4)")
     if advanced:
-        limit_frames = []
-        from_counts = _limits_from_counts(parts, exact_cols) if parts else None
-        if from_counts is not None:
-            limit_frames.append(from_counts)
         if approx_cols:
-            # Columns without value counts are scanned once more with their limits as
-            # literals. Bounded collect: one row per such column.
-            rows = prof.where(F.col("column_name").isin([pc.name for pc in approx_cols])).collect()
-            limit_frames.append(boundary_counts(df, rows, approx_cols))
-        if limit_frames:
-            limits = reduce(DataFrame.unionByName, limit_frames)
-            prof = prof.join(F.broadcast(limits), "column_name", "left")
-        else:
-            prof = prof.withColumn("no_at_limit", F.lit(None).cast("bigint"))
-        if parts:
-            vc = _text_counts(parts, exact_cols)
-            distinct = stats.select("column_name", "no_distinct",
-                                    F.col("row_count").alias("row_total"))
-            domains = (_domains_with_lob_values(df, exact_cols, vc, distinct, distinct_min)
-                       .orderBy(F.col("domain_name").asc(), F.col("domain_counter").desc()))
+            # columns without value counts are scanned once more, their limits as literals
+            own = [r for r in rows if r["column_name"] in {pc.name for pc in approx_cols}]
+            found = boundary_counts(df, own, approx_cols).withColumnRenamed("no_at_limit", "_approx_at")
+            prof = prof.join(F.broadcast(found), "column_name", "left").withColumn(
+                "no_at_limit", F.coalesce("no_at_limit", "_approx_at")).drop("_approx_at")
+        exact = {pc.name: pc for pc in exact_cols}
+        low = [exact[r["column_name"]] for r in rows
+               if r["column_name"] in exact and r["no_distinct"] < distinct_min]
+        if low:
+            distinct = stats.select("column_name", "no_distinct", F.col("row_count").alias("row_total"))
+            vc = _text_counts(_value_counts(df, low, False, collation))
+            domains = domain_analysis(vc, distinct, distinct_min).orderBy(
+                F.col("domain_name").asc(), F.col("domain_counter").desc())
     at_limit = F.col("no_at_limit") if advanced else F.lit(None).cast("bigint")
 
     keep = [c for c in PROFILE_COLUMNS if c not in (
@@ -600,19 +599,3 @@ def profile_table(spark, name: str, *, require_rows: bool = True, **options) ->
     return profile(spark.table(name), table_schema=schema, table_name=parts[-1],
                    require_rows=require_rows, **options)
 
-
-def _domains_with_lob_values(df, cols, vc, distinct, distinct_min):
-    """Domains; long-text columns were counted by digest, so their (few) values are
-    counted again by value, which is cheap because they are low-cardinality."""
-    lob_names = [pc.name for pc in cols if pc.type_class == LOB]
-    if not lob_names:
-        return domain_analysis(vc, distinct, distinct_min)
-    dom = domain_analysis(vc.where(~F.col("column_name").isin(lob_names)), distinct,
-                          distinct_min)
-    # Bounded collect: at most one name per long-text column.
-    low_lobs = [r["column_name"] for r in distinct.where(
-        F.col("column_name").isin(lob_names) & (F.col("no_distinct") < distinct_min)).collect()]
-    if not low_lobs:
-        return dom
-    vc_lob = value_counts(df, [pc for pc in cols if pc.name in low_lobs], digest_lob=False)
-    return dom.unionByName(domain_analysis(vc_lob, distinct, distinct_min))

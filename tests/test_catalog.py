@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -128,3 +129,34 @@ def test_profile_table_guards(spark):
     spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("tw_one_t")
     r = profile_table(spark, "tw_one_t").profile.collect()[0]
     assert (r["table_name"], r["row_count"]) == ("tw_one_t", 1)
+
+
+def test_jdbc_options_split_a_remote_scan():
+    from tablewright.sources.mirror import jdbc_options
+    assert jdbc_options("jdbc:x", "t", {"user": "u"}) == {"url": "jdbc:x", "dbtable": "t", "user": "u"}
+    split = jdbc_options("jdbc:x", "t", partition={"column": "id", "lower": 1, "upper": 9, "parts": 4})
+    assert split == {"url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": "1",
+                     "upperBound": "9", "numPartitions": "4"}
+
+
+def test_insert_keeps_given_ids_and_refuses_unknown_columns(spark):
+    from tablewright.operators.catalog import insert_rows
+    cat = [{"column_id": 1, "column_name": "id", "data_type": "bigint", "is_nullable": False, "is_identity": True,
+            "default_definition": None},
+           {"column_id": 2, "column_name": "v", "data_type": "string", "is_nullable": True, "is_identity": False,
+            "default_definition": None}]
+    batch = spark.createDataFrame([(7, "a"), (None, "b"), (None, "c")], "id long, v string")
+    old = spark.createDataFrame([(20, "z")], "id long, v string")
+    rows, bad = insert_rows(batch, cat, existing=old)
+    assert sorted((r["id"], r["v"]) for r in rows.collect()) == [(7, "a"), (21, "b"), (22, "c")]
+    assert bad.count() == 0
+    with pytest.raises(ValueError):
+        insert_rows(batch.withColumn("extra", F.lit(1)), cat)
+
+
+def test_gather_refuses_sources_that_differ(spark):
+    from tablewright.operators.reports import gather_across
+    a, b = spark.range(1), spark.range(1).withColumn("x", F.lit(1))
+    with pytest.raises(ValueError):
+        gather_across({"a": a, "b": b})
+    assert gather_across({"a": a, "b": b}, fill_missing=True).count() == 2

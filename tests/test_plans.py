@@ -51,15 +51,48 @@ def test_open_runs_latest_session_is_broadcast(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_profile_reads_each_column_once(spark):
-    import re
+def one_scan(plan, kind="FileScan"):
+    """One scan, one shuffle of value counts, hash aggregates alone."""
+    return (plan.count(kind) == 1 and plan.count("Exchange hashpartitioning(_ci#") == 2
+            and plan.count(", _v0#") >= 1 and "SortAggregate" not in plan
+            and "Window" not in plan and "Python" not in plan and "Union" not in plan)
+
+
+def test_profile_is_one_scan_and_one_value_shuffle(spark, tmpdir_path):
     from tablewright.operators.profile import profile
-    df = spark.read.parquet(f"{SF}/lineitem.parquet")
-    plan = plan_of(profile(df).profile)
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
-    cols = [f.split(":")[0] for s in schemas for f in s.split(",") if f]
-    assert sorted(cols) == sorted(df.columns)          # every column, each in one scan
-    assert "Window" not in plan and "Python" not in plan
+    from tablewright.plans.profiling import NULLS_COLS, _nulls_input
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert one_scan(plan_of(profile(li).profile))
+    li.limit(50).write.csv(tmpdir_path + "/csv", header=True)
+    csv = spark.read.schema(li.schema).csv(tmpdir_path + "/csv", header=True)
+    assert one_scan(plan_of(profile(csv).profile), "FileScan csv")
+    dec = li.select(*[F.col("l_quantity").cast(f"decimal({p},2)").alias(f"d{p}") for p in range(10, 18)])
+    assert one_scan(plan_of(profile(dec).profile))
+    nulls = plan_of(profile(_nulls_input(spark, SF), columns=[c for c, _, _ in NULLS_COLS]).profile)
+    assert nulls.count("FileScan") == 2 and nulls.count("Exchange hashpartitioning(_ci#") == 2
+
+
+def test_orphans_read_the_child_once(spark):
+    from tablewright.operators.checks import check_referential_integrity
+    o, li = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+    assert plan_of(check_referential_integrity(li, o, "l_orderkey", "o_orderkey")).count("FileScan parquet") == 2
+
+
+def test_ids_over_many_partitions(spark):
+    from tablewright.operators.reconcile import assign_sequential_ids
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), "id").repartition(500)
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = assign_sequential_ids(df, "k", "n", start=10)
+        plan = plan_of(out)
+        rows = sorted((r["n"], r["k"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "map(" not in plan and "keys: [" not in plan
+    assert [n for n, _ in rows] == list(range(10, 5010))
+    assert [k for _, k in rows] == sorted(k for _, k in rows)
 
 
 def test_job_history_step_filter_pushed(spark, tmpdir_path):

@@ -106,3 +106,19 @@ def test_sequential_ids_with_hot_order_value(spark):
     assert sorted(ids) == list(range(1, 3001))
     by_o = assign_sequential_ids(df, ["o"], "rid", 1).where("o > 0").orderBy("o").collect()
     assert [r["rid"] for r in by_o] == sorted(r["rid"] for r in by_o)
+
+
+def test_apply_then_reconcile_keeps_everything_with_null_and_repeated_keys(spark):
+    rows = [(None, "a", 1), (None, "b", 2), (1, "x", None), (1, "x", None), (2, "y", 5), (3, None, None)]
+    desired = spark.createDataFrame(rows, "k int, v string, w int")
+    actual = spark.createDataFrame([(None, "old", 0), (2, "old", 0), (9, "extra", 1)], "k int, v string, w int")
+    after = upsert_by_key(actual, desired, "k")
+    got = sorted(map(tuple, after.collect()), key=str)
+    assert got == sorted([(None, "a", 1), (1, "x", None), (2, "y", 5), (3, None, None), (9, "extra", 1)], key=str)
+    one = desired.groupBy("k").agg(F.min(F.struct("v", "w")).alias("s")).select("k", "s.*")
+    actions = {r["action"] for r in reconcile(one, after, "k", ["v", "w"]).collect()}
+    assert actions == {"keep"}
+    once = insert_if_absent(actual, desired, "k")
+    assert once.count() == 5 and insert_if_absent(once, desired, "k").count() == 5
+    ids = get_or_assign_ids(desired, actual.select("k", "w"), "k", "w").collect()
+    assert sorted((str(r["k"]), r["w"]) for r in ids) == [("1", 2), ("2", 0), ("3", 3), ("None", 0)]
