@@ -1,23 +1,17 @@
-"""Column helpers that carry the reference's scalar rules (T-SQL semantics) as Spark
-expressions. All of them are built-in expressions, so they stay inside whole-stage codegen."""
-
 from tablewright.functions.tsql import (
-    concat_nulls_as_empty,
     decode_status,
     hhmmss_minutes,
     int_div,
-    len_tsql,
-    looks_date,
-    looks_numeric,
+    looks_date_sql,
+    looks_numeric_sql,
     pct_of,
     quote_ident,
     second_boundaries,
-    time_of_day_nonzero,
-    seconds_nonzero,
+    seconds_nonzero_sql,
+    time_of_day_nonzero_sql,
 )
 
 __all__ = [
-    "concat_nulls_as_empty", "decode_status", "hhmmss_minutes", "int_div", "len_tsql", "looks_date",
-    "looks_numeric", "pct_of", "quote_ident", "second_boundaries", "time_of_day_nonzero",
-    "seconds_nonzero",
+    "decode_status", "hhmmss_minutes", "int_div", "looks_date_sql", "looks_numeric_sql", "pct_of",
+    "quote_ident", "second_boundaries", "seconds_nonzero_sql", "time_of_day_nonzero_sql",
 ]

@@ -1,4 +1,5 @@
-"""Scalar rules of the reference, written as Spark Column expressions."""
+"""Scalar rules of the reference: Column expressions, or SQL text where the wide profile
+aggregate is built from text. Each rule has one form."""
 
 from __future__ import annotations
 
@@ -24,48 +25,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def len_tsql(c) -> Column:
-    """LEN(): character count without trailing blanks (only 0x20 is trimmed)."""
-    return F.length(F.rtrim(_col(c)))
-
-
-def looks_numeric(c, pattern: str = NUMERIC_PATTERN) -> Column:
-    """Numeric-looking text (stand-in for ISNUMERIC = 1); NULL input counts as no."""
-    return F.coalesce(F.trim(_col(c)).rlike(pattern), F.lit(False))
-
-
-def looks_date(c, formats=DATE_FORMATS, shapes=DATE_SHAPES) -> Column:
-    """Date-looking text (stand-in for ISDATE = 1): has the shape of one of ``formats`` and
-    parses as a valid date/time under it. The shape test is a cheap regex, so the parser
-    (costly on failures) only sees plausible text."""
-    s = F.trim(_col(c))
-    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
-             for f, shape in zip(formats, shapes)]
-    return F.coalesce(*tries).isNotNull()
-
-
-def _is_ntz(dtype) -> bool:
-    return isinstance(dtype, T.TimestampNTZType)
-
-
-def time_of_day_nonzero(c, dtype) -> Column:
-    """Value is not at midnight (FLOOR of the day fraction differs from the value)."""
-    col = _col(c)
-    if _is_ntz(dtype):
-        return F.to_timestamp_ntz(F.to_date(col)) != col
-    return F.date_trunc("DAY", col) != col
-
-
-def seconds_nonzero(c, dtype) -> Column:
-    """Seconds or sub-seconds are not zero (DATEPART(ss) <> 0 OR DATEPART(mcs) <> 0)."""
-    col = _col(c)
-    if _is_ntz(dtype):
-        minute = F.make_timestamp_ntz(F.year(col), F.month(col), F.dayofmonth(col),
-                                      F.hour(col), F.minute(col), F.lit(0))
-        return minute != col
-    return F.date_trunc("MINUTE", col) != col
-
-
 def int_div(a, b) -> Column:
     """Integer division ``a div b``, exact at any bigint size."""
     return F.call_function("div", _col(a).cast("bigint"), _col(b).cast("bigint"))
@@ -123,12 +82,7 @@ def quote_ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def concat_nulls_as_empty(*cols) -> Column:
-    """T-SQL CONCAT: NULL parts count as empty text."""
-    return F.concat_ws("", *[_col(c) for c in cols])
-
-
-# --- the same rules as SQL text (one JVM-side parse instead of many py4j calls) ---------------
+# --- rules as SQL text (one JVM-side parse instead of many py4j calls) ----------------------
 
 def sql_str(s: str) -> str:
     """A Spark SQL string literal."""
@@ -139,15 +93,16 @@ _NUMERIC_FIRST = "('0','1','2','3','4','5','6','7','8','9','+','-','.')"
 
 
 def looks_numeric_sql(c: str, pattern: str = NUMERIC_PATTERN) -> str:
-    """Same rule as :func:`looks_numeric`; a first-character test skips the regex for text
-    that cannot match (the pattern starts with a digit, a sign or a dot)."""
+    """Numeric-looking text (stand-in for ISNUMERIC = 1); NULL counts as no. A first-character
+    test skips the regex for text that cannot match (it starts with a digit, sign or dot)."""
     t = f"trim({c})"
     return f"coalesce(substr({t}, 1, 1) IN {_NUMERIC_FIRST} AND {t} RLIKE r'{pattern}', false)"
 
 
 def looks_date_sql(c: str, formats=DATE_FORMATS, shapes=DATE_SHAPES) -> str:
-    """Same rule as :func:`looks_date`; every shape starts with a digit, so other text is
-    skipped before any regex or parse."""
+    """Date-looking text (stand-in for ISDATE = 1): has the shape of one of ``formats`` and
+    parses as a valid date/time under it. Every shape starts with a digit, so other text is
+    skipped before any regex or parse; the parser only sees plausible text."""
     t = f"trim({c})"
     tries = ", ".join(f"CASE WHEN {t} RLIKE r'{shape}' THEN try_to_timestamp({t}, '{f}') END"
                       for f, shape in zip(formats, shapes))
@@ -156,12 +111,14 @@ def looks_date_sql(c: str, formats=DATE_FORMATS, shapes=DATE_SHAPES) -> str:
 
 
 def time_of_day_nonzero_sql(c: str, ntz: bool) -> str:
+    """Value is not at midnight (FLOOR of the day fraction differs from the value)."""
     if ntz:
         return f"(CAST(CAST({c} AS DATE) AS TIMESTAMP_NTZ) <> {c})"
     return f"(date_trunc('DAY', {c}) <> {c})"
 
 
 def seconds_nonzero_sql(c: str, ntz: bool) -> str:
+    """Seconds or sub-seconds are not zero (DATEPART(ss) <> 0 OR DATEPART(mcs) <> 0)."""
     if ntz:
         return (f"(make_timestamp_ntz(year({c}), month({c}), day({c}), hour({c}), minute({c}), 0)"
                 f" <> {c})")

@@ -4,7 +4,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tablewright.functions import (
-    decode_status, hhmmss_minutes, int_div, len_tsql, looks_date, looks_numeric, pct_of,
+    decode_status, hhmmss_minutes, int_div, looks_date_sql, looks_numeric_sql, pct_of,
     quote_ident, second_boundaries,
 )
 
@@ -13,11 +13,6 @@ def one(spark, rows, schema, expr):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
 
 
-def test_len_ignores_trailing_blanks_only(spark):
-    got = one(spark, [("ab  ",), ("  ab",), ("",), (None,)], "s string", len_tsql("s"))
-    assert got == [2, 4, 0, None]
-
-
 def test_hhmmss_minutes(spark):
     vals = [0, 28, 29, 30, 5959, 10129, 235959]
     got = one(spark, [(v,) for v in vals], "d int", hhmmss_minutes("d"))
@@ -31,14 +26,14 @@ def test_decode_status(spark):
 
 def test_looks_numeric(spark):
     vals = ["12", "1e5", ".5", "NaN", "12f", "", " 7 ", "-3.5E-2", "1.2.3", None]
-    got = one(spark, [(v,) for v in vals], "s string", looks_numeric("s"))
+    got = one(spark, [(v,) for v in vals], "s string", F.expr(looks_numeric_sql("s")))
     assert got == [True, True, True, False, False, False, True, True, False, False]
 
 
 def test_looks_date(spark):
     vals = ["2018-03-29", "20180329", "2018", "13/45/2018", "03/29/2018",
             "2018-03-29 10:11:12", "2018-02-30", None]
-    got = one(spark, [(v,) for v in vals], "s string", looks_date("s"))
+    got = one(spark, [(v,) for v in vals], "s string", F.expr(looks_date_sql("s")))
     assert got == [True, True, False, False, True, True, False, False]
 
 
@@ -49,6 +44,11 @@ def test_pct_of_multiplies_before_dividing(spark):
                    Decimal("0.0000"), None]
 
 
+def test_pct_of_beyond_bigint_products(spark):
+    got = one(spark, [(5 * 10**12, 10**13), (9 * 10**18, 9 * 10**18)], "n bigint, t bigint", pct_of("n", "t"))
+    assert got == [Decimal("50.0000"), Decimal("100.0000")]
+
+
 def test_int_div_large_values(spark):
     got = one(spark, [(4_611_686_018_427_387_903, 7)], "a bigint, b bigint", int_div("a", "b"))
     assert got == [4_611_686_018_427_387_903 // 7]
