@@ -218,7 +218,9 @@ def near_edges(points: DataFrame, distance: int) -> DataFrame:
     total = points.count()
     shards = min(MAX_SHARDS, max(1, math.ceil(total / SHARD_POINTS)))
     wanted = shards * SAMPLE_PER_SHARD if shards > 1 else 0
-    sample = np.array([r.fp for r in points.orderBy(F.xxhash64("fp")).limit(wanted).collect()] if wanted else [],
+    # picked by hash before anything is sent: ``wanted`` to twice as many fingerprints
+    picked = points.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, total // max(wanted, 1)))) == 0).select("fp")
+    sample = np.array(sorted(r.fp for r in picked.limit(4 * wanted).collect()) if wanted else [],
                       np.int64).view(np.uint64)
     tree, leaves = fit_tree(sample, SAMPLE_PER_SHARD, distance) if shards > 1 else (Node(leaf=0), 1)
     if distance != 2:                   # the keys know distance two alone
