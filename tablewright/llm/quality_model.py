@@ -217,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
         value = 0.0 if not rows.any() else 50.0 if rows[1] else -50.0
         return Model(ratio * 0, ratio * 0, value)
     # the bounded sample is chosen among the labels, so that no text is shuffled for it
-    chosen = [marks.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
+    # (picked by hash first, so that an ordered limit has little to order)
+    chosen = [marks.filter((F.col("label") == y) & (F.pmod(F.xxhash64("id"), F.lit(max(1, int(rows[y]) // most))) == 0))
+              .orderBy(F.xxhash64("id", F.lit(y)), "id").limit(most) for y in (0, 1)]
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("id", "text", "label")
 
     def learn(batches):
