@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,6 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablewright.session import materialize  # noqa: F401  (re-exported for the operators)
 
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers find the package where the driver found it, whatever folder they
+    start in. (On machines without that folder it is shipped as usual, by --py-files.)"""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
@@ -31,6 +45,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def quoted(df: DataFrame, name: str) -> Column:
+    """A column by its plain name; every operator names its columns by this."""
+    reach_workers(df.sparkSession)
     return df["`" + name.replace("`", "``") + "`"]
 
 
