@@ -34,6 +34,7 @@ from tablewright.llm.quality_rules import SPACE, let
 BUCKETS = 1024          # hashed words
 EVIDENCE = 50.0         # words that the posterior may count on
 ROUNDS = 40
+BLOCK = 8               # rounds after which the present rates are written
 DONE = 1e-4             # largest change of a domain's total, in shares of its target
 
 
@@ -53,6 +54,12 @@ class Classifier:
     prior: list[float]
     logs: list[list[float]]         # of each domain and bucket
 
+    def rows(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, n, p): number of words and posterior of each row."""
+        d = pick(docs, id=id_col, text=text_col).select("id", hashed_words(F.col("text")).alias("_words"))
+        p = self.posteriors(F.col("_words")) if self.domains else F.array().cast("array<double>")
+        return d.select("id", F.size("_words").cast("long").alias("n"), p.alias("p"))
+
     def posteriors(self, buckets: Column) -> Column:
         """Array of the domains' posteriors, from the hash buckets of the words."""
         def adds(logs):
@@ -99,12 +106,13 @@ class Mix:
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
-    def rate(self, p: Column) -> Column:
-        start = F.lit(float(max(self.floor, 1.0)))
-        if not self.steps:
+    def rate(self, p: Column, start: Column | None = None, after: int = 0) -> Column:
+        """The rate of a posterior after all steps, or from ``start`` on those since ``after``."""
+        start = F.lit(float(max(self.floor, 1.0))) if start is None else start
+        if not self.steps[after:]:
             return start
         steps = F.expr("array(" + ", ".join(
-            "array(" + ", ".join(f"{v!r}D" for v in g) + ")" for g in self.steps) + ")")
+            "array(" + ", ".join(f"{v!r}D" for v in g) + ")" for g in self.steps[after:]) + ")")
 
         def step(r, g):
             pull = sum((F.get(p, F.lit(k)) * F.get(g, F.lit(k)) for k in range(len(self.domains))), F.lit(0.0))
@@ -124,9 +132,11 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], bu
     if not sum(known):
         return mix
 
+    state, done = rows.select("n", "p", F.lit(float(max(floor, 1.0))).alias("r")), 0
+
     def totals(rate):
-        got = rows.agg(*[F.coalesce(F.sum(rate * F.col("n") * F.get("p", F.lit(k))), F.lit(0.0)).alias(f"s{k}")
-                         for k in range(len(domains))]).first()
+        got = state.agg(*[F.coalesce(F.sum(rate * F.col("n") * F.get("p", F.lit(k))), F.lit(0.0)).alias(f"s{k}")
+                          for k in range(len(domains))]).first()
         return list(got)
 
     share = [w / sum(known) for w in known]
@@ -135,12 +145,15 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], bu
         budget = max(n / w for n, w in zip(mix.present, share) if w)
     mix.targets = [budget * w for w in share]
     scale = [max(n, 1e-9 * (sum(mix.present) or 1.0)) for n in mix.present]
-    mix.reached = mix.present if floor <= 1 else totals(mix.rate(F.col("p")))
+    mix.reached = mix.present if floor <= 1 else totals(F.col("r"))
     for _ in range(rounds):
         mix.steps.append([(s - t) / n for s, t, n in zip(mix.reached, mix.targets, scale)])
-        before, mix.reached = mix.reached, totals(mix.rate(F.col("p")))
+        present = mix.rate(F.col("p"), F.col("r"), done)
+        before, mix.reached = mix.reached, totals(present)
         if all(abs(a - b) <= DONE * max(t, DONE * budget) for a, b, t in zip(before, mix.reached, mix.targets)):
             break
+        if len(mix.steps) - done == BLOCK:       # else each round would walk all steps before it
+            state, done = materialize(state.select("n", "p", present.alias("r")), "rates"), len(mix.steps)
     return mix
 
 
@@ -154,19 +167,23 @@ def copies(rate: Column, id_: Column) -> Column:
 class Mixer:
     classifier: Classifier
     mix: Mix
+    fitted: DataFrame | None = None         # id, n, p of the rows that the rates were fitted to
 
     def rated(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """id, n_tokens, domain, one p_<domain> for each domain, rate and copies of each row."""
-        names = self.classifier.domains
-        d = pick(docs, id=id_col, text=text_col).select("id", hashed_words(F.col("text")).alias("_words"))
-        d = d.select("id", F.size("_words").cast("long").alias("n_tokens"),
-                     self.classifier.posteriors(F.col("_words")).alias("_p") if names else F.lit(None).alias("_p"))
-        p = F.col("_p")
+        return self._rated(self.classifier.rows(docs, id_col, text_col), id_col)
+
+    def rated_fitted(self, id_col: str = "doc_id") -> DataFrame:
+        """The same for the rows that the rates were fitted to; their texts aren't read again."""
+        return self._rated(self.fitted, id_col)
+
+    def _rated(self, rows, id_col):
+        names, p = self.classifier.domains, F.col("p")
         best = F.lit(None).cast("string") if not names else F.get(
             F.expr("array(" + ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names) + ")"),
             F.array_position(p, F.array_max(p)).cast("int") - 1)
-        d = d.select("*", self.mix.rate(p).alias("rate"))
-        return d.select(F.col("id").alias(id_col), "n_tokens", best.alias("domain"),
+        d = rows.select("id", F.col("n").alias("n_tokens"), "p", best.alias("domain"), self.mix.rate(p).alias("rate"))
+        return d.select(F.col("id").alias(id_col), "n_tokens", "domain",
                         *[F.get(p, F.lit(k)).alias(f"p_{n}") for k, n in enumerate(names)],
                         "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
 
@@ -175,19 +192,17 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         floor: float = 1.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> Mixer:
     """Learn the classifier and the rates that bring ``docs`` to the target weights."""
     classifier = fit_classifier(docs, labelled, id_col, text_col, domain_col)
+    rows = materialize(classifier.rows(docs, id_col, text_col), "posteriors")
     if not classifier.domains:
-        return Mixer(classifier, Mix([], floor))
-    rows = pick(docs, text=text_col).select(hashed_words(F.col("text")).alias("_words"))
-    rows = materialize(rows.select(F.size("_words").cast("long").alias("n"),
-                                   classifier.posteriors(F.col("_words")).alias("p")), "posteriors")
-    return Mixer(classifier, fit_rates(rows, classifier.domains, weights, budget, floor))
+        return Mixer(classifier, Mix([], floor), rows)
+    return Mixer(classifier, fit_rates(rows, classifier.domains, weights, budget, floor), rows)
 
 
 def mixed_rows(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its copies say; all columns as they are."""
     many, copy = fresh(docs, "_copies"), fresh(docs, "_copy")
     p = mixer.classifier.posteriors(hashed_words(quoted(docs, text_col)))
-    rate = let(p, mixer.mix.rate) if mixer.classifier.domains else mixer.mix.rate(F.lit(None))
+    rate = let(p, lambda x: mixer.mix.rate(x)) if mixer.classifier.domains else mixer.mix.rate(F.lit(None))
     d = docs.withColumn(many, copies(rate, quoted(docs, id_col)))
     # an outer explode: no filter is inferred from it that would compute the rate twice
     d = d.withColumn(copy, F.explode_outer(F.when(F.col(many) > 0, F.sequence(F.lit(1), F.col(many)))))

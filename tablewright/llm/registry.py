@@ -145,8 +145,7 @@ def mixer(docs: DataFrame, sf_dir: str) -> mixing.Mixer:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return mixer(docs, sf_dir).rated(docs)
+    return mixer(documents(spark, sf_dir), sf_dir).rated_fitted()
 
 
 QUERIES = {
