@@ -39,7 +39,7 @@ from tablewright.llm.common import column_bytes, materialize, mix64, pick, slice
 SIZE = 100
 GRAM = 40
 LEAD = 16                    # bytes of the splitters
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 PART_BYTES = 16 << 20        # text for each part and bucket
 MAX_PARTS = 20_000
 MAX_SAMPLE = 20_000          # splitters are chosen from so many sampled strings
@@ -220,14 +220,19 @@ def repeated_anchors(texts: DataFrame, parts: int, size: int, gram: int) -> Data
         send, "part int, known boolean, blob binary").groupBy("part").applyInPandas(match, "dh long, pos long")
 
 
-def splitters(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Leading strings that cut the sampled suffixes into ``buckets`` even ranges."""
+def splitters(texts: DataFrame, buckets: int, rows: int) -> np.ndarray:
+    """Leading strings that cut the sampled suffixes into ``buckets`` even ranges.
+
+    A hash picks about 64 of ``rows`` texts for each bucket, ``MAX_SAMPLE`` at most, before
+    anything is sent (an ordered limit would send so many from every task).
+    """
+    wanted = min(MAX_SAMPLE, 64 * buckets)
     if buckets < 2:
         return np.zeros(0, f"S{LEAD}")
     place = F.pmod(F.xxhash64("dh", F.lit("place")), F.octet_length("text")).cast("int") + 1
     lead = F.substring(F.col("text").cast("binary"), place, F.lit(LEAD))
-    got = texts.select(F.xxhash64("dh", F.lit("lead")).alias("h"), lead.alias("lead")).orderBy("h", "lead").limit(
-        min(MAX_SAMPLE, 64 * buckets)).collect()
+    picked = texts.filter(F.pmod(F.xxhash64("dh", F.lit("lead")), F.lit(max(1, rows // wanted))) == 0)
+    got = picked.select(lead.alias("lead")).limit(4 * MAX_SAMPLE).collect()
     lead = np.sort(np.array([bytes(r.lead) for r in got], f"S{LEAD}"))
     return np.unique(lead[np.linspace(0, len(lead), buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
 
@@ -337,7 +342,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         F.max(F.octet_length("text")).cast("long").alias("n_bytes"), F.count(F.lit(1)).cast("int").alias("copies")), "meta")
     first = meta.filter(F.col("n_bytes") >= size).groupBy("sha", "dh").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id"))
-    total = meta.agg(F.sum("n_bytes")).first()[0] or 0
+    total, n_rows = meta.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(MAX_PARTS, max(least, math.ceil(total / PART_BYTES))))
     long_ = rows.filter(F.octet_length("text") >= size)
@@ -350,7 +355,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         met = texts.join(k, F.col("t.id").eqNullSafe(F.col("k_id")) & (F.col("t.dh") == F.col("k_dh")))
         return met.select("id", "dh", "text", extra)
 
-    cuts = splitters(long_, parts)
+    cuts = splitters(long_, parts, n_rows)
     stretches = materialize(repeated_stretches(with_texts(wanted, "places"), cuts, parts, size, gram), "stretches")
     spans = stretches.groupBy(F.when(F.col("id") != int(LAST), F.col("id")).alias("id"), "dh").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
