@@ -55,6 +55,20 @@ def test_disguises_map_to_their_source():
         assert (kind, source, True) in found(text), (text, found(text))
 
 
+def test_disguises_of_short_texts_with_other_domains():
+    """Nothing else in the text hints at a disguise: no "@", no "dot", no listed top-level domain."""
+    for text, kind in [("anna [at] firma.nl", "email"), ("max (at) uni.ch", "email"), ("x <at> y.ru", "email"), ("a{ AT }b.pl", "email"),
+                       ("10{.}0{.}0{.}1", "ip"), ("192[ . ]168[ . ]0[ . ]1", "ip"), ("10<.>0<.>0<.>1", "ip"), ("10(.)0[.]0{.}1", "ip")]:
+        assert found(text) == [(kind, text, True)], (text, found(text))
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from([*"[({<])}> .@1ab\n", "at", "AT", "dot", "punkt", "punto", "point", ".nl", ".com", " at ", " dot ", "{.}"]), max_size=14))
+def test_signs_are_as_wide_as_the_disguises(pieces):
+    text = "".join(pieces)
+    assert pii.signs(text)[2] == bool(list(pii.disguise_edits(text)))
+
+
 def test_clean_texts_stay_clean():
     for text in ["the at ereandha of ornd. At titi the dot com", "look at this. And that one, or two, three of four.",
                  "one two three four five", "we met at ten. Fine.", "Größe naïve — “quoted” – dash", "point one, point two",
