@@ -2,6 +2,8 @@
 oracle on the sf0.001 tables (row count, column names, order-insensitive value hash)."""
 
 import os
+import shutil
+import subprocess
 import sys
 
 import pytest
@@ -40,6 +42,22 @@ def test_oracle_keys_are_queries():
     assert set(QUERIES) <= set(entry_mod.queries())
 
 
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_entry_without_the_optional_parts(tmp_path, pipeline_too):
+    """A copy without the training-data operators keeps all the other queries."""
+    root = os.path.dirname(os.path.abspath(entry_mod.__file__))
+    shutil.copytree(os.path.join(root, "tablewright"), tmp_path / "tablewright",
+                    ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    if pipeline_too:
+        shutil.copy(os.path.join(root, "corpus_pipeline.py"), tmp_path)
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); e.oracle_sql()"],
+        cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split() == sorted(QUERIES)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     from oracle_check import digest
