@@ -96,3 +96,18 @@ def rolling_hash(units: np.ndarray, width: int) -> np.ndarray:
             base = base[:n] * power + base[span:span + n]
             span, power = span * 2, power * power
     return out
+
+
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values the place of its leftmost smallest one, whole
+    values compared: what decides depends on the content of the window alone."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    cur, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        left, right = cur[:len(cur) - step], cur[step:]
+        cur = np.where(values[right] < values[left], right, left)
+        span += step
+    return cur

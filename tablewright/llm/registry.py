@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, mixing, passage_dedup, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
+from tablewright.llm import bpe, exact_dedup, language_id, mixing, passage_dedup, periodic_runs, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
 from tablewright.llm.common import documents, labels, rest_of
 
 
@@ -148,6 +148,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixer(documents(spark, sf_dir), sf_dir).rated_fitted()
 
 
+WORD_GAP = r"[\x20\x09-\x0D]+"
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The query's texts: with h = crc32(doc_id) divisible by ten, each word i >= a is word
+    a + (i - a) % p, where g = h / 10, a = g % n, p = 1 + (n - a) / (3 + g % 8)."""
+    words = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).select(
+        "doc_id", "text", F.expr("h div 10").alias("g"), F.when(F.col("h") % 10 == 0, F.filter(
+            F.split("text", WORD_GAP), lambda w: w != "")).alias("words"))
+    placed = words.withColumn("n", F.size("words").cast("long")).withColumn("a", F.expr("g % n")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("array_join(transform(words, (w, i) -> "
+                  "if(i < a, w, element_at(words, cast(a + (i - a) % p as int) + 1))), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeated_tails(documents(spark, sf_dir)), min_length=12)
+    best = found.withColumn("best", F.when(F.size("runs") > 0, periodic_runs.longest_run(F.col("runs"))))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_list(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -159,6 +185,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
