@@ -31,6 +31,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (compared without case)."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, mixing, passage_dedup, periodic_runs, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
-from tablewright.llm.common import documents, labels, rest_of
+from tablewright.llm import bpe, exact_dedup, hard_negatives, language_id, mixing, passage_dedup, periodic_runs, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
+from tablewright.llm.common import documents, embeddings, labels, rest_of
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir), F.col("id") % 100 == 0, label=moved)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -186,6 +191,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
