@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, exact_dedup, hard_negatives, language_id, mixing, passage_dedup, periodic_runs, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
+from tablewright.llm import bpe, exact_dedup, hard_negatives, jaccard_join, language_id, mixing, passage_dedup, periodic_runs, pii, quality_model, quality_rules, simhash_dedup, suffix_dedup
 from tablewright.llm.common import documents, embeddings, labels, rest_of
 
 
@@ -148,6 +148,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixer(documents(spark, sf_dir), sf_dir).rated_fitted()
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir), gram=4, percent=85)
+
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -190,6 +194,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_hard_negatives": op13_hard_negatives,
 }
