@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import quote_ident
 from tablewright.operators.checks import row_checks
+from tablewright.operators.keys import enforce_keys, key_constraints
 from tablewright.operators.reconcile import assign_sequential_ids
 
 
@@ -104,9 +105,13 @@ def insertable_columns(catalog: DataFrame) -> DataFrame:
 
 
 def insert_rows(batch: DataFrame, catalog_rows, *, order=None, start_id: int = 1,
-                existing: DataFrame | None = None):
+                existing: DataFrame | None = None, keys=None):
     """M-06: the rows the generated insert routine would write: given columns from the
-    batch, defaults for missing ones, NOT NULL checked. Returns (rows, errors).
+    batch, defaults for missing ones, NOT NULL and keys checked. Returns (rows, errors).
+
+    Keys are those flagged in the catalogue (``is_primary_key``, ``is_unique_key``) or
+    ``keys``, a list of :class:`KeyConstraint`. Rows that repeat a key of the target or of an
+    earlier row (in ``order``) are refused with the names of the constraints.
 
     Identity values that the batch brings are kept (S-08); rows without one get the next
     values in ``order``, after the largest of ``start_id - 1``, the ids of the target
@@ -135,7 +140,12 @@ def insert_rows(batch: DataFrame, catalog_rows, *, order=None, start_id: int = 1
     good, bad = row_checks(out, rules) if rules else (out, out.where(F.lit(False)))
     if identity is not None:
         good = _identified(good, identity, batch.columns, order, start_id, existing)
-    return good.select(*[quote_ident(n) for n in names]), bad
+    good = good.select(*[quote_ident(n) for n in names])
+    keys = key_constraints(cols) if keys is None else keys
+    if not keys:
+        return good, bad
+    good, clashing = enforce_keys(good, keys, order=order, existing=existing)
+    return good, bad.unionByName(clashing, allowMissingColumns=True)
 
 
 def _identified(rows, identity, given, order, start_id, existing):
@@ -154,7 +164,7 @@ def _identified(rows, identity, given, order, start_id, existing):
 
 
 def append_rows(batch: DataFrame, catalog_rows, target: str, *, order=None, start_id: int = 1,
-                fmt: str = "parquet"):
+                fmt: str = "parquet", keys=None):
     """M-06 with the append itself: ``insert_rows`` numbered on from the ids of the table at
     path ``target`` (none yet: from ``start_id``), written in one append job. Returns
     (rows written, errors)."""
@@ -164,5 +174,5 @@ def append_rows(batch: DataFrame, catalog_rows, target: str, *, order=None, star
     where = jvm.org.apache.hadoop.fs.Path(target)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
     existing = spark.read.format(fmt).load(target) if there else None
-    rows, bad = insert_rows(batch, catalog_rows, order=order, start_id=start_id, existing=existing)
+    rows, bad = insert_rows(batch, catalog_rows, order=order, start_id=start_id, existing=existing, keys=keys)
     return move_to_target(rows, target, fmt=fmt), bad

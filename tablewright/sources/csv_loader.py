@@ -9,7 +9,9 @@ Steps, each a Spark job over file splits (nothing passes through the driver):
    checkpoint location (cuts lineage; a lost executor re-runs only its own tasks), while
    ``observe`` counts rows and rejects in the same job.
 3. The error budget is checked before anything reaches the target; rejects go to an
-   error folder.
+   error folder. With a budget a second job reads the malformed lines alone while the first
+   one stages; its tasks add to an accumulator, and both jobs are cancelled as soon as it is
+   past the budget, so a faulty file is not read to its end.
 4. ``strip_quotes``, then ``cast_to_target``: checked casts (``try_cast``); a value that
    is present but does not convert is a cast error. A lenient load diverts such rows, with
    their source text and the failing columns, to the error folder.
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import logging
+import uuid
 
+from pyspark import AccumulatorParam, InheritableThread, TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,6 +135,84 @@ def move_to_target(df: DataFrame, target: str, *, fmt: str = "parquet", mode: st
     return int(obs.get.get("written", 0))
 
 
+class _PerTask(AccumulatorParam):
+    """Malformed lines by partition: a partition that runs again counts once."""
+
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, a, b):
+        return {**a, **{k: v for k, v in b.items() if len(v) > len(a.get(k, ()))}}
+
+
+def _watch_rejects(rejects: DataFrame, budget: int, group: str, staging) -> list | None:
+    """Read the malformed lines while ``staging`` (a thread) runs. Past ``budget`` all jobs of
+    ``group`` are cancelled and the lines seen so far returned (a task leaves off on its own
+    once it has more than the budget, so they are few); otherwise None."""
+    sc = rejects.sparkSession.sparkContext
+    seen = sc.accumulator({}, _PerTask())
+
+    def collect(batches):
+        lines = []
+        for batch in batches:
+            lines += batch.column("raw_line").to_pylist()[:budget + 1 - len(lines)]
+            if len(lines) > budget:
+                break
+        seen.add({TaskContext.get().partitionId(): lines})
+        yield from ()
+
+    def read():
+        sc.setJobGroup(group, "read malformed lines", interruptOnCancel=True)
+        try:
+            rejects.select("raw_line").mapInArrow(collect, "raw_line string").write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001 – cancelled, or failed as the staging will
+            log.info("The reading of malformed lines was ended")
+
+    def over():
+        return sum(map(len, seen.value.values())) > budget
+
+    reader = InheritableThread(target=read)
+    reader.start()
+    while reader.is_alive() and not over():
+        reader.join(0.05)
+    if not over():
+        return None
+    while reader.is_alive() or staging.is_alive():      # also a job that starts only now
+        sc.cancelJobGroup(group)
+        reader.join(0.05)
+        staging.join(0.05)
+    return [line for lines in seen.value.values() for line in lines]
+
+
+def _stage(spark, parsed: DataFrame, rejects: DataFrame, budget: int | None, path: str, error_path: str) -> dict:
+    """Write the parsed lines to ``path``; returns the counts of rows and rejects. Raises
+    :class:`ErrorBudgetExceeded` as soon as more than ``budget`` lines are known to be bad."""
+    obs = Observation("stage")
+    counted = parsed.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(BAD).isNotNull()).alias("rejected"))
+    if budget is None:
+        counted.write.mode("overwrite").parquet(path)
+        return obs.get
+    group, failure = f"load-{uuid.uuid4().hex}", []
+
+    def write():
+        spark.sparkContext.setJobGroup(group, "stage", interruptOnCancel=True)
+        try:
+            counted.write.mode("overwrite").parquet(path)
+        except Exception as e:  # noqa: BLE001 – raised below unless it was cancelled
+            failure.append(e)
+
+    writer = InheritableThread(target=write)
+    writer.start()
+    lines = _watch_rejects(rejects, budget, group, writer)
+    if lines is not None:
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{error_path}/rejects")
+        raise ErrorBudgetExceeded(f"More than {budget} rejected rows: the load was ended early")
+    writer.join()
+    if failure:
+        raise failure[0]
+    return obs.get
+
+
 def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType, *,
              header: bool = True, sep: str = ",", quoting: str = "csv", max_errors: int | None = 100,
              error_path: str | None = None, strict: bool = True, strip: bool = True,
@@ -138,8 +220,9 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
     """The whole staged load, Spark-first. Returns a one-row status frame:
     rows_read, rejected, cast_errors, written, error_path.
 
-    Raises :class:`ErrorBudgetExceeded` past ``max_errors`` rejects and, when ``strict``,
-    :class:`CastErrors` on any cast error – in both cases before the target is touched.
+    Raises :class:`ErrorBudgetExceeded` past ``max_errors`` rejects (as soon as they are seen,
+    without reading on) and, when ``strict``, :class:`CastErrors` on any cast error – in both
+    cases before the target is touched. The rejects seen until then are in the error folder.
     A lenient load writes the rows that do not convert as JSON (source text of every column
     and ``cast_errors``) to ``<error_path>/cast_errors``; malformed lines are text files in
     ``<error_path>/rejects``. So read = rejected + cast errors + written, each of them on disk.
@@ -148,20 +231,17 @@ def load_csv(spark: SparkSession, path, target: str, target_schema: T.StructType
     parsed = parse_csv(spark, path, target_schema, header=header, sep=sep, quoting=quoting)
     # Stage once: the parsed text with the reject marker, counted in the same job.
     staged_path = f"{base}/staging"
-    obs = Observation("stage")
-    (parsed.observe(obs, F.count(F.lit(1)).alias("rows"),
-                    F.count_if(F.col(BAD).isNotNull()).alias("rejected"))
-           .write.mode("overwrite").parquet(staged_path))
-    counts = obs.get
-    log.info("A total of %s line(s) staged in %s (%s rejected)", counts.get("rows"),
-             staged_path, counts.get("rejected"))
-    staged = spark.read.parquet(staged_path)
-    good, rejects = split_rejects(staged, target_schema, sep=sep, quoting=quoting)
-    n_rejected = int(counts.get("rejected", 0))
     if error_path is None:
         stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
         error_path = f"{base}/Error{stamp}"
     try:
+        counts = _stage(spark, parsed, split_rejects(parsed, target_schema, sep=sep, quoting=quoting)[1],
+                        max_errors, staged_path, error_path)
+        log.info("A total of %s line(s) staged in %s (%s rejected)", counts.get("rows"),
+                 staged_path, counts.get("rejected"))
+        staged = spark.read.parquet(staged_path)
+        good, rejects = split_rejects(staged, target_schema, sep=sep, quoting=quoting)
+        n_rejected = int(counts.get("rejected", 0))
         if n_rejected:
             rejects.select("raw_line").write.mode("overwrite").text(f"{error_path}/rejects")
         if max_errors is not None and n_rejected > max_errors:
