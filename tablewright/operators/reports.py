@@ -150,6 +150,32 @@ def permission_report(per_database: dict) -> DataFrame:
     return gather_across(frames, source_col="database")
 
 
+def entitlement_matrix(principals: DataFrame, databases: DataFrame, *, role: str = "db_datareader",
+                       principal_type: str = "U", include: str = "%", exclude=(), exclude_names=(),
+                       exclude_databases=("master", "model", "msdb", "tempdb", "distribution"),
+                       max_databases: int = 10_000) -> DataFrame:
+    """J-08/M-07: (user_name, database_name, role_name) for every principal of the wanted type
+    whose name is LIKE ``include`` and none of ``exclude`` (LIKE patterns) or
+    ``exclude_names``, and every database that is not excluded.
+
+    principals(name, type), databases(name). No join: the databases left after the filter are
+    the short side; their names are counted first and refused beyond ``max_databases``, then
+    each principal's row is exploded by them. So the work is spread as the principals are,
+    and no row is made that a filter would drop.
+    """
+    left = databases.where(~F.col("name").isin(list(exclude_databases))).select("name").distinct()
+    names = sorted(r["name"] for r in left.limit(max_databases + 1).collect())
+    if len(names) > max_databases:
+        raise ValueError(f"More than {max_databases} databases: name those to leave out")
+    keep = (F.col("type") == principal_type) & F.col("name").like(include) & ~F.col("name").isin(list(exclude_names))
+    for pattern in [exclude] if isinstance(exclude, str) else exclude:
+        keep = keep & ~F.col("name").like(pattern)
+    return principals.where(keep).select(
+        F.col("name").alias("user_name"),
+        F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("database_name"),
+        F.lit(role).alias("role_name")).orderBy("user_name", "database_name")
+
+
 def status_counts(history: DataFrame, status_col: str = "run_status") -> DataFrame:
     """P-09 applied: runs per status code with the decoded label."""
     return (history.groupBy(status_col)

@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def registry():
     """(queries, oracle_sql) merged over all plan families."""
-    from tablewright.plans import catalog, loading, profiling, reconciling, reports
+    from tablewright.plans import catalog, loading, maintaining, profiling, reconciling, reports
     queries, oracle = {}, {}
-    for mod in (profiling, reports, reconciling, loading, catalog):
+    for mod in (profiling, reports, reconciling, loading, catalog, maintaining):
         queries.update(mod.QUERIES)
         oracle.update(mod.ORACLE)
     return queries, oracle
