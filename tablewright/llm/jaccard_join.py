@@ -12,7 +12,8 @@ a 64-bit hash of the whole set. Two sets link when ``100 * both >= percent * eit
    entry names the set, its size and the gram's position. Lists are sorted by size and read in
    blocks; a pair of blocks is skipped when its sizes or positions allow no link, or when all
    its sets are linked already. What several lists say of a pair is added up, and the pair is
-   dropped when the grams left after its last common position can't make up a link.
+   dropped when the grams left after its last common position, or after the prefix that ends
+   first, can't make up a link.
 3. For a remaining pair (x, y) with leaders (p, q) the overlap of the leaders is computed once;
    |x and y| lies between it less |p - x| + |q - y| and it plus |x - p| + |y - q|. That decides
    most pairs; for the others the overlap is computed.
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.blobs import by_part, pack, rolling_hash, small, unpack, wide
 from tablewright.llm.common import column_bytes, materialize, mix64, pick, slices, text_lengths
@@ -61,7 +62,9 @@ def needed(na, nb, percent: int):
 
 
 def prefix_length(n, percent: int):
-    return n - (-(-percent * n // 100)) + 1
+    """Grams of a set of n that hold one of any linked set's (numbers, arrays or columns)."""
+    least = F.ceil(percent * n / 100) if isinstance(n, Column) else -(-percent * n // 100)
+    return n - least + 1
 
 
 def _cut(batches, rows=1 << 16):
@@ -434,6 +437,9 @@ def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
                                            F.count(F.lit(1)).alias("common"), F.max("i").alias("i"), F.max("j").alias("j"))
     # grams are in one order: what is common besides comes after the last common position
     most = F.col("common") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
+    # and what is common in the prefix that ends first is counted whole: the rest is after it
+    most = F.least(most, F.col("common") + F.greatest(
+        *[F.col(c) - prefix_length(F.col(c), percent) for c in ("na", "nb")]))
     return together.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
