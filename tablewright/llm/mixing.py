@@ -4,7 +4,7 @@ A classifier learned from a labelled table (id, domain) gives each document a po
 the domains: multinomial naive Bayes over hashed words, its evidence held to that of
 ``EVIDENCE`` words so that the posterior stays soft. A document of ``n`` words and posterior
 ``p`` at rate ``r`` adds ``r * n * p[k]`` expected words to domain ``k``. Projected gradient
-descent fits rates of at least ``floor`` to the target totals by least squares, the error of
+descent fits rates of at least ``floor`` (zero: any nonnegative rate) to the target totals by least squares, the error of
 a domain measured against its present words. In the metric of document lengths a step is
 
     r <- max(floor, r - sum_k p[k] * (S[k] - T[k]) / N[k])
@@ -122,10 +122,11 @@ class Mix:
 
 
 def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None,
-              floor: float = 1.0, rounds: int = ROUNDS) -> Mix:
+              floor: float = 0.0, rounds: int = ROUNDS, margin: float = 1.0) -> Mix:
     """Rates of ``rows`` (n, p) whose expected totals are nearest to ``weights`` of ``budget``.
 
-    By default the budget is the smallest at which no domain with a weight must lose words.
+    By default the budget is ``margin`` times the smallest at which no domain with a weight
+    must lose words.
     """
     mix = Mix(domains, floor)
     known = [max(0.0, float(weights.get(d, 0.0))) for d in domains]
@@ -142,7 +143,7 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], bu
     share = [w / sum(known) for w in known]
     mix.present = totals(F.lit(1.0))
     if budget is None:
-        budget = max(n / w for n, w in zip(mix.present, share) if w)
+        budget = margin * max(n / w for n, w in zip(mix.present, share) if w)
     mix.targets = [budget * w for w in share]
     scale = [max(n, 1e-9 * (sum(mix.present) or 1.0)) for n in mix.present]
     mix.reached = mix.present if floor <= 1 else totals(F.col("r"))
@@ -189,13 +190,14 @@ class Mixer:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None,
-        floor: float = 1.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> Mixer:
+        floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
+        margin: float = 1.0) -> Mixer:
     """Learn the classifier and the rates that bring ``docs`` to the target weights."""
     classifier = fit_classifier(docs, labelled, id_col, text_col, domain_col)
     rows = materialize(classifier.rows(docs, id_col, text_col), "posteriors")
     if not classifier.domains:
         return Mixer(classifier, Mix([], floor), rows)
-    return Mixer(classifier, fit_rates(rows, classifier.domains, weights, budget, floor), rows)
+    return Mixer(classifier, fit_rates(rows, classifier.domains, weights, budget, floor, margin=margin), rows)
 
 
 def mixed_rows(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
