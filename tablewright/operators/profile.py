@@ -2,21 +2,22 @@
 
 Plan shape, whatever the width of the table and the kinds of its columns:
 
-1. All columns are unpivoted by one Generate into rows (column, one typed slot per kind of
-   value) and counted by ``groupBy(column, slots).count()``: one scan, a partial aggregate
-   per map task, one shuffle. A row fills the slot of its column's kind; the others are
-   NULL. Partial aggregation collapses a hot value map-side: a value holding a third of all
-   rows costs one row per task. Long text is counted as (SHA-256 digest, length, blank), so
-   whole texts are never shuffled.
-2. One aggregate per column folds every statistic from those (value, count) rows: min/max,
-   length statistics and exact means weighted by the counts; null, blank, numeric-looking,
-   date-looking and time-of-day counts as sums of counts. Per-value rules thus run once per
-   distinct value.
-3. Advanced mode folds the counts at the limits from the same rows (``min_by``/``max_by`` of
-   the count; lengths are summed per length first, over the same shuffle). The statistics,
-   one row per column, are collected; the columns below ``distinct_min`` distinct values,
-   and they alone, are counted by value once more when the domains are read. Nothing is
-   written.
+1. All columns are unpivoted by one Generate and grouped: one scan, a partial aggregate per
+   map task, one shuffle. Whole numbers, decimals and amounts of cents, dates, midnights and
+   booleans are not grouped by value but by *word* (the value over 64): a word's row holds the
+   bits of the values seen (``bit_or``), their rows and the sum of their low parts. Distinct
+   counts, sums and limits follow exactly, and 64 neighbouring values cost one row. All other
+   values have a typed slot of their own and are counted one by one; long text is counted as
+   (SHA-256 digest, length, blank), so whole texts are never shuffled. A hot value collapses
+   map-side: one that holds a third of all rows costs one row per task.
+2. One aggregate per column folds every statistic from those rows: min/max, length statistics
+   and exact means; null, blank, numeric-looking, date-looking and time-of-day counts as sums
+   of counts. The rules for text thus run once per distinct value.
+3. In advanced mode the statistics, one row per column, are collected. The rows at the limits
+   of text columns come from the same shuffle (lengths are summed first), those of numbers
+   from one more scan with the limits as literals; the columns below ``distinct_min`` distinct
+   values, and they alone, are counted by value once more when the domains are read. Nothing
+   is written.
 
 With ``approx_distinct`` only likely low-cardinality columns are counted; the others get
 HyperLogLog estimates and their statistics from one direct aggregate (``column_stats``),
@@ -95,11 +96,11 @@ def _exact_cents_sql(c: str) -> tuple[str, str]:
     return cents, slow
 
 
-def _mean_sql(value: str, exact_total: str, double_total: str, rows: str) -> str:
-    """The mean over ``rows`` finite values: from exact decimals while all of them lie below
-    1e20 in magnitude (so that no sum can overflow), else from doubles. Every value that the
-    divisor counts is in the sum."""
-    safe = (f"greatest(abs(CAST(max({value}) AS DOUBLE)), abs(CAST(min({value}) AS DOUBLE))) < 1e20"
+def _mean_sql(high: str, low: str, exact_total: str, double_total: str, rows: str) -> str:
+    """The mean over ``rows`` finite values: from exact decimals while all of them (``low`` to
+    ``high``) lie below 1e20 in magnitude (so that no sum can overflow), else from doubles.
+    Every value that the divisor counts is in the sum."""
+    safe = (f"greatest(abs(CAST({high} AS DOUBLE)), abs(CAST({low} AS DOUBLE))) < 1e20"
             f" AND ({exact_total}) IS NOT NULL")
     return (f"CASE WHEN {rows} > 0 THEN CASE WHEN {safe} THEN CAST({exact_total} AS DOUBLE)"
             f" ELSE {double_total} END / {rows} END")
@@ -156,7 +157,7 @@ def _column_parts(i: int, pc: ProfileColumn, is_numeric=looks_numeric_sql, is_da
                      f" + coalesce(try_sum({slow}), 0))")
         else:
             total = f"try_sum({col('dec', f'try_cast({c} AS DECIMAL(36,2))')})"
-        v["avg_data_length"] = _mean_sql(raw, total, f"sum(CAST({raw} AS DOUBLE))", f"count({raw})")
+        v["avg_data_length"] = _mean_sql(f"max({raw})", f"min({raw})", total, f"sum(CAST({raw} AS DOUBLE))", f"count({raw})")
     if pc.type_class == DATE:
         raw = col("v", c)
         v["max_date"] = f"CAST(max({raw}) AS TIMESTAMP_NTZ)"
@@ -260,6 +261,79 @@ def _value_counts(df: DataFrame, cols: list[ProfileColumn], digest_lob: bool = T
     return _Counts(frame, list(slots.values()), cols)
 
 
+@dataclass
+class _Encoding:
+    """How one kind of column is grouped: by words, with a typed ``slot`` (None: not needed)
+    for what no word holds, or by values of the slot alone."""
+    slot: str | None
+    stat: str
+    dtype: T.DataType
+    words: bool
+    members: list
+
+
+@dataclass
+class _Words:
+    """Rows (_ci, _w, one column per slot, count, _bits, _low) of all columns."""
+    frame: DataFrame
+    slots: list
+    cols: list
+
+
+def _whole_of(pc: ProfileColumn) -> tuple[str, str] | None:
+    """(whole number of a value, condition that it stands for the value) as SQL, where values
+    of the column's type can be told by whole numbers: injective, and in the same order."""
+    c, dt = quote_ident(pc.name), pc.dtype
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return f"CAST({c} AS BIGINT)", "true"
+    if isinstance(dt, T.DecimalType) and dt.precision <= 17 and dt.scale <= 2:
+        return f"CAST({c} * {10 ** dt.scale} AS BIGINT)", "true"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        fits = f"abs({c}) < 1e13 AND CAST(rint(CAST({c} AS DOUBLE) * 100) / 100 AS {dt.simpleString()}) = {c}"
+        return f"CAST(CASE WHEN abs({c}) < 1e13 THEN rint(CAST({c} AS DOUBLE) * 100) END AS BIGINT)", fits
+    if isinstance(dt, T.DateType):
+        return f"CAST(unix_date({c}) AS BIGINT)", "true"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        late = time_of_day_nonzero_sql(c, isinstance(dt, T.TimestampNTZType))
+        return (f"CAST(unix_date(CAST({c} AS DATE)) AS BIGINT)",
+                f"NOT ({late}) AND CAST(CAST({c} AS DATE) AS {dt.simpleString()}) = {c}")
+    return None
+
+
+def _encoded_counts(df: DataFrame, cols: list[ProfileColumn], collation: str | None = None) -> _Words:
+    """One unpivot (Generate) of all columns feeding a partial aggregate per map task, then
+    one shuffle on (column position, word or value)."""
+    encodings, slots, rows = {}, {}, []
+    for i, pc in enumerate(cols):
+        kind, stat, value = _kind_of(pc, True, collation)
+        whole = _whole_of(pc)
+        spare = None                                       # the slot of values that no word holds
+        if whole is None or whole[1] != "true":
+            spare = slots.setdefault(kind, f"_v{len(slots)}")
+        enc = encodings.setdefault((kind, whole is not None), _Encoding(spare, stat, pc.dtype, whole is not None, []))
+        enc.members.append(i)
+        if whole is None:
+            rows.append((None, spare, value))
+        else:
+            number, fits = whole
+            u = F.expr(f"CASE WHEN {fits} THEN {number} END" if fits != "true" else number)
+            rows.append((u, spare, F.when(~F.coalesce(F.expr(fits), F.lit(False)), value) if spare else None))
+    firsts = {}
+    for _, spare, value in rows:
+        if spare is not None:
+            firsts.setdefault(spare, value)
+    types = df.select(*[v.alias(n) for n, v in firsts.items()]).schema.fields if firsts else []
+    none = F.lit(None)
+    structs = [F.struct(F.lit(i).alias("_ci"), (none.cast("bigint") if u is None else u).alias("_u"), *[
+        (value if f.name == spare else none).cast(f.dataType).alias(f.name) for f in types])
+        for i, (u, spare, value) in enumerate(rows)]
+    flat = df.select(F.inline(F.array(*structs)))
+    frame = flat.groupBy("_ci", F.shiftright("_u", 6).alias("_w"), *firsts).agg(
+        F.count(F.lit(1)).alias("count"), F.expr("bit_or(shiftleft(1L, CAST(_u & 63 AS INT)))").alias("_bits"),
+        F.sum(F.col("_u").bitwiseAND(F.lit(63))).alias("_low"))
+    return _Words(frame, list(encodings.values()), cols)
+
+
 def _text_of(slot: _Slot) -> Column:
     v = F.col(slot.name)
     if slot.stat in ("lob_text", "lob_bin"):
@@ -298,39 +372,81 @@ def _slot_stats_sql(stat: str, value: str, is_numeric=looks_numeric_sql, is_date
         lengths(f"{value}.len")
     elif stat == "binary":
         lengths(f"length({value})")
-    elif stat in ("exact_num", "float_num"):
-        v = f"({_finite_sql(value)})" if stat == "float_num" else value
-        rows = f"sum(CASE WHEN {v} IS NOT NULL THEN count END)"
-        out["max_data_length"] = f"try_cast(max({v}) AS {DEC})"
-        out["min_data_length"] = f"try_cast(min({v}) AS {DEC})"
-        out["max_raw"] = f"CAST(max({v}) AS STRING)"
-        out["min_raw"] = f"CAST(min({v}) AS STRING)"
-        if stat == "float_num":
-            out["no_non_finite"] = _weighted(f"{value} IS NOT NULL AND ({_finite_sql(value)}) IS NULL")
-            cents, slow = _exact_cents_sql(v)
-            total = (f"(coalesce(try_sum(try_multiply({cents}, count)), 0)"
-                     f" * CAST(0.01 AS DECIMAL(3,2))"
-                     f" + coalesce(try_sum(try_multiply({slow}, count)), 0))")
-        else:
-            total = f"try_sum(try_multiply(try_cast({value} AS DECIMAL(36,2)), count))"
-        out["avg_data_length"] = _mean_sql(v, total, f"sum(CAST({v} AS DOUBLE) * count)", rows)
-    elif stat in ("date", "ts", "ts_ntz"):
-        out["max_date"] = f"CAST(max({value}) AS TIMESTAMP_NTZ)"
-        out["min_date"] = f"CAST(min({value}) AS TIMESTAMP_NTZ)"
-        if stat != "date":
-            out["no_date_with_hour_minute_second"] = _weighted(
-                time_of_day_nonzero_sql(value, stat == "ts_ntz"))
-            out["no_date_with_second"] = _weighted(seconds_nonzero_sql(value, stat == "ts_ntz"))
+    elif stat == "exact_num":
+        out["max_data_length"] = f"try_cast(max({value}) AS {DEC})"
+        out["min_data_length"] = f"try_cast(min({value}) AS {DEC})"
+        out["max_raw"] = f"CAST(max({value}) AS STRING)"
+        out["min_raw"] = f"CAST(min({value}) AS STRING)"
+        total = f"try_sum(try_multiply(try_cast({value} AS DECIMAL(36,2)), count))"
+        out["avg_data_length"] = _mean_sql(f"max({value})", f"min({value})", total, f"sum(CAST({value} AS DOUBLE) * count)", nn)
     return out
 
 
+def _word_stats_sql(enc: _Encoding) -> dict[str, str]:
+    """Statistics of a column whose values are words, the ones that no word can hold being
+    counted in the slot ``enc.slot``, as SQL text over (_w, _bits, _low, slot, count)."""
+    rest = enc.slot
+    some = "_w IS NOT NULL" + (f" OR {rest} IS NOT NULL" if rest else "")
+    out = {"row_count": "sum(count)", "no_nulls": _weighted(f"NOT ({some})"),
+           "no_distinct": "coalesce(sum(CAST(bit_count(_bits) AS BIGINT)), 0)" + (f" + count({rest})" if rest else "")}
+    least, most = f"min(_w * 64 + {_FIRST_BIT})", f"max(_w * 64 + {_LAST_BIT})"
+    total = "try_sum(try_add(try_multiply(CAST(_w * 64 AS DECIMAL(20,0)), CAST(count AS DECIMAL(18,0))), CAST(_low AS DECIMAL(20,0))))"
+    if enc.stat == "exact_num":
+        kind = enc.dtype.simpleString()
+        unit = {0: "1", 1: "0.1BD", 2: "0.01BD"}[enc.dtype.scale if isinstance(enc.dtype, T.DecimalType) else 0]
+
+        def number(u):
+            return f"CAST({u} * {unit} AS {kind})"
+
+        low, high = number(least), number(most)
+        exact = f"{total} * {unit}"
+        rows, double = _weighted("_w IS NOT NULL"), "sum(CAST(_w * 64 AS DOUBLE) * count + _low)"
+    elif enc.stat == "float_num":
+        kind, finite = enc.dtype.simpleString(), f"({_finite_sql(rest)})"
+
+        def ends(f, u):
+            return f"CAST({f}(CAST({u} AS DOUBLE) / 100, {'min' if f == 'least' else 'max'}({finite})) AS {kind})"
+
+        low, high = ends("least", least), ends("greatest", most)
+        cents, slow = _exact_cents_sql(finite)
+        exact = (f"((coalesce({total}, 0) + coalesce(try_sum(try_multiply({cents}, count)), 0)) * CAST(0.01 AS DECIMAL(3,2))"
+                 f" + coalesce(try_sum(try_multiply({slow}, count)), 0))")
+        rows = _weighted(f"_w IS NOT NULL OR {finite} IS NOT NULL")
+        double = (f"(coalesce(sum((CAST(_w * 64 AS DOUBLE) * count + _low) / 100), 0)"
+                  f" + coalesce(sum({finite} * count), 0))")
+        out["no_non_finite"] = _weighted(f"{rest} IS NOT NULL AND {finite} IS NULL")
+    else:
+        if enc.stat != "other":
+            kind = enc.dtype.simpleString()
+
+            def day(f, u):
+                at = f"CAST(date_from_unix_date(CAST({u} AS INT)) AS {kind})"
+                return f"CAST({f}({at}, {'min' if f == 'least' else 'max'}({rest})) AS TIMESTAMP_NTZ)" if rest else f"CAST({at} AS TIMESTAMP_NTZ)"
+
+            out["min_date"], out["max_date"] = day("least", least), day("greatest", most)
+        if enc.stat in ("ts", "ts_ntz"):       # a word holds midnights
+            out["no_date_with_hour_minute_second"] = _weighted(time_of_day_nonzero_sql(rest, enc.stat == "ts_ntz"))
+            out["no_date_with_second"] = _weighted(seconds_nonzero_sql(rest, enc.stat == "ts_ntz"))
+        return out
+    out["max_data_length"], out["min_data_length"] = f"try_cast({high} AS {DEC})", f"try_cast({low} AS {DEC})"
+    out["max_raw"], out["min_raw"] = f"CAST({high} AS STRING)", f"CAST({low} AS STRING)"
+    out["avg_data_length"] = _mean_sql(high, low, exact, double, rows)
+    return out
+
+
+#: Places (0 to 63) of the first and last bit of a word's row.
+_FIRST_BIT = "CASE WHEN _bits = shiftleft(1L, 63) THEN 63 ELSE bit_count(~_bits & (_bits - 1)) END"
+_LAST_BIT = ("CASE WHEN shiftrightunsigned(_bits, 32) > 0 THEN 32 + CAST(floor(log2(shiftrightunsigned(_bits, 32))) AS INT)"
+             " ELSE CAST(floor(log2(_bits)) AS INT) END")
+
+
 COUNTED_FIELDS = [(n, t) for n, t in STAT_FIELDS
                   if n not in ("column_name", "column_data_length", "data_type", "type_class",
                                "sql_type")] + [
     ("row_count", "bigint"), ("no_distinct", "bigint")]
 
 
-def _per_slot(counts: _Counts, expr_of) -> str:
+def _per_slot(counts: _Words, expr_of) -> str:
     """SQL that picks, by the column position, the expression of the column's slot."""
     cases = [(slot.members, expr_of(slot)) for slot in counts.slots]
     cases = [f"WHEN _ci IN ({', '.join(map(str, m))}) THEN {e}" for m, e in cases if e is not None]
@@ -341,30 +457,30 @@ def _names(counts: _Counts) -> Column:
     return F.element_at(F.array(*[F.lit(pc.name) for pc in counts.cols]), F.col("_ci") + 1).alias("column_name")
 
 
-def _stats_from_counts(counts: _Counts, with_limits: bool = False, **predicates) -> DataFrame:
-    """Per column: every statistic folded from its value counts (one small aggregate over
-    distinct values, not over the table's rows), and with ``with_limits`` the rows at the
-    smallest and largest value or length (D-16)."""
-    exprs = {slot.name: _slot_stats_sql(slot.stat, slot.name, **predicates) for slot in counts.slots}
-    aggs = [F.expr(f"CAST({_per_slot(counts, lambda s: exprs[s.name].get(n))} AS {t})").alias(n)  # noqa: B023
+def _stats_from_counts(counts: _Words, with_limits: bool = False, **predicates) -> DataFrame:
+    """Per column: every statistic folded from the rows of its words and values (one small
+    aggregate), and with ``with_limits`` the rows at the smallest and largest length (D-16;
+    those of numbers come from ``boundary_counts``)."""
+    exprs = {id(e): _word_stats_sql(e) if e.words else _slot_stats_sql(e.stat, e.slot, **predicates) for e in counts.slots}
+    aggs = [F.expr(f"CAST({_per_slot(counts, lambda e: exprs[id(e)].get(n))} AS {t})").alias(n)  # noqa: B023
             for n, t in COUNTED_FIELDS]
     names = [n for n, _ in COUNTED_FIELDS]
+    stats = counts.frame.groupBy("_ci").agg(*aggs)
     if not with_limits:
-        return counts.frame.groupBy("_ci").agg(*aggs).select(_names(counts), *names)
-    at = F.expr(f"CAST({_per_slot(counts, _at_value_limits)} AS BIGINT)").alias("_at")
-    stats = counts.frame.groupBy("_ci").agg(*aggs, at)
-    # lengths: counts of equal length are summed first; the same shuffle of value counts is
-    # read again (an identical exchange), one row per column comes out and is broadcast
-    length = F.expr(_per_slot(counts, lambda s: _LENGTH[s.stat].format(v=s.name) if s.stat in _LENGTH else None))
+        return stats.select(_names(counts), *names)
+    lengthy = [i for e in counts.slots if e.stat in _LENGTH for i in e.members]
+    numbers = [i for e in counts.slots if e.stat in ("exact_num", "float_num") for i in e.members]
+    if not lengthy:
+        at = F.when(F.col("_ci").isin(numbers), F.lit(0)) if numbers else F.lit(None)
+        return stats.select(_names(counts), *names, at.cast("bigint").alias("no_at_limit"))
+    # counts of equal length are summed first; the same shuffle is read again (an identical
+    # exchange), one row per column comes out and is broadcast
+    length = F.expr(_per_slot(counts, lambda e: _LENGTH[e.stat].format(v=e.slot) if e.stat in _LENGTH else None))
     by_length = counts.frame.groupBy("_ci", length.cast("bigint").alias("_m")).agg(F.sum("count").alias("count"))
     ends = by_length.groupBy("_ci").agg(F.expr(f"CAST({_ends_sql('_m')} AS BIGINT)").alias("_at_length"))
-    lengthy = [i for slot in counts.slots if slot.stat in _LENGTH for i in slot.members]
-    measured = lengthy + [i for slot in counts.slots if slot.stat in ("exact_num", "float_num") for i in slot.members]
-    return stats.join(F.broadcast(ends), "_ci").select(
-        _names(counts), *names,
-        F.when(F.col("_ci").isin(measured), F.coalesce(
-            F.when(F.col("_ci").isin(lengthy), F.col("_at_length")).otherwise(F.col("_at")), F.lit(0)))
-        .alias("no_at_limit"))
+    at = F.when(F.col("_ci").isin(lengthy), F.coalesce("_at_length", F.lit(0)))
+    at = at.when(F.col("_ci").isin(numbers), F.lit(0)) if numbers else at
+    return stats.join(F.broadcast(ends), "_ci").select(_names(counts), *names, at.cast("bigint").alias("no_at_limit"))
 
 
 _LENGTH = {"text": "length(rtrim({v}))", "text_collated": "length(rtrim(CAST({v} AS STRING)))",
@@ -377,12 +493,6 @@ def _ends_sql(m: str) -> str:
             f" ELSE min_by(count, {m}) FILTER (WHERE {m} IS NOT NULL) END")
 
 
-def _at_value_limits(slot: _Slot) -> str | None:
-    if slot.stat == "exact_num":
-        return _ends_sql(slot.name)
-    return _ends_sql(f"({_finite_sql(slot.name)})") if slot.stat == "float_num" else None
-
-
 def _text_counts(counts: _Counts) -> DataFrame:
     return counts.frame.select(_names(counts), F.coalesce(*[_text_of(s) for s in counts.slots]).alias("value"), "count")
 
@@ -513,7 +623,7 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
     predicates = {"is_numeric": is_numeric, "is_date": is_date}
     frames = []
     if exact_cols:
-        counts = _value_counts(df, exact_cols, True, collation)
+        counts = _encoded_counts(df, exact_cols, collation)
         frames.append(_stats_from_counts(counts, with_limits=advanced, **predicates))
     if approx_cols:
         # High-cardinality columns: statistics from one direct aggregate, distinct estimated.
@@ -555,12 +665,13 @@ def profile(df: DataFrame, *, columns=None, text=True, numeric=True, date=True,
         [], "domain_name string, domain_element string, domain_counter bigint, "
             "domain_percent decimal(7,4)")
     if advanced:
-        if approx_cols:
-            # columns without value counts are scanned once more, their limits as literals
-            own = [r for r in rows if r["column_name"] in {pc.name for pc in approx_cols}]
-            found = boundary_counts(df, own, approx_cols).withColumnRenamed("no_at_limit", "_approx_at")
+        scanned = approx_cols + [pc for pc in exact_cols if pc.type_class == NUMERIC]
+        if scanned:
+            # numbers, and columns without value counts: one more scan, their limits as literals
+            own = [r for r in rows if r["column_name"] in {pc.name for pc in scanned}]
+            found = boundary_counts(df, own, scanned).withColumnRenamed("no_at_limit", "_scanned_at")
             prof = prof.join(F.broadcast(found), "column_name", "left").withColumn(
-                "no_at_limit", F.coalesce("no_at_limit", "_approx_at")).drop("_approx_at")
+                "no_at_limit", F.coalesce("_scanned_at", "no_at_limit")).drop("_scanned_at")
         exact = {pc.name: pc for pc in exact_cols}
         low = [exact[r["column_name"]] for r in rows
                if r["column_name"] in exact and r["no_distinct"] < distinct_min]

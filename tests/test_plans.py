@@ -52,9 +52,9 @@ def test_open_runs_latest_session_is_broadcast(spark):
 
 
 def one_scan(plan, kind="FileScan"):
-    """One scan, one shuffle of value counts, hash aggregates alone."""
+    """One scan, one shuffle of words and values, hash aggregates alone."""
     return (plan.count(kind) == 1 and plan.count("Exchange hashpartitioning(_ci#") == 2
-            and plan.count(", _v0#") >= 1 and "SortAggregate" not in plan
+            and plan.count(", _w#") >= 1 and "SortAggregate" not in plan
             and "Window" not in plan and "Python" not in plan and "Union" not in plan)
 
 
