@@ -3,20 +3,24 @@
 A set is kept as sorted 48-bit hashes of its distinct n-grams; equal sets take part once, under
 a 64-bit hash of the whole set. Two sets link when ``100 * both >= percent * either``.
 
-1. Where sets are made, and then once over all, a set is compared with the leader of a list of
-   one of its first few grams (close sets nearly always share one). The sets linked to a leader
-   are the ones whose answers can be derived from the leader's.
+1. Where sets are made, a set is compared with the leader of a list of one of its first few
+   grams; so is, once over all, each set with the first set of such a list. What it lacks of
+   that leader's grams, and has besides, is kept as counts and 64-bit masks: from these follow
+   bounds of its overlap with any other set of the same leader.
 2. Inverted lists hold the grams that a linked pair must share: the first
    ``n - ceil(t n) + 1`` of each set in one order for all (frequent grams last, by a sketch of
    counts over all sets; grams that only one set has, by a second sketch, have no list). An
-   entry names the set, its size and the gram's position. Lists are sorted by size and read in
-   blocks; a pair of blocks is skipped when its sizes or positions allow no link, or when all
-   its sets are linked already. What several lists say of a pair is added up, and the pair is
-   dropped when the grams left after its last common position, or after the prefix that ends
-   first, can't make up a link.
+   entry names the set, its size and the gram's position. Sets of two components that are
+   neighbours in several lists are compared first: all of a group of close sets are in one
+   component after a number of pairs linear in its size. Then lists are sorted by size and read
+   in blocks; a pair of blocks is skipped when its sizes or positions allow no link, or when
+   all its sets are linked already, and a pair of sets when the leader that both have tells
+   so. What several lists say of a pair is added up, and the pair is dropped when the grams
+   left after its last common position, or after the prefix that ends first, can't make up a
+   link.
 3. For a remaining pair (x, y) with leaders (p, q) the overlap of the leaders is computed once;
    |x and y| lies between it less |p - x| + |q - y| and it plus |x - p| + |y - q|. That decides
-   most pairs; for the others the overlap is computed.
+   many pairs; for the others the overlap is computed.
 
 Components are exact: a pair of sets is left out only when it can't link or when it is in
 one component already. Lists with more than ``LIST`` entries in several components are dealt
@@ -42,17 +46,26 @@ from tablewright.llm.blobs import by_part, pack, rolling_hash, small, unpack, wi
 from tablewright.llm.common import column_bytes, materialize, mix64, pick, slices, text_lengths
 from tablewright.llm.components import components
 from tablewright.llm.quality_model import word_hashes
+from tablewright.llm.simhash_dedup import local_roots
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 4 << 20      # text whose sets are compared in place
+PIECE_BYTES = 1 << 20      # text or packed sets worked on at once
 WIDTH = 6                  # bytes of a gram's hash
 BITS = 8 * WIDTH
-HEADS = 4                  # first grams by which a leader is looked for
+HEADS = 6                  # first grams by which a leader is looked for
 SKETCH = 16                # first grams that a leader must mostly share
+LEADERS = 8                # leaders of a list
 COUNT_BITS = 20            # buckets of the sketch that finds frequent grams
 MAX_PAIR_BITS = 27         # buckets of the sketch that finds shared grams, at most
 PART_BITS = 16             # buckets that one task counts
 ID_BITS = 23               # bits of the screen for sets that are compared
 LIST = 50_000              # entries that one task crosses
+#: What a list's entry tells of its set: component, leader, size of the leader, what it lacks
+#: of the leader and has besides.
+MASKS = 4
+DIFFERENCES = [f"{c}{i}" for c in ("lacks", "adds") for i in range(MASKS)]
+KNOWN = ["sid", "n", "comp", "ref", "m", "less", "more", *DIFFERENCES]
+FEW_LINKS = 1 << 20        # links (16 bytes each) that one task joins to components
 SMALL = 128                # entries of a block
 
 
@@ -98,6 +111,11 @@ def gram_sets(raw: np.ndarray, off: np.ndarray, gram: int):
     return key & np.uint64((1 << BITS) - 1), np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
+def _pieces(batch, name: str):
+    """Parts of a batch by the bytes of a packed or text column."""
+    return slices(batch, text_lengths(batch, name), PIECE_BYTES)
+
+
 def unpacked(col: pa.Array):
     """A column of packed sets as (grams, offsets)."""
     raw, off = column_bytes(col)
@@ -115,6 +133,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def masks(grams: np.ndarray) -> list[int]:
+    """``MASKS`` times a bit of 64 for each gram, together."""
+    return [int(np.bitwise_or.reduce(np.uint64(1) << ((grams >> np.uint64(6 * i)) & np.uint64(63)), initial=np.uint64(0))
+                .astype(np.int64)) for i in range(MASKS)]
+
+
+def compared(a: np.ndarray, b: np.ndarray):
+    """Overlap of two sorted sets, masks of what a lacks of b, masks of what a has besides."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    there = b[at] == a
+    lacks = np.ones(len(b), bool)
+    lacks[at[there]] = False
+    return [int(there.sum()), *masks(b[lacks]), *masks(a[~there])]
+
+
 def _local_leaders(grams, off, percent: int):
     """For each set of a slice its leader among the earlier ones (-1: none) and their overlap;
     a repeated set is its first row's copy (-2)."""
@@ -153,8 +187,9 @@ def build_sets(docs: DataFrame, id_col: str, text_col: str, gram: int, percent:
     def run(batches):
         for whole in batches:
             for batch in _cut(slices(whole, text_lengths(whole, "text"), SLICE_BYTES)):
-                raw, off = column_bytes(batch.column("text"))
-                grams, ends = gram_sets(raw, off, gram)
+                parts = [gram_sets(*column_bytes(b.column("text")), gram) for b in _pieces(batch, "text")]
+                grams = np.concatenate([g for g, _ in parts])
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))])
                 names, lead, both, packed = _local_leaders(grams, ends, percent)
                 n = np.diff(ends)
                 empty, led = n == 0, lead >= 0
@@ -174,12 +209,12 @@ def build_sets(docs: DataFrame, id_col: str, text_col: str, gram: int, percent:
 
 def _counted(rows: DataFrame, of, bits: int, least, part_bits: int) -> np.ndarray:
     """A bit for each of 2^bits buckets: whether at least ``least`` of the buckets that
-    ``of(batch)`` names over all rows are that one. Counted in tasks by parts of the buckets."""
+    ``of(grams)`` names over all rows are that one. Counted in tasks by parts of the buckets."""
     part_bits = min(part_bits, bits)
 
     def count(batches):
         for batch in batches:
-            bucket, times = np.unique(of(batch), return_counts=True)
+            bucket, times = np.unique(np.concatenate([of(b) for b in _pieces(batch, "grams")]), return_counts=True)
             parts, blobs = [], []
             for part, at in by_part(bucket >> part_bits):
                 low = (bucket[at] & ((1 << part_bits) - 1)).astype(np.uint32)
@@ -213,7 +248,7 @@ def _bucket(grams: np.ndarray, bits: int) -> np.ndarray:
 def frequent_grams(sets: DataFrame, total: int) -> np.ndarray:
     """Marks buckets with clearly more grams than others; their grams come last in order."""
     mean = total / (1 << COUNT_BITS)
-    return _counted(sets.select("grams"), lambda b: _bucket(unpacked(b.column("grams"))[0], COUNT_BITS),
+    return _counted(sets.select("grams"), lambda b: _bucket(unpacked(b.column("grams"))[0], COUNT_BITS).astype(np.int32),
                     COUNT_BITS, mean + 8 * math.sqrt(mean) + 64, PART_BITS)
 
 
@@ -228,6 +263,8 @@ def ordered_prefixes(col: pa.Array, often: np.ndarray, percent: int):
     return owner[head], grams[order][head], position[head], np.repeat(n, n)[head]
 
 
+PAIR = ["a", "b", "na", "nb", "both", *DIFFERENCES]
+
 # -- exact overlaps -----------------------------------------------------------------------
 
 def screened_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -255,23 +292,24 @@ def screened_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both) for distinct pairs (a, b) of sets."""
+    """(a, b, na, nb, both, lacks…, adds…) for distinct pairs (a, b) of sets: the masks of the grams
+    of b that a lacks, and of those that a has besides."""
     pairs = materialize(pairs, "asked")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in _pieces(whole, "xg")):
             x, x_off = unpacked(batch.column("xg"))
             y, y_off = unpacked(batch.column("yg"))
-            both = [overlap(x[x_off[i]:x_off[i + 1]], y[y_off[i]:y_off[i + 1]]) for i in range(batch.num_rows)]
+            told = [compared(x[x_off[i]:x_off[i + 1]], y[y_off[i]:y_off[i + 1]]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(np.diff(x_off)), pa.array(np.diff(y_off)),
-                 pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
+                 *[pa.array([t[i] for t in told], pa.int64()) for i in range(1 + 2 * MASKS)]], PAIR)
 
     held = screened_sets(sets, pairs)
     x = held.select(F.col("sid").alias("a"), F.col("grams").alias("xg"))
     y = held.select(F.col("sid").alias("b"), F.col("grams").alias("yg"))
     return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "xg", "yg").mapInArrow(
-        run, "a long, b long, na long, nb long, both long"), "overlaps")
+        run, ", ".join(f"{c} long" for c in PAIR)), "overlaps")
 
 
 def linked(percent: int):
@@ -281,10 +319,11 @@ def linked(percent: int):
 # -- leaders ------------------------------------------------------------------------------
 
 def leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): local leaders ``a`` with the first set ``b`` of a list of one of their first
-    grams, if their sizes allow a link and most of their first grams agree."""
+    """(a, b): sets ``a`` with a leader ``b``: one of the first sets of a list of one of their
+    first grams whose size allows a link and whose first grams are mostly theirs too. (What it
+    finds bears on the work left alone: all links are found by the lists.)"""
     def heads(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in _pieces(whole, "grams")):
             grams, off = unpacked(batch.column("grams"))
             n = np.diff(off)
             take = np.minimum(n, HEADS)
@@ -296,27 +335,58 @@ def leader_pairs(sets: DataFrame, percent: int) -> DataFrame:
                  pa.array(n[owner]), pa.array([first[i] for i in owner.tolist()], pa.binary())],
                 ["gram", "sid", "n", "first"])
 
-    entries = sets.filter("grams is not null and lead is null").select("sid", "grams").mapInArrow(
+    entries = sets.filter("grams is not null").select("sid", "grams").mapInArrow(
         heads, "gram long, sid long, n long, first binary")
 
     def star(batches):
-        held = None
+        at, held = None, []
         for batch in batches:
             gram, sid, n = (batch.column(c).to_pylist() for c in ("gram", "sid", "n"))
             first = batch.column("first").to_pylist()
             a, b = [], []
             for i in range(batch.num_rows):
-                if held is None or held[0] != gram[i]:
-                    held = (gram[i], sid[i], n[i], set(np.frombuffer(first[i], "<u4").tolist()))
-                elif sid[i] != held[1] and 100 * min(n[i], held[2]) >= percent * max(n[i], held[2]):
-                    own = set(np.frombuffer(first[i], "<u4").tolist())
-                    if 2 * len(own & held[3]) >= min(len(own), len(held[3])):
-                        a.append(sid[i])
-                        b.append(held[1])
+                if at != gram[i]:
+                    at, held = gram[i], []
+                own = set(np.frombuffer(first[i], "<u4").tolist())
+                for leader, size, grams in held:
+                    if 100 * min(n[i], size) >= percent * max(n[i], size) and \
+                            3 * len(own & grams) >= 2 * min(len(own), len(grams)):
+                        if sid[i] != leader:
+                            a.append(sid[i])
+                            b.append(leader)
+                        break
+                else:
+                    if len(held) < LEADERS:
+                        held.append((sid[i], n[i], own))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = entries.repartition("gram").sortWithinPartitions("gram", "n", "sid")
-    return dealt.mapInArrow(star, "a long, b long").distinct()
+    # one order of the sets in all lists: most sets of a group of close ones get one leader
+    dealt = entries.repartition("gram").sortWithinPartitions("gram", F.xxhash64("sid"), "sid")
+    met = dealt.mapInArrow(star, "a long, b long")
+    pairs = materialize(met.groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("b")), "stars")
+    for _ in range(2):                  # a leader's own leader, if it comes before it, is its sets' leader too
+        up = pairs.select(F.col("a").alias("b"), F.col("b").alias("c")).filter(F.xxhash64("c") < F.xxhash64("b"))
+        pairs = pairs.join(up, "b", "left").select("a", F.when(F.col("c") != F.col("a"), F.col("c")).otherwise(F.col("b")).alias("b"))
+    return pairs
+
+
+def joined_components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of the links (a, b). A graph of at most ``FEW_LINKS`` distinct
+    links is settled in one task; a larger one by distributed contraction."""
+    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                        .filter("a != b").distinct(), "edges")
+    if links.count() > FEW_LINKS:
+        return components(links)
+
+    def settle(batches):
+        ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        a, b = (np.concatenate([e[i] for e in ends]) if ends else np.zeros(0, np.int64) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(nodes), [(at[:len(a)], at[len(a):])])
+        for s in range(0, len(nodes), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[s:s + 10_000]), pa.array(nodes[root[s:s + 10_000]])], ["node", "root"])
+
+    return materialize(links.coalesce(1).mapInArrow(settle, "node long, root long"), "roots")
 
 
 # -- lists --------------------------------------------------------------------------------
@@ -326,11 +396,11 @@ def shared_entries(sets: DataFrame, percent: int, total: int) -> DataFrame:
     held = sets.filter("grams is not null").select("sid", "grams")
     often = frequent_grams(held, total)
     bits = min(MAX_PAIR_BITS, max(16, math.ceil(math.log2(max(1, total)))))
-    twice = _counted(held.select("grams"), lambda b: _bucket(ordered_prefixes(b.column("grams"), often, percent)[1], bits),
+    twice = _counted(held.select("grams"), lambda b: _bucket(ordered_prefixes(b.column("grams"), often, percent)[1], bits).astype(np.int32),
                      bits, 2, PART_BITS + 2)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in _pieces(whole, "grams")):
             owner, gram, pos, n = ordered_prefixes(batch.column("grams"), often, percent)
             hit = marked(twice, _bucket(gram, bits))
             owner = owner[hit]
@@ -341,21 +411,68 @@ def shared_entries(sets: DataFrame, percent: int, total: int) -> DataFrame:
     return held.mapInArrow(run, "gram long, sid long, n int, pos int").distinct()
 
 
+def neighbour_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of two components that stand side by side in several lists and can link by
+    what is known of them. Half of the lists are ordered by a hash of the sets, half by their
+    leaders and what they lack of them."""
+    def run(batches):
+        last = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", *KNOWN)]
+            if last is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(last, now)]
+            last = [c[-1:] for c in now]
+            gram, known = now[0], dict(zip(KNOWN, now[1:]))
+            a = np.flatnonzero(gram[1:] == gram[:-1])
+            a = a[possible(known, a, a + 1, percent)]
+            sid, n = known["sid"], known["n"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[a], sid[a + 1])), pa.array(np.maximum(sid[a], sid[a + 1])),
+                                              pa.array(np.minimum(n[a], n[a + 1]))], ["a", "b", "low"])
+
+    by_leader = F.pmod("gram", F.lit(2)) == 0
+    ordered = entries.withColumn("o1", F.when(by_leader, F.col("ref")).otherwise(F.xxhash64("sid"))).withColumn(
+        "o2", F.when(by_leader, F.col("lacks0")).otherwise(0)).repartition("gram").sortWithinPartitions(
+        "gram", "o1", "o2", "adds0", "sid").select("gram", *KNOWN)
+    met = ordered.mapInArrow(run, "a long, b long, low long").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("lists"), F.min("low").alias("low"))
+    return met.filter(F.col("lists") >= F.least(F.lit(3), F.ceil(prefix_length(F.col("low"), percent) / 4))).select("a", "b")
+
+
+def possible(known: dict, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether entries a and b are of two components and may link by their sizes and, where
+    they have one leader, by what each lacks of it (``less`` grams, of the masks ``lacks…``) and
+    has besides (``more``, ``adds…``): grams whose bit the other has not are not the other's."""
+    def both(count, name):
+        most = np.minimum(known[count][a], known[count][b])
+        for i in range(MASKS):
+            x, y = (known[f"{name}{i}"][k].view(np.uint64) for k in (a, b))
+            most = np.minimum(most, np.minimum(known[count][a] - np.bitwise_count(x & ~y).astype(np.int64),
+                                               known[count][b] - np.bitwise_count(y & ~x).astype(np.int64)))
+        return most
+
+    na, nb = known["n"][a], known["n"][b]
+    ok = (known["comp"][a] != known["comp"][b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    most = known["m"][a] - known["less"][a] - known["less"][b] + both("less", "lacks") + both("more", "adds")
+    return ok & ((known["ref"][a] != known["ref"][b]) | (most >= needed(na, nb, percent)))
+
+
 def can_link(na, nb, i, j, percent: int):
     """Whether sets of sizes na and nb with a common gram at positions i and j can link."""
     return np.minimum(i, j) + 1 + np.minimum(na - i, nb - j) - 1 >= needed(na, nb, percent)
 
 
-def cross(key, sid, n, pos, comp, side, percent: int):
+def cross(key, known: dict, pos, side, percent: int):
     """Index pairs of entries of one list and two components that can link. The entries come
     sorted by list and size; short lists are paired by distance, long ones by blocks."""
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(key))
     out_a, out_b = [], []
+    n, comp = known["n"], known["comp"]
 
     def tried(a, b):
         hit = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
-        hit &= 100 * n[a] >= percent * n[b]
+        a, b = a[hit], b[hit]
+        hit = possible(known, a, b, percent)
         a, b = a[hit], b[hit]
         hit = can_link(n[a], n[b], pos[a], pos[b], percent)
         out_a.append(a[hit])
@@ -393,20 +510,19 @@ def cross(key, sid, n, pos, comp, side, percent: int):
 
 
 def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that can link by all lists of both, from entries (gram, sid, n, pos, comp)."""
+    """(a, b) that can link by all lists of both, from entries (gram, pos and ``KNOWN``)."""
     spread = materialize(entries.groupBy("gram").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi")
         .select("gram", F.ceil(F.col("size") / LIST).cast("int").alias("salts")), "lists")
     met = entries.join(spread, "gram")
-    one = met.filter("salts = 1").select("gram", F.lit(0).alias("s"), F.lit(0).alias("t"), "sid", "n", "pos", "comp",
-                                         F.lit(-1).alias("side"))
+    one = met.filter("salts = 1").select("gram", F.lit(0).alias("s"), F.lit(0).alias("t"), "pos", F.lit(-1).alias("side"), *KNOWN)
     # an entry with salt u meets every salt v under (least, greatest); its side tells u from v
     own = F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int")
     many = met.filter("salts > 1").withColumn("u", own).withColumn(
         "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        "gram", F.least("u", "v").alias("s"), F.greatest("u", "v").alias("t"), "sid", "n", "pos", "comp",
-        F.when(F.col("u") == F.col("v"), F.lit(-1)).otherwise(F.col("u")).alias("side"))
-    names = ["gram", "s", "t", "sid", "n", "pos", "comp", "side"]
+        "gram", F.least("u", "v").alias("s"), F.greatest("u", "v").alias("t"), "pos",
+        F.when(F.col("u") == F.col("v"), F.lit(-1)).otherwise(F.col("u")).alias("side"), *KNOWN)
+    names = ["gram", "s", "t", "pos", "side", *KNOWN]
 
     def run(batches):
         kept = None
@@ -424,8 +540,9 @@ def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
             yield from paired(kept)
 
     def paired(c):
-        a, b = cross(np.stack(c[:3], axis=1), *c[3:], percent)
-        sid, n, pos = c[3], c[4], c[5]
+        known, pos = dict(zip(KNOWN, c[5:])), c[3]
+        a, b = cross(np.stack(c[:3], axis=1), known, pos, c[4], percent)
+        sid, n = known["sid"], known["n"]
         swap = sid[a] > sid[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         yield pa.RecordBatch.from_arrays(
@@ -471,25 +588,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  percent: int = 85) -> DataFrame:
     """One row per input row: id, n_shingles (size of its set) and component_id."""
     sets = materialize(build_sets(docs, id_col, text_col, gram, percent), "sets")
-    local = sets.filter("lead is not null").select("sid", "lead", "n", "both")
-    wide_links = overlaps(sets, leader_pairs(sets, percent)).filter(linked(percent))
-    sizes = sets.filter("lead is null and grams is not null").select(F.col("sid").alias("lead"), F.col("n").alias("m"))
-    led = local.join(sizes.distinct(), "lead").select(
-        "sid", "lead", (F.col("m") - F.col("both")).alias("less"), (F.col("n") - F.col("both")).alias("more")).unionByName(
-        wide_links.select(F.col("a").alias("sid"), F.col("b").alias("lead"), (F.col("nb") - F.col("both")).alias("less"),
-                          (F.col("na") - F.col("both")).alias("more")))
-    led = materialize(led.groupBy("sid").agg(F.min(F.struct(
-        (F.col("less") + F.col("more")).alias("d"), "lead", "less", "more")).alias("m")).select("sid", "m.lead", "m.less", "m.more"),
-        "led")
-    links = materialize(local.select(F.col("sid").alias("a"), F.col("lead").alias("b")).unionByName(
-        wide_links.select("a", "b")), "links")
-    early = materialize(components(links), "early")
-
+    refs = overlaps(sets, leader_pairs(sets, percent)).select(
+        F.col("a").alias("sid"), F.col("b").alias("ref"), F.col("nb").alias("m"), (F.col("nb") - F.col("both")).alias("less"),
+        (F.col("na") - F.col("both")).alias("more"), *DIFFERENCES, linked(percent).alias("linked"))
+    local = sets.filter("lead is not null").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+    links = materialize(local.unionByName(refs.filter("linked").select(F.col("sid").alias("a"), F.col("ref").alias("b"))), "links")
     total = sets.filter("grams is not null").agg(F.sum("n")).first()[0] or 0
-    entries = shared_entries(sets, percent, total).join(early.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
-    pairs = materialize(list_pairs(materialize(entries, "entries"), percent), "pairs")
-    roots = components(links.unionByName(derived(sets, pairs, led, percent)))
+    every = shared_entries(sets, percent, total).join(refs.drop("linked"), "sid", "left").select(
+        "gram", "pos", "sid", "n", F.coalesce("ref", "sid").alias("ref"), F.coalesce("m", "n").alias("m"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("less", "more", *DIFFERENCES)])
+    every = materialize(every, "every")
+
+    def entries():
+        known = joined_components(links).withColumnRenamed("node", "sid")
+        return every.join(known, "sid", "left").select("gram", "pos", *[
+            F.coalesce("root", "sid").alias(c) if c == "comp" else F.col(c) for c in KNOWN])
+
+    more = overlaps(sets, neighbour_pairs(entries(), percent)).filter(linked(percent)).select("a", "b")
+    links = materialize(links.unionByName(more), "links")
+    pairs = materialize(list_pairs(materialize(entries(), "entries"), percent), "pairs")
+    led = refs.select("sid", F.col("ref").alias("lead"), "less", "more")
+    roots = joined_components(links.unionByName(derived(sets, pairs, led, percent)))
 
     named = sets.select("id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "id", "n", "sid", F.coalesce("root", "sid").alias("root"))

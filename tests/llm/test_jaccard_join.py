@@ -108,16 +108,36 @@ def test_blocks_are_skipped(monkeypatch):
     """Blocks whose sizes or positions allow no link are not compared."""
     n = np.sort(np.random.default_rng(1).integers(10, 5000, 2000))
     pos = np.random.default_rng(2).integers(0, np.maximum(1, jaccard_join.prefix_length(n, 85)))
-    key, sid, comp = np.zeros((2000, 3), int), np.arange(2000), np.arange(2000)
+    key, none = np.zeros((2000, 3), int), np.zeros(2000, int)
+    known = dict.fromkeys(jaccard_join.KNOWN, none) | {"sid": np.arange(2000), "comp": np.arange(2000), "ref": np.arange(2000), "n": n}
     tried = []
     whole = jaccard_join.can_link
     monkeypatch.setattr(jaccard_join, "can_link", lambda *a: tried.append(len(a[0])) or whole(*a))
-    a, b = jaccard_join.cross(key, sid, n, pos, comp, np.full(2000, -1), 85)
+    a, b = jaccard_join.cross(key, known, pos, np.full(2000, -1), 85)
     want = {(i, j) for i in range(2000) for j in range(i + 1, 2000)
             if 100 * n[i] >= 85 * n[j] and whole(n[i], n[j], pos[i], pos[j], 85)}
     assert set(zip(a.tolist(), b.tolist())) == want
     assert sum(tried) < 2000 * 1999 / 8
-    assert not len(jaccard_join.cross(key, sid, n, pos, np.zeros(2000, int), np.full(2000, -1), 85)[0])
+    assert not len(jaccard_join.cross(key, known | {"comp": none}, pos, np.full(2000, -1), 85)[0])
+
+
+def test_bounds_by_a_common_leader():
+    """Pairs are left out by what they lack of one leader and have besides only if they can't link."""
+    rng = np.random.default_rng(3)
+    leader = np.sort(rng.choice(10 ** 9, 60, replace=False)).astype(np.uint64)
+    sets, known = [], {c: [] for c in jaccard_join.KNOWN}
+    for i in range(300):
+        gone = rng.choice(60, rng.integers(0, 9), replace=False)
+        own = np.unique(np.concatenate([np.delete(leader, gone), rng.choice(40, rng.integers(0, 9)).astype(np.uint64) * 7 + 10 ** 10]))
+        both, *bits = jaccard_join.compared(own, leader)
+        for c, v in zip(jaccard_join.KNOWN, (i, len(own), i, 0, 60, 60 - both, len(own) - both, *bits)):
+            known[c].append(v)
+        sets.append(own)
+    known = {c: np.array(v) for c, v in known.items()}
+    a, b = np.triu_indices(300, 1)
+    may = jaccard_join.possible(known, a, b, 85)
+    real = np.array([jaccard_join.overlap(sets[i], sets[j]) >= jaccard_join.needed(len(sets[i]), len(sets[j]), 85) for i, j in zip(a, b)])
+    assert real.any() and not (real & ~may).any() and may.sum() < len(a) / 3
 
 
 def test_nulls_blanks_repeats_long_texts_and_other_columns(spark):
