@@ -14,7 +14,13 @@ windows; all but the first of a group are removed. Comparisons are of bytes, has
 candidates alone.
 
 Anchors of a very frequent run are recognised in the map task and sent once per slice; equal
-surroundings of a slice are settled there as well. So no key gathers its rows in one task.
+surroundings of a slice are settled there as well. Runs that hold more than 1/``HOT_RUNS`` of
+all anchors (counted over all slices, fewer than ``HOT_RUNS``) do not go to the bucket of
+their lead: a window of ``size`` bytes around a run holds half of its other bytes before the
+run or after it, so such an anchor goes to one bucket by a hash of the run with that many
+bytes before it, and to one by a hash of the run with those after it. A frequent line between
+different neighbours is so dealt by its neighbours. Buckets follow the input: where there are
+more than splitters, a range is dealt further by a hash of the lead.
 
 Defined cases: a null text counts as empty; texts under ``size`` bytes lose nothing; a null
 id comes after all others; among different texts of one id a hash of the text decides; of
@@ -41,7 +47,8 @@ GRAM = 40
 LEAD = 16                    # bytes of the splitters
 SLICE_BYTES = 2 << 20
 PART_BYTES = 16 << 20        # text for each part and bucket
-MAX_PARTS = 20_000
+HOT_RUNS = 20_000            # a run with a larger share than 1/HOT_RUNS of the anchors is hot
+LEAST_HOT = 1000             # anchors that a hot run has at least
 MAX_SAMPLE = 20_000          # splitters are chosen from so many sampled strings
 LAST = np.iinfo(np.int64).max
 
@@ -111,16 +118,18 @@ def nearest_prefix(order, lcp):
     return out
 
 
-def repeated(right, left, after, before, size: int, gram: int):
+def repeated(right, left, after, before, size: int, gram: int, places_in=None):
     """For rows sorted by (id, text, place): (row, first, last) where windows with the anchor
-    ``first`` to ``last`` bytes from their start equal a window of an earlier row."""
+    ``first`` to ``last`` bytes from their start equal a window of an earlier row; the places
+    looked at are those from ``places_in[0]`` to ``places_in[1]`` (all by default)."""
     n = len(right)
     low, high = np.full(n, size), np.full(n, -1)
     ro, lo = multikey_order(right), multikey_order(left)
     rp, lp = common_prefix(right, ro), common_prefix(left, lo)
     rmax, lmax = nearest_prefix(ro, rp), nearest_prefix(lo, lp)
     hopeful = np.minimum(rmax, after) + np.minimum(lmax, before) >= size
-    for o in range(size - gram + 1):
+    start, stop = places_in or (0, size - gram)
+    for o in range(start, stop + 1):
         sel = np.flatnonzero(hopeful & (after >= size - o) & (before >= o) & (rmax >= size - o) & (lmax >= o))
         if len(sel) < 2:
             continue
@@ -167,7 +176,8 @@ def _distinct(i, d, p):
 
 
 def repeated_anchors(texts: DataFrame, parts: int, size: int, gram: int) -> DataFrame:
-    """(dh, pos): anchors of (dh, text) whose run occurs at two places or more."""
+    """(dh, pos): anchors of (dh, text) whose run occurs at two places or more; and for each
+    run the rows (run, -1 - its anchors over all slices), as far as it has many in a slice."""
     def send(batches):
         for whole in batches:
             for batch in slices(whole, text_lengths(whole, "text"), SLICE_BYTES):
@@ -183,12 +193,13 @@ def repeated_anchors(texts: DataFrame, parts: int, size: int, gram: int) -> Data
                 key, dh, pos = key[new], dh[new], pos[new]
                 first = np.ones(len(key), bool)
                 first[1:] = key[1:] != key[:-1]
-                many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1 if len(key) else first
+                times = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] if len(key) else np.zeros(0, np.int64)
+                many = times > 1
                 out = []
                 for part, i in by_part((key[first] % np.uint64(parts)).astype(np.int64)):
                     i = np.flatnonzero(first)[i]
                     out.append((part, False, pack(small(key[i] >> np.uint64(16), 6), dh[i], pos[i].astype(np.uint32),
-                                                  many[i])))
+                                                  times[i].astype(np.uint32))))
                 known = np.flatnonzero(many)          # known to repeat: spread by text, not by key
                 for part, i in by_part(dh[known] % parts):
                     out.append((part, True, pack(dh[known[i]], pos[known[i]].astype(np.uint32))))
@@ -203,17 +214,20 @@ def repeated_anchors(texts: DataFrame, parts: int, size: int, gram: int) -> Data
             out[0].append(dh)
             out[1].append(pos)
         if not pdf["known"].all():
-            key, dh, pos, many = stacked(pdf["blob"][~pdf["known"]])
+            key, dh, pos, times = stacked(pdf["blob"][~pdf["known"]])
             key = wide(key)
             order = np.lexsort((pos, dh, key))
-            key, dh, pos, many = key[order], dh[order], pos[order], many[order]
+            key, dh, pos, times = key[order], dh[order], pos[order].astype(np.int64), times[order].astype(np.int64)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (dh[1:] != dh[:-1]) | (pos[1:] != pos[:-1])
             run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-            twice = (np.bincount(run, weights=new) > 1) | (np.bincount(run, weights=many) > 0)
+            twice = (np.bincount(run, weights=new) > 1) | (np.bincount(run, weights=times > 1) > 0)
             keep = twice[run] & new
-            out[0].append(dh[keep])
-            out[1].append(pos[keep])
+            every = np.bincount(run, weights=times).astype(np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            often = np.flatnonzero(every >= LEAST_HOT)
+            out[0].extend([dh[keep], key[heads[often]].view(np.int64)])
+            out[1].extend([pos[keep], -1 - every[often]])
         return pd.DataFrame({"dh": np.concatenate(out[0]), "pos": np.concatenate(out[1]).astype(np.int64)})
 
     return texts.select("dh", F.col("text").cast("binary").alias("text")).mapInArrow(
@@ -237,9 +251,33 @@ def splitters(texts: DataFrame, buckets: int, rows: int) -> np.ndarray:
     return np.unique(lead[np.linspace(0, len(lead), buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
 
 
-def repeated_stretches(chosen: DataFrame, cuts: np.ndarray, buckets: int, size: int, gram: int) -> DataFrame:
-    """(id, dh, start, end) of removed windows; ``chosen`` has id, dh, packed text, places."""
-    lead = min(LEAD, gram)
+def run_names(right: np.ndarray, gram: int) -> np.ndarray:
+    """The names (48 bits of the hash) of the runs that rows of bytes start with."""
+    units = mix64(right[:, :gram].astype(np.uint64).ravel() + np.uint64(1))
+    return mix64(rolling_hash(units, gram)[::gram]) >> np.uint64(16) if len(right) else np.zeros(0, np.uint64)
+
+
+def half_names(right, left, gram: int, half: int):
+    """Hashes of each run with ``half`` bytes before it, and with ``half`` bytes after it."""
+    before = np.concatenate([left[:, :half][:, ::-1], right[:, :gram]], axis=1).astype(np.uint64)
+    after = right[:, :gram + half].astype(np.uint64)
+    return [mix64(rolling_hash(mix64(x.ravel() + np.uint64(1)), gram + half)[::gram + half]) for x in (before, after)]
+
+
+def offsets(size: int, gram: int):
+    """Places of the anchor in a window: all, those with half of the other bytes before the
+    run, those with half of them after it."""
+    half = (size - gram) // 2
+    return (0, size - gram), (half, size - gram), (0, size - gram - half)
+
+
+def dealt_surroundings(chosen: DataFrame, cuts: np.ndarray, buckets: int, size: int, gram: int,
+                       hot: np.ndarray) -> DataFrame:
+    """(bucket, known, blob): anchors with their surroundings, dealt to buckets by their lead
+    or, where ``hot`` names their run, by its neighbours; and (known) stretches settled in the
+    map task. ``chosen`` has id, dh, packed text, places."""
+    lead, half, finer = min(LEAD, gram), (size - gram) // 2, max(1, -(-buckets // (len(cuts) + 1)))
+    every, before_run, after_run = offsets(size, gram)
 
     def send(batches):
         for batch in _row_blocks(batches):
@@ -267,33 +305,60 @@ def repeated_stretches(chosen: DataFrame, cuts: np.ndarray, buckets: int, size:
                     k = settled[k]
                     out.append((part, True, pack(i[k], d[k], p[k] - before[k], p[k] + after[k])))
                 sent = order[~seen]
-                heads = np.ascontiguousarray(right[sent][:, :lead]).view(f"S{lead}").ravel()
-                for part, k in by_part(np.searchsorted(cuts, heads, side="right")):
-                    k = sent[k]
-                    k = k[multikey_order(right[k])]              # neighbours alike: packs better
-                    out.append((part, False, pack(right[k], left[k], after[k].astype(np.uint16),
-                                                  before[k].astype(np.uint16), i[k], d[k], p[k])))
+                dealt = []                      # (bucket, rows, places of the anchor in a window)
+                is_hot = np.isin(run_names(right[sent], gram), hot) if len(hot) else np.zeros(len(sent), bool)
+                warm = sent[is_hot]
+                if len(warm):
+                    for name, real, need, places_in in zip(half_names(right[warm], left[warm], gram, half), (before, after),
+                                                           (half, gram + half), (before_run, after_run)):
+                        held = np.flatnonzero(real[warm] >= need)
+                        dealt.append(((name[held] % np.uint64(buckets)).astype(np.int64), warm[held], places_in))
+                cold = sent[~is_hot]
+                heads = np.ascontiguousarray(right[cold][:, :lead]).view(f"S{lead}").ravel()
+                bucket = np.searchsorted(cuts, heads, side="right")
+                if finer > 1:
+                    words = np.zeros((len(cold), 16), np.uint8)
+                    words[:, :lead] = right[cold][:, :lead]
+                    words = words.view(np.uint64)
+                    bucket = bucket * finer + (mix64(mix64(words[:, 0]) ^ words[:, 1]) % np.uint64(finer)).astype(np.int64)
+                dealt.append((bucket, cold, every))
+                for bucket, rows, places_in in dealt:
+                    for part, k in by_part(bucket):
+                        k = rows[k]
+                        k = k[multikey_order(right[k])]          # neighbours alike: packs better
+                        out.append((part, False, pack(right[k], left[k], after[k].astype(np.uint16),
+                                                      before[k].astype(np.uint16), i[k], d[k], p[k],
+                                                      np.full(len(k), places_in[0], np.uint16),
+                                                      np.full(len(k), places_in[1], np.uint16))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))],
                     ["bucket", "known", "blob"])
 
+    return chosen.mapInArrow(send, "bucket int, known boolean, blob binary")
+
+
+def repeated_stretches(dealt: DataFrame, size: int, gram: int) -> DataFrame:
+    """(id, dh, start, end) of the removed windows of dealt surroundings."""
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = [[np.zeros(0, np.int64)] for _ in range(4)]
         if pdf["known"].any():
             for c, x in zip(cols, stacked(pdf["blob"][pdf["known"]])):
                 c.append(x)
         if not pdf["known"].all():
-            right, left, after, before, i, d, p = stacked(pdf["blob"][~pdf["known"]])
-            order = _distinct(i, d, p)
-            rows, low, high = repeated(right[order], left[order], after[order].astype(np.int64),
-                                       before[order].astype(np.int64), size, gram)
-            k = order[rows]
-            for c, x in zip(cols, (i[k], d[k], p[k] - high, p[k] - low + size)):
-                c.append(x)
+            right, left, after, before, i, d, p, least, most = stacked(pdf["blob"][~pdf["known"]])
+            for places_in in offsets(size, gram):
+                own = np.flatnonzero((least == places_in[0]) & (most == places_in[1]))
+                if not len(own):
+                    continue
+                order = own[_distinct(i[own], d[own], p[own])]
+                rows, low, high = repeated(right[order], left[order], after[order].astype(np.int64),
+                                           before[order].astype(np.int64), size, gram, places_in)
+                k = order[rows]
+                for c, x in zip(cols, (i[k], d[k], p[k] - high, p[k] - low + size)):
+                    c.append(x)
         return pd.DataFrame(dict(zip(("id", "dh", "start", "end"), map(np.concatenate, cols))))
 
-    return chosen.mapInArrow(send, "bucket int, known boolean, blob binary").groupBy("bucket").applyInPandas(
-        search, "id long, dh long, start long, end long")
+    return dealt.groupBy("bucket").applyInPandas(search, "id long, dh long, start long, end long")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -344,9 +409,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id"))
     total, n_rows = meta.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(MAX_PARTS, max(least, math.ceil(total / PART_BYTES))))
+    parts = max(1, least, math.ceil(total / PART_BYTES))
     long_ = rows.filter(F.octet_length("text") >= size)
-    places = repeated_anchors(long_, parts, size, gram).groupBy("dh").agg(F.collect_set("pos").alias("places"))
+    found = materialize(repeated_anchors(long_, parts, size, gram), "anchors")
+    n_anchors = found.filter("pos >= 0").count()
+    hot = found.filter(F.col("pos") < -1 - max(LEAST_HOT, n_anchors // HOT_RUNS)).select("dh").collect()   # below HOT_RUNS
+    hot = np.array(sorted(r.dh for r in hot), np.int64).view(np.uint64)
+    places = found.filter("pos >= 0").groupBy("dh").agg(F.collect_set("pos").alias("places"))
     wanted = first.select("dh", F.col("first_id").alias("id")).distinct().join(places, "dh")
 
     def with_texts(keys: DataFrame, extra: str) -> DataFrame:
@@ -356,7 +425,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         return met.select("id", "dh", "text", extra)
 
     cuts = splitters(long_, parts, n_rows)
-    stretches = materialize(repeated_stretches(with_texts(wanted, "places"), cuts, parts, size, gram), "stretches")
+    dealt = dealt_surroundings(with_texts(wanted, "places"), cuts, parts, size, gram, hot)
+    stretches = materialize(repeated_stretches(dealt, size, gram), "stretches")
     spans = stretches.groupBy(F.when(F.col("id") != int(LAST), F.col("id")).alias("id"), "dh").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = cut_texts(with_texts(spans, "spans").dropDuplicates(["id", "dh"]))

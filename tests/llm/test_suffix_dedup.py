@@ -55,6 +55,51 @@ def test_production_windows_against_brute_force(spark):
     assert got == want and sum(r[1] for r in want.values()) > 1000
 
 
+def framed(n, line, seed=5, others=40):
+    """A third of the texts hold ``line`` between neighbours of their own, some of them shared."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: bytes(rng.choice(list(b"abcdefghij "), k).tolist()).decode()
+    shared = [word(others) for _ in range(5)]
+    return [(i, word(80) + (line + word(others) if i % 6 == 0 else shared[i % 5] + line + word(30) if i % 6 == 3 else "") + word(60))
+            for i in range(n)]
+
+
+def test_frequent_line_between_different_neighbours(spark, monkeypatch):
+    """The line's anchors are dealt by their neighbours; what is removed is as by brute force."""
+    monkeypatch.setattr(S, "LEAST_HOT", 20)
+    line = "the line of sixty bytes that a third of all documents hold .."
+    rows = framed(360, line)
+    check(spark, rows, 100, 40)
+    check(spark, [(i, t + line[:45]) for i, t in rows], 100, 40)
+
+
+def test_groups_of_a_frequent_line_are_bounded(spark):
+    line = "the line of sixty bytes that a third of all documents hold .."
+    raw = [t.encode() for _, t in framed(1200, line, others=120)]
+    off = np.cumsum([0] + [len(r) for r in raw])
+    at, _ = S.anchors(np.frombuffer(b"".join(raw), np.uint8), off, 100, 40)
+    doc = np.searchsorted(off, at, side="right") - 1
+    places = {}
+    for d, a in zip(doc.tolist(), (at - off[doc]).tolist()):
+        places.setdefault(d, []).append(a)
+    z = S.zstandard.ZstdCompressor()
+    docs = spark.createDataFrame([(d, d, bytearray(z.compress(raw[d])), p) for d, p in places.items()],
+                                 "id long, dh long, text binary, places array<long>")
+    runs = S.run_names(S.surroundings(np.frombuffer(b"".join(raw), np.uint8), off, at, 100, 40)[0], 40)
+    names, counts = np.unique(runs, return_counts=True)
+    hot = names[counts > 100]
+    assert len(hot) and counts.max() >= 150
+
+    def largest(hot):
+        dealt = S.dealt_surroundings(docs, np.zeros(0, "S16"), 500, 100, 40, hot).filter("not known").collect()
+        sizes = {}
+        for r in dealt:
+            sizes[r.bucket] = sizes.get(r.bucket, 0) + len(S.stacked([r.blob])[0])
+        return max(sizes.values())
+
+    assert largest(np.zeros(0, np.uint64)) >= 150 and largest(hot) < 100      # shared neighbours: 40 texts
+
+
 def test_rows_and_nulls(spark):
     t = "the quick brown fox jumps over a lazy dog, then 42"
     rows = [(5, t), (3, t), (3, t), (None, t), (None, None), (4, "zz" + t[:30]), (1, None), (1, "")]
