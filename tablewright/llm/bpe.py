@@ -8,7 +8,9 @@ trees of many short pieces are walked together in numpy; a long piece has a tree
 
 Defined cases: a null text counts as empty and has no ids; the strings of added tokens in a
 text become their ids; ids outside the vocabulary decode to nothing; bytes that are not
-UTF-8 decode to U+FFFD.
+UTF-8 decode to U+FFFD; texts of any length are encoded whole; repeated rows each have a row,
+with or without an id; an empty table gives an empty result; other columns are kept, those
+named like a result are replaced by it.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ all the rows that formed it.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a text of unknown
 trigrams alone gets the language of most rows with score 0 and is rejected; rows without a
-language or an id teach nothing; without any training row every text is ``und``.
+language or an id teach nothing; without any training row every text is ``und``; of equally
+near centroids the one of the language of most rows wins; repeated rows are judged alike and
+each keep their row; an empty table gives an empty result.
 """
 
 from __future__ import annotations

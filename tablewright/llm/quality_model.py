@@ -10,7 +10,9 @@ fitting rows turns a margin into a score.
 
 Defined cases: a null text counts as empty; a text without features is scored by the
 intercept; rows without a label or an id teach nothing; with one class only or none at all
-every score is that class's value or 0.5; an empty table gives an empty result.
+every score is that class's value or 0.5; repeated rows are scored alike, each keeps its row,
+and a labelled row that repeats counts as often as it is there; texts of any length are read
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -17,6 +19,44 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_vectors(texts, idf):
+    """TF-IDF of one text at a time, by a dictionary of trigrams."""
+    out = np.zeros((len(texts), L.SIZE))
+    for row, text in zip(out, texts):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        for f in np.flatnonzero(L.counts(raw, np.array([0, len(raw)]))[0]) if len(raw) else []:
+            row[f] = np.log1p(L.counts(raw, np.array([0, len(raw)]))[0][f]) * idf[f]
+        row /= np.linalg.norm(row) or 1
+    return out
+
+
+def test_query_against_plain_centroids(spark):
+    """Document frequencies, clusters and cosines recomputed one text at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in registry.QUERIES["op9_language_id"](spark, sf).collect()}
+    train = [r for r in rows.values() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None]
+    seen = sum((L.counts(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))[0] > 0).astype(int)
+               for r in train)
+    idf = np.log((1 + len(train)) / (1 + seen)) + 1
+    best = {}
+    for lang in sorted({r.lang for r in train}):
+        x = plain_vectors([r.text for r in train if r.lang == lang], idf).astype(np.float32)
+        centroids, own = L.spherical_kmeans(x[np.lexsort(x[:, :8].T)], L.CENTROIDS)
+        assert np.allclose(np.linalg.norm(centroids, axis=1), 1, atol=1e-4) and len(set(own)) > 1
+        for i, v in zip(rows, plain_vectors([r.text for r in rows.values()], idf)):
+            best.setdefault(i, []).append((float((v @ centroids.T).max()), lang))
+    for i, found in best.items():
+        score, lang = max(found)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not any(ch.isalpha() for ch in rows[i].text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            assert abs(got[i].score - score) < 1e-3
+            assert got[i].lang_pred == lang or max(found)[0] - sorted(found)[-2][0] < 1e-3
+
+
 def test_counts_of_a_batch_are_those_of_each_text():
     texts = ["", "a", "É é", "  ", "Hello World", "x" * 900, "", "ñandú!"]
     raw = [t.encode() for t in texts]

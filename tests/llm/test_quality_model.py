@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -19,6 +21,30 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
+def test_query_against_plain_counts(spark):
+    """Ratios counted one text at a time; scores are those of the fitted weights and curve."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    train = [i for i in docs if marks.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2]
+    sets = {i: next(iter(Q.feature_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))) for i, t in docs.items()}
+    counts = np.ones((2, Q.SIZE))
+    for i in train:
+        counts[marks[i], sets[i]] += 1
+    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    model = registry.quality_fit(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert np.allclose(model.ratio, ratio)
+    order = sorted(train, key=lambda i: (i, marks[i]))          # fewer rows than the bound: all of them
+    plain = Q.fit_rows([sets[i].astype(np.int32) for i in order], np.array([marks[i] for i in order]), ratio)
+    assert np.allclose(model.weight, plain.weight, atol=1e-9) and abs(model.intercept - plain.intercept) < 1e-9
+    for r in registry.QUERIES["op4_quality_model"](spark, sf).collect():
+        size = np.sqrt((ratio[sets[r.doc_id]] ** 2).sum())
+        margin = (plain.weight[sets[r.doc_id]].sum() / size if size else 0.0) + plain.intercept
+        score = 1 / (1 + np.exp(-(plain.slope * margin + plain.shift)))
+        assert abs(r.score - score) < 1e-4 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.predicted == (r.score >= 0.7)
+
+
 def test_features_of_a_batch_are_those_of_each_text():
     texts = ["", "a", "ab", "The the THE end.", "x " * 50, "é\n\tü  ", "   ", "1 2*** 3|", "", "q" * 300 + " " + "q" * 300]
     raw = [t.encode() for t in texts]
