@@ -4,7 +4,13 @@ the domains to target weights, encodes.
 Each stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes it to the shared
 checkpoint folder and hands the reread table to the next stage, so that a lost executor
 costs part of one stage. All stages but the last return the columns of ``documents``.
-Mixing repeats rows of scarce domains and drops none (rates are one at least).
+Mixing repeats rows of scarce domains; of the domain without a weight (text that the labelled
+rows call bad) it keeps next to nothing.
+
+Defined cases of the stages: a null text counts as empty, is scored like one, equals other
+empty texts and has fingerprint zero and no tokens; of equal texts the row of the largest id
+stays, of near ones that of the smallest (null ids last); repeated rows count as copies; a
+stage of an empty table gives an empty table of its columns; other columns pass through.
 """
 
 from __future__ import annotations
