@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm import fuse_filter
 from tablewright.llm.common import fresh, materialize, pick, quoted
+from tablewright.operators.keys import key_screen, may_hold
 
 BUCKET_KEYS = 1 << 16      # digests per filter
 HOT_GROUPS = 1000          # groups with over 1/1000 of the rows are salted: fewer than 1000
@@ -98,6 +99,8 @@ def unequal_digests(docs: DataFrame, groups: DataFrame, id_col: str, text_col: s
     hot = several.filter(F.col("n") * HOT_GROUPS > F.lit(total)).select("digest", F.lit(True).alias("hot"))
     texts = pick(docs, id=id_col, text=text_col).select(
         "id", F.coalesce("text", F.lit("")).alias("text"), text_digest(F.col("text")).alias("digest"))
+    # a screen of the repeated digests, of fixed size: texts without a copy are not shuffled
+    texts = may_hold(texts, ["digest"], key_screen(several, ["digest"]), "_maybe").filter("_maybe").drop("_maybe")
     texts = texts.join(F.broadcast(hot), "digest", "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(HOT_SALTS))).otherwise(F.lit(0).cast("long")))
     wanted = several.join(F.broadcast(hot), "digest", "left").select("digest", F.explode(
