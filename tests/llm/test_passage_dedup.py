@@ -185,3 +185,63 @@ def test_query(spark):
                 seen.add(i)
                 todo += linked.get(i, ())
         assert b in seen, (a, b)
+
+
+def met(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {(r.first_id, r.doc_id) for r in P.find_passages(df).collect()}
+
+
+def test_passages_of_two_texts_around_what_many_texts_have(spark):
+    """Each passage of 60 words is that of two texts; 42 words of it are in 200 other texts."""
+    rng = np.random.default_rng(11)
+    common = words(rng, 42)
+    texts = [words(rng, 30) + common + words(rng, 30) for _ in range(200)]
+    for _ in range(40):
+        own = words(rng, 18)
+        cut = int(rng.integers(0, 19))
+        texts += [words(rng, 40) + own[:cut] + common + own[cut:] + words(rng, 40) for _ in range(2)]
+    found = met(spark, texts)
+    assert found == {(i, i + 1) for i in range(200, 280, 2)}
+
+
+def test_all_pairs_of_variants_are_found(spark):
+    """Variants of a passage, one word of the middle changed in each: no two have 50 words in a
+    row in common, and every pair of them is similar enough."""
+    rng = np.random.default_rng(12)
+    for n in (7, 30):
+        passage = words(rng, 60)
+        texts = [words(rng, 40) + passage[:30] + [f"new{i}"] + passage[31:] + words(rng, 40) for i in range(n)]
+        assert met(spark, texts) == {(i, j) for j in range(n) for i in range(j)}
+
+
+def test_a_passage_of_many_texts_is_linked_to_the_first_of_them(spark, monkeypatch):
+    """Texts of one passage are joined by one of them; a variant is linked to that one."""
+    monkeypatch.setattr(P, "SLICE_BYTES", 5000)
+    rng = np.random.default_rng(13)
+    passage = words(rng, 60)
+    texts = [words(rng, 40) + passage + words(rng, 40) for _ in range(90)]
+    texts += [words(rng, 40) + passage[:30] + ["new"] + passage[31:] + words(rng, 40)]
+    found = met(spark, texts)
+    group = {0}
+    while more := {j for p in found if group & set(p) for j in p} - group:
+        group |= more
+    assert group == set(range(91)) and len(found) < 500
+    assert any(90 in p for p in found)
+
+
+def test_runs_that_similar_passages_have_in_common():
+    assert P.common_run(46, 0.8) == 21 and P.common_run(46, 1.0) == 46
+    rng = np.random.default_rng(14)
+    h = P.mix64(rng.integers(0, 2**62, 400).astype(np.uint64))
+    other = P.mix64(rng.integers(0, 2**62, 400).astype(np.uint64))
+    for at in range(0, 379, 7):
+        x = np.concatenate([other[:150], h[at:at + 21], other[150:]])
+        places = [P.seed_places(t, np.array([0, len(t)]), 14, 8)[1] for t in (h, x)]
+        assert {p - at for p in places[0].tolist() if at <= p <= at + 7} & {p - 150 for p in places[1].tolist() if 150 <= p <= 157}
+
+
+def test_texts_with_a_short_stretch_in_common_have_no_passage(spark):
+    rng = np.random.default_rng(15)
+    short = words(rng, 30)
+    assert met(spark, [words(rng, 40) + short + words(rng, 40) for _ in range(3)]) == set()
