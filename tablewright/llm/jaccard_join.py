@@ -18,7 +18,8 @@ a 64-bit hash of the whole set. Two sets link when ``100 * both >= percent * eit
    so. What several lists say of a pair is added up, and the pair is dropped when the grams
    left after its last common position, or after the prefix that ends first, can't make up a
    link.
-3. For a remaining pair (x, y) with leaders (p, q) the overlap of the leaders is computed once;
+3. Of the pairs of two components one is compared, in a few turns; pairs of what is one
+   component then are done with. For a remaining pair (x, y) with leaders (p, q) the overlap of the leaders is computed once;
    |x and y| lies between it less |p - x| + |q - y| and it plus |x - p| + |y - q|. That decides
    many pairs; for the others the overlap is computed.
 
@@ -67,6 +68,7 @@ DIFFERENCES = [f"{c}{i}" for c in ("lacks", "adds") for i in range(MASKS)]
 KNOWN = ["sid", "n", "comp", "ref", "m", "less", "more", *DIFFERENCES]
 FEW_LINKS = 1 << 20        # links (16 bytes each) that one task joins to components
 SMALL = 128                # entries of a block
+TURNS = 3                  # times that one pair of every two components is compared before the rest
 
 
 def needed(na, nb, percent: int):
@@ -560,6 +562,29 @@ def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return together.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def joining_pairs(sets: DataFrame, pairs: DataFrame, links: DataFrame, percent: int):
+    """The pairs (a, b) that are of two components yet, and the links with those found on the
+    way: in each turn one pair of every two components is compared, and what it joins is one
+    component. Two large components with many links take one comparison, not all of them."""
+    for turn in range(TURNS):
+        known = joined_components(links)
+        root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731,B023
+        at = pairs.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").select(
+            "a", "b", F.coalesce("a_root", "a").alias("p"), F.coalesce("b_root", "b").alias("q"))
+        pairs = materialize(at.filter("p != q"), "open")
+        one = pairs.groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(
+            F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(turn))).alias("pair"), F.count(F.lit(1)).alias("pairs"))
+        found = overlaps(sets, one.filter("pairs > 1").select("pair.*")).filter(linked(percent)).select("a", "b")
+        if found.isEmpty():
+            break
+        links = materialize(links.unionByName(found), "links")
+    known = joined_components(links)
+    still = pairs.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(
+        known.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left").filter(
+        F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+    return materialize(still, "pairs"), links
+
+
 def derived(sets: DataFrame, pairs: DataFrame, led: DataFrame, percent: int) -> DataFrame:
     """The linked pairs (a, b) of ``pairs``; ``led`` holds (sid, lead, less, more): how many
     grams of the leader the set lacks and how many it has besides."""
@@ -608,6 +633,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = materialize(links.unionByName(more), "links")
     pairs = materialize(list_pairs(materialize(entries(), "entries"), percent), "pairs")
     led = refs.select("sid", F.col("ref").alias("lead"), "less", "more")
+    pairs, links = joining_pairs(sets, pairs, links, percent)
     roots = joined_components(links.unionByName(derived(sets, pairs, led, percent)))
 
     named = sets.select("id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(

@@ -148,3 +148,26 @@ def test_nulls_blanks_repeats_long_texts_and_other_columns(spark):
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n long, component_id string")
     assert joined(docs) == plain(rows)
     assert joined(docs.limit(0)) == []
+
+
+def test_one_pair_of_two_components_is_compared(spark, monkeypatch):
+    """Two components of 40 sets, each set linked with each: 1,600 pairs, one comparison; a pair
+    of sets that do not link is left for the rest."""
+    common = np.arange(1, 101, dtype=np.uint64)
+    rows = [(i, len(common) + 1, jaccard_join.small(np.append(common, np.uint64(1000 + i)), jaccard_join.WIDTH).tobytes()) for i in range(80)]
+    rows += [(90 + i, 100, jaccard_join.small(np.arange(5000 + 200 * i, 5100 + 200 * i, dtype=np.uint64), jaccard_join.WIDTH).tobytes()) for i in range(2)]
+    sets = spark.createDataFrame([(i, n, bytearray(g)) for i, n, g in rows], "sid long, n long, grams binary")
+    links = spark.createDataFrame([(i, i + 1) for i in range(79) if i != 39], "a long, b long")
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(40, 80)] + [(90, 91)], "a long, b long")
+    asked, plain = [], jaccard_join.overlaps
+
+    def counted(sets, some):
+        out = plain(sets, some)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "overlaps", counted)
+    left, more = jaccard_join.joining_pairs(sets, pairs, links, 85)
+    assert [tuple(r) for r in left.collect()] == [(90, 91)] and sum(asked) == 1
+    roots = {r.node: r.root for r in jaccard_join.joined_components(more).collect()}
+    assert len({roots[i] for i in range(80)}) == 1
